@@ -49,7 +49,7 @@ def approximate_knn(spark, sf):
 
 
 @case("D3_dilated_knn", f"""WITH {PAIRS}, {NEAR}, w AS (SELECT query_id, max(rank) AS n FROM nn GROUP BY 1),
-p AS (SELECT w.query_id, pick, {fx.h('dil', "0", "0")}*0 + n AS n FROM w, range(0,4) t(pick))
+p AS (SELECT w.query_id, pick, n FROM w, range(0,4) t(pick))
 SELECT nn.scan_id, nn.query_id, CAST(pick AS INTEGER) AS pick, nn.point_id, nn.d2 FROM p JOIN nn ON nn.query_id=p.query_id
  AND nn.rank={fx.h('dil', 'nn.scan_id', 'p.query_id', 'pick')}%p.n+1""", "cloud")
 def dilated_knn(spark, sf):

@@ -101,9 +101,10 @@ def nearest_join(q: DataFrame, s: DataFrame, k: int, r: float | None = None, by=
     cells = by + ["__l"] + [f"__c{a}" for a in ax]
     full = spread(pts, "").groupBy(*cells).agg(F.count("*").alias("__m")).where(F.col("__m") >= k).select(*cells)
 
-    # Finest full cell around (or, outside the points' box, next to) each query place.
-    level = spread(places, "__q", clamp=True).join(full, cells).groupBy(*by, *here).agg(F.max("__l").alias("__l"))
-    level = places.join(level, by + here, "left").withColumn("__l", F.coalesce("__l", F.lit(-1)))
+    # Finest full cell around (or, outside the points' box, next to) each query place; -1 for none.
+    about = [f"__o{a}" for a in ax] + ["__e", "__depth"]
+    level = spread(places, "__q", clamp=True).join(full.withColumn("__full", F.lit(True)), cells, "left")
+    level = level.groupBy(*by, *here, *about).agg(F.max(F.when(F.col("__full"), F.col("__l")).otherwise(-1)).alias("__l"))
 
     at_level = lambda levels: pts.join(levels.select(*by, "__l").distinct(), by).withColumns(
         {f"__c{a}": F.when(F.col("__l") < 0, F.lit(0).cast("long")).otherwise(cell("", a, F.col("__l"))) for a in ax})
@@ -111,10 +112,11 @@ def nearest_join(q: DataFrame, s: DataFrame, k: int, r: float | None = None, by=
 
     # The k-th distance inside that cell bounds the search; groups with fewer than k points are taken whole.
     dense = level.where("__l >= 0").withColumns({f"__c{a}": cell("__q", a, F.col("__l"), True) for a in ax})
-    inside = dense.select(*by, *here, *cells[len(by):]).join(at_level(dense).select(*cells, s_id, *ax), cells).withColumn("__d", d2)
-    bound = top_per_group(inside.select(*by, *here, "__d", s_id), by + here, [F.col("__d"), F.col(s_id)], k)
-    bound = bound.groupBy(*by, *here).agg(F.sqrt(F.max("__d")).alias("__r"))
-    reach = level.join(bound, by + here, "left")
+    inside = dense.join(at_level(dense).select(*cells, s_id, *ax), cells).withColumn("__d", d2)
+    bound = top_per_group(inside.select(*by, *here, *about, "__d", s_id), by + here, [F.col("__d"), F.col(s_id)], k)
+    bound = bound.groupBy(*by, *here, *about).agg(F.sqrt(F.max("__d")).alias("__r"))
+    none = level.where("__l < 0").drop("__l").withColumn("__r", F.lit(None).cast("double"))
+    reach = bound.unionByName(none)
     if r is not None:
         reach = reach.withColumn("__r", F.least(F.coalesce("__r", F.lit(float(r))), F.lit(float(r))))
 

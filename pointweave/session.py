@@ -17,7 +17,9 @@ def local_session(cores: int = 8, name: str = "pointweave", **extra) -> SparkSes
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(name)
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "12g")
-               .config("spark.sql.shuffle.partitions", str(cores)))
+               .config("spark.sql.shuffle.partitions", str(cores))
+               # Small local inputs explode after a shuffle; do not merge them into one task.
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k"))
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
