@@ -71,7 +71,7 @@ def seen(spark, sf):
 def projected(spark, sf, camera):
     cams = cam.prepare_images(fx.images(spark, sf))
     cand = op.candidate_views(fx.points(spark, sf), cams, RMAX, 0.5, carry=("x", "y", "z"), q_carry=[c for c in op.CAMERA if c in cams.columns])
-    return cam.project(cand.where(F.col("camera") == camera), camera)
+    return cam.project(cand.where(F.col("camera") == camera))
 
 
 @case("H1_candidate_views", f"WITH {CAND} SELECT scan_id, image_id, point_id, {six('dist')} AS dist FROM cand", "points images")
@@ -96,13 +96,13 @@ for _id, _camera in (("H2", "equirectangular"), ("H3", "pinhole"), ("H4", "fishe
 def project_inverse(spark, sf):
     cams = cam.prepare_images(fx.images(spark, sf))
     cand = op.candidate_views(fx.points(spark, sf), cams, RMAX, 0.5, carry=("x", "y", "z"), q_carry=[c for c in op.CAMERA if c in cams.columns])
-    out = cam.project(cand.where("camera = 'pinhole' AND abs(z - cz) > 0.1"), "pinhole", "inv")
+    out = cam.project(cand.where("camera = 'pinhole' AND abs(z - cz) > 0.1"), "inv")
     return out.select("image_id", "point_id", six_digits("u").alias("u"))
 
 
 @case("H5_field_of_view", f"WITH {FOV} SELECT image_id, point_id FROM fov WHERE camera='equirectangular' AND floor(v)<118", "points images")
 def field_of_view(spark, sf):
-    mask = spark.range(256).select(F.lit("equirectangular").alias("camera"), F.col("id").alias("px"), F.explode(F.sequence(F.lit(0), F.lit(117))).cast("long").alias("py"))
+    mask = spark.range(256).select(F.lit("equirectangular").alias("camera"), F.col("id").alias("px"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(117).cast("long"))).alias("py"))
     return cam.in_view(projected(spark, sf, "equirectangular"), mask, on=("camera",)).select("image_id", "point_id")
 
 
@@ -142,7 +142,7 @@ w AS (SELECT image_id, point_id*3 AS slot, u, v, dist FROM f UNION ALL SELECT im
 pr AS (SELECT f.image_id, f.point_id, f.dist, w.dist AS dn, row_number() OVER (PARTITION BY f.image_id, f.point_id ORDER BY (f.u-w.u)*(f.u-w.u)+(f.v-w.v)*(f.v-w.v), slot) AS rk FROM f JOIN w ON f.image_id=w.image_id),
 a AS (SELECT image_id, point_id, max(dist) AS dist, min(dn) AS lo, max(dn) AS hi FROM pr WHERE rk<=6 GROUP BY 1,2),
 al AS (SELECT image_id, point_id, CASE WHEN hi>lo THEN exp(-(((dist-lo)/(hi-lo))*((dist-lo)/(hi-lo)))) ELSE 1 END AS alpha FROM a)
-SELECT image_id, point_id, {six('alpha')} AS alpha FROM al QUALIFY alpha>=0.5""", "points images")
+SELECT image_id, point_id, {six('alpha')} AS alpha FROM al WHERE alpha>=0.5""", "points images")
 def knn_visibility(spark, sf):
     s = seen(spark, sf).where("camera = 'equirectangular'")
     return op.visible_by_knn(s, 6, 16, 0.5).select("image_id", "point_id", six_digits("alpha").alias("alpha"))

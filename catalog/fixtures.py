@@ -167,8 +167,8 @@ FROM (SELECT s_suppkey AS image_id, unnest(range(0,32)) AS px FROM supplier), ra
 
 def image_pixels(spark, sf):
     k = read(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(31))).cast("long").alias("px"))
-    k = k.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("long").alias("py"))
+        F.col("s_suppkey").alias("image_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).alias("px"))
+    k = k.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("py"))
     edge = (F.col("px") == 0) | (F.col("py") == 0)
     return k.select("*", *[
         F.when(edge, 7).otherwise(key_hash(f"p{c}", "image_id", "px", "py") % 256).cast("double").alias(c) for c in "rgb"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def as_col(value) -> Column:
@@ -74,3 +74,14 @@ def dot(a, b) -> Column:
 def ladder(value, bounds) -> Column:
     """How many of the ascending bounds lie at or below the value."""
     return sum((F.when(as_col(value) >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+
+
+def bind(df: DataFrame, struct: Column | None = None, **cols) -> DataFrame:
+    """Add columns whose values are computed once per row.
+
+    Plain projections are merged and filters are pushed through them by
+    substitution, which repeats long formulas in every place that uses them. A
+    one-row generator keeps the formula and its uses apart.
+    """
+    struct = struct if struct is not None else F.struct(*[c.alias(n) for n, c in cols.items()])
+    return df.select("*", F.inline(F.array(struct)))

@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.maths import half_even, rigid_inverse
+from ..functions.maths import bind, half_even, rigid_inverse
 
 # The guards of the projection formulas.
 FISHEYE_EPS = 1e-4
@@ -58,35 +58,29 @@ def offset_to_camera() -> list[Column]:
     return [F.col(a) - F.col(f"c{a}") for a in "xyz"]
 
 
-def project_equirectangular() -> tuple[Column, Column, Column]:
-    d = offset_to_camera()
-    v = _to_camera(d)
-    r = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    t = F.atan2(v[1], v[0])
-    p = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v[2] / r)))
+def _in_camera_frame(df: DataFrame, offset, prefix="__p") -> DataFrame:
+    """The camera-frame coordinates and their length, computed once per row."""
+    p = _to_camera(offset)
+    df = bind(df, **{f"{prefix}{i+1}": e for i, e in enumerate(p)})
+    q = [F.col(f"{prefix}{i}") for i in (1, 2, 3)]
+    return bind(df, **{f"{prefix}n": F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2])})
+
+
+def equirectangular_pixel(p, r) -> tuple[Column, Column, Column]:
+    t = F.atan2(p[1], p[0])
+    a = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), p[2] / F.when(r != 0, r))))
     px = F.pmod((F.col("px_w") - 1) * (1 - t / math.pi) / 2, F.col("px_w").cast("double"))
-    py = F.pmod((F.col("px_h") - 1) * p / math.pi, F.col("px_h").cast("double"))
-    fix = lambda c: F.when(F.isnan(c), F.lit(0.0)).otherwise(c)
-    return fix(px), fix(py), r
+    py = F.pmod((F.col("px_h") - 1) * a / math.pi, F.col("px_h").cast("double"))
+    return F.nanvl(F.coalesce(px, F.lit(0.0)), F.lit(0.0)), F.nanvl(F.coalesce(py, F.lit(0.0)), F.lit(0.0)), r
 
 
-def project_pinhole(pose: str = "c2w") -> tuple[Column, Column, Column]:
-    """'c2w': p = Rt (x - T); 'inv': p = E^-1 x with the precomputed inverse."""
-    if pose == "inv":
-        p = [e + F.col(f"t{i+1}") for i, e in enumerate(_to_camera([F.col(a) for a in "xyz"]))]
-    else:
-        p = _to_camera(offset_to_camera())
+def pinhole_pixel(p) -> tuple[Column, Column, Column]:
     z = F.when(p[2] != 0, p[2])
     return p[0] * F.col("fx") / z + F.col("mx"), p[1] * F.col("fy") / z + F.col("my"), p[2]
 
 
-def project_fisheye(dz: Column | None = None) -> tuple[Column, Column, Column]:
-    """Unit sphere shifted by xi, radial k1 and k2, then gamma and centre; dz lifts the point first."""
-    d = offset_to_camera()
-    if dz is not None:
-        d[2] = F.col("z") + dz - F.col("cz")
-    p = _to_camera(d)
-    n = F.sqrt(p[0] * p[0] + p[1] * p[1] + p[2] * p[2])
+def fisheye_pixel(p, n) -> tuple[Column, Column, Column]:
+    """Unit sphere shifted by xi, radial k1 and k2, then gamma and centre."""
     u = [c / (n + FISHEYE_EPS) for c in p]
     down = F.when(u[2] + F.col("xi") != 0, u[2] + F.col("xi"))
     x, y = u[0] / down, u[1] / down
@@ -97,19 +91,27 @@ def project_fisheye(dz: Column | None = None) -> tuple[Column, Column, Column]:
     return F.col("gamma1") * radial * x + F.col("u0"), F.col("gamma2") * radial * y + F.col("v0"), depth
 
 
-def project(df: DataFrame, camera: str, pose: str = "c2w") -> DataFrame:
-    """Add fractional pixel u, v, the depth along the view axis and the distance to the camera."""
+def project(df: DataFrame, pose: str = "c2w") -> DataFrame:
+    """Add fractional pixel u, v, the depth along the view axis and the distance to the camera.
+
+    The row's camera column picks the model. For pinhole cameras ``pose`` 'c2w'
+    is p = Rt (x - T), 'inv' is p = E^-1 x with the precomputed inverse.
+    """
     d = offset_to_camera()
-    dist = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    if camera == "equirectangular":
-        u, v, z = project_equirectangular()
-    elif camera == "pinhole":
-        u, v, z = project_pinhole(pose)
-    elif camera == "fisheye":
-        u, v, z = project_fisheye()
-    else:
-        raise ValueError(f"unknown camera {camera!r}")
-    return df.withColumns({"u": u, "v": v, "depth_z": z, "dist": dist})
+    df = bind(df, dist=F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+    df = _in_camera_frame(df, d)
+    p = [F.col(f"__p{i}") for i in (1, 2, 3)]
+    flat = p
+    if pose == "inv":
+        flat = [e + F.col(f"t{i+1}") for i, e in enumerate(_to_camera([F.col(a) for a in "xyz"]))]
+
+    def as_struct(uvz):
+        return F.struct(*[c.alias(n) for n, c in zip(("u", "v", "depth_z"), uvz)])
+
+    model = F.when(F.col("camera") == "equirectangular", as_struct(equirectangular_pixel(p, F.col("dist"))))
+    model = model.when(F.col("camera") == "pinhole", as_struct(pinhole_pixel(flat)))
+    model = model.otherwise(as_struct(fisheye_pixel(p, F.col("__pn"))))
+    return bind(df, model).drop("__p1", "__p2", "__p3", "__pn")
 
 
 def in_view(df: DataFrame, masks: DataFrame | None = None, top: int = 0, bottom: int = 0, on=("setting_id",)) -> DataFrame:
@@ -124,31 +126,38 @@ def in_view(df: DataFrame, masks: DataFrame | None = None, top: int = 0, bottom:
     return out.join(m, [*on, "__mx", "__my"], "left_semi").drop("__mx", "__my")
 
 
-def splat_box(df: DataFrame, camera: str, voxel: float = 0.02, k: float = 1.0, d: float = 1000.0, top=0, bottom=0) -> DataFrame:
+def splat_box(df: DataFrame, voxel: float = 0.02, k: float = 1.0, d: float = 1000.0, top=0, bottom=0) -> DataFrame:
     """Pixel box xa <= px < xb, ya <= py < yb that a point covers, from its angular size."""
+    u, v = F.col("u"), F.col("v")
     swell = 1 + F.lit(float(k)) * F.exp(-F.col("dist") / math.log(d))
     angle = swell * float(voxel) / F.when(F.col("dist") != 0, F.col("dist"))
     w, h = F.col("px_w").cast("double"), F.col("px_h").cast("double")
-    if camera == "equirectangular":
-        wy = angle * h / math.pi
-        wx = angle * w / (2.0 * math.pi) / (F.sin(F.lit(math.pi) / h * F.col("v")) + POLE_EPS)
-    elif camera == "pinhole":
-        wx, wy = angle * F.col("fx"), angle * F.col("fy")
-    else:
-        # The reference length of the swell is that of the point itself, not of its offset to the camera.
-        norm = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-        lift = (1 + F.lit(float(k)) * F.exp(-norm / math.log(d))) * float(voxel) / 2
-        u2, v2, _ = project_fisheye(lift)
-        wx = 2 * F.sqrt((F.col("u") - u2) * (F.col("u") - u2) + (F.col("v") - v2) * (F.col("v") - v2))
-        wy = wx
+    df = bind(df, __angle=angle)
+    # Fisheye: twice the pixel distance to the lifted voxel top. The length in
+    # its swell is that of the point itself, not of its offset to the camera.
+    norm = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    lift = (1 + F.lit(float(k)) * F.exp(-norm / math.log(d))) * float(voxel) / 2
+    off = offset_to_camera()
+    df = _in_camera_frame(df, [off[0], off[1], F.col("z") + lift - F.col("cz")], "__q")
+    u2, v2, _ = fisheye_pixel([F.col(f"__q{i}") for i in (1, 2, 3)], F.col("__qn"))
+    both = lambda a, b: F.struct(a.alias("__wx"), b.alias("__wy"))
+    flat = F.col("camera")
+    top_pixel = F.when(flat == "fisheye", F.struct(u2.alias("__u2"), v2.alias("__v2"))).otherwise(F.struct(u.alias("__u2"), v.alias("__v2")))
+    df = bind(df, top_pixel)
+    gap = 2 * F.sqrt((u - F.col("__u2")) * (u - F.col("__u2")) + (v - F.col("__v2")) * (v - F.col("__v2")))
+    a = F.col("__angle")
+    panorama = both(a * w / (2.0 * math.pi) / (F.sin(F.lit(math.pi) / h * v) + POLE_EPS), a * h / math.pi)
+    df = bind(df, F.when(flat == "equirectangular", panorama).when(flat == "pinhole", both(a * F.col("fx"), a * F.col("fy"))).otherwise(both(gap, gap)))
+    wx, wy = F.col("__wx"), F.col("__wy")
     clamp = lambda c, lo, hi: F.greatest(lo, F.least(c, hi))
     W, H = F.col("px_w").cast("long"), F.col("px_h").cast("long")
     low, one = F.lit(top).cast("long"), F.lit(1).cast("long")
     return df.withColumns({
-        "xa": clamp(half_even(F.col("u") - wx / 2), F.lit(0).cast("long"), W - 1),
-        "xb": clamp(half_even(F.col("u") + wx / 2 + 1), one, W),
-        "ya": clamp(half_even(F.col("v") - wy / 2), low, H - bottom - 1),
-        "yb": clamp(half_even(F.col("v") + wy / 2 + 1), low + 1, H - bottom)})
+        "xa": clamp(half_even(u - wx / 2), F.lit(0).cast("long"), W - 1),
+        "xb": clamp(half_even(u + wx / 2 + 1), one, W),
+        "ya": clamp(half_even(v - wy / 2), low, H - bottom - 1),
+        "yb": clamp(half_even(v + wy / 2 + 1), low + 1, H - bottom)}).drop(
+            "__angle", "__q1", "__q2", "__q3", "__qn", "__u2", "__v2", "__wx", "__wy")
 
 
 def adjust_intrinsics(images: DataFrame, width: int, height: int, off_x=0, off_y=0) -> DataFrame:

@@ -6,11 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.maths import squared_distance
 from .camera import in_view, prepare_images, project, splat_box
 from .neighbours import nearest_join, radius_join
 
 SCAN = ("scan_id",)
+FEATURES = ("depth", "linearity", "planarity", "scattering", "orientation", "height")
 CAMERA = ("camera", "px_w", "px_h", "cx", "cy", "cz", "fx", "fy", "mx", "my", "xi", "k1", "k2", "gamma1", "gamma2", "u0", "v0",
           *[f"m{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)], "t1", "t2", "t3")
 
@@ -25,23 +25,27 @@ def candidate_views(points: DataFrame, images: DataFrame, r_max: float, r_min: f
     return out.where(F.col("d2") > r_min * r_min)
 
 
-def z_buffer(df: DataFrame, keys=("scan_id", "image_id"), exact: bool = False) -> DataFrame:
-    """(keys, px, py, point_id): the nearest point per pixel, equal distance to the lowest id.
+def z_buffer(df: DataFrame, keys=("scan_id", "image_id"), exact: bool = False, carry=()) -> DataFrame:
+    """(keys, px, py, point_id, carry): the nearest point per pixel, equal distance to the lowest id.
 
     The boxes are unfolded and reduced per pixel; the map side reduces before
-    the shuffle. With ``exact`` a seen point holds only the pixel it projects
-    to, and of several the highest id.
+    the shuffle, and the carried columns of the view travel with it. With
+    ``exact`` a seen point holds only the pixel it projects to, and of several
+    the highest id.
     """
-    keys = list(keys)
-    pix = df.select(*keys, "point_id", "dist", "ya", "yb", F.explode(F.sequence("xa", F.col("xb") - 1)).alias("px"))
-    pix = pix.select(*keys, "point_id", "dist", "px", F.explode(F.sequence("ya", F.col("yb") - 1)).alias("py"))
-    near = pix.groupBy(*keys, "px", "py").agg(F.min(F.struct("dist", "point_id")).alias("__m"))
-    near = near.select(*keys, "px", "py", F.col("__m.point_id").alias("point_id"))
+    keys, carry = list(keys), list(carry)
+    own = [F.col("u").cast("long").alias("__ou"), F.col("v").cast("long").alias("__ov")] if exact else []
+    extra = ["__ou", "__ov"] if exact else []
+    pix = df.select(*keys, "point_id", "dist", *carry, *own, "ya", "yb", F.explode(F.sequence("xa", F.col("xb") - 1)).alias("px"))
+    pix = pix.withColumn("py", F.explode(F.sequence("ya", F.col("yb") - 1)))
+    first = F.min(F.struct("dist", "point_id", *[F.col(c).alias(f"__k_{c}") for c in carry], *extra))
+    near = pix.groupBy(*keys, "px", "py").agg(first.alias("__m"))
+    back = [F.col("__m.point_id").alias("point_id"), *[F.col(f"__m.__k_{c}").alias(c) for c in carry]]
     if not exact:
-        return near
-    seen = near.select(*keys, "point_id").distinct()
-    own = df.select(*keys, "point_id", F.col("u").cast("long").alias("px"), F.col("v").cast("long").alias("py"))
-    return own.join(seen, keys + ["point_id"], "left_semi").groupBy(*keys, "px", "py").agg(F.max("point_id").alias("point_id"))
+        return near.select(*keys, "px", "py", *back)
+    seen = near.select(*keys, *back, F.col("__m.__ou").alias("px"), F.col("__m.__ov").alias("py"))
+    last = seen.groupBy(*keys, "px", "py").agg(F.max(F.struct("point_id", *carry)).alias("__m"))
+    return last.select(*keys, "px", "py", "__m.*")
 
 
 def visible_by_depth(df: DataFrame, depth: DataFrame, threshold: float) -> DataFrame:
@@ -97,37 +101,36 @@ def project_views(points: DataFrame, images: DataFrame, r_max: float, r_min: flo
     point_cols = ("x", "y", "z", *carry)
     q_carry = [c for c in CAMERA if c in cams.columns] + (["setting_id"] if "setting_id" in cams.columns else [])
     cand = candidate_views(points, cams, r_max, r_min, cylinder, by, carry=point_cols, q_carry=q_carry, cell=cell)
-    parts = []
-    for camera in ("equirectangular", "pinhole", "fisheye"):
-        rows = in_view(project(cand.where(F.col("camera") == camera), camera, pose), masks, top, bottom)
-        parts.append(splat_box(rows, camera, voxel, k_swell, d_swell, top, bottom))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return splat_box(in_view(project(cand, pose), masks, top, bottom), voxel, k_swell, d_swell, top, bottom)
 
 
 def map_images(points: DataFrame, images: DataFrame, method: str = "splat", r_max: float = 8.0, r_min: float = 0.5,
                exact=False, upscale: int = 1, downscale: int = 1, crop=None, depth: DataFrame | None = None,
-               threshold: float = 0.05, k: int = 75, masks=None, by=SCAN, carry=(), **params) -> DataFrame:
+               threshold: float = 0.05, k: int = 75, margin: float | None = None, knn_threshold=None, masks=None, by=SCAN, carry=(), **params) -> DataFrame:
     """The mapping: one row per (scan, image, point, px, py) with the view features.
 
     ``crop`` is (off_x, off_y, width, height) in pixels after the upscale
     factor is taken out. Images that see nothing are absent.
     """
     seen = project_views(points, images, r_max, r_min, masks=masks, by=by, carry=carry, **params)
+    seen = view_features(seen, r_min, r_max)
+    names = [c for c in FEATURES if c in seen.columns]
     keys = [*by, "image_id"]
+    at = [F.col("u").cast("long").alias("px"), F.col("v").cast("long").alias("py")]
     if method == "splat":
-        pixels = z_buffer(seen, keys, exact)
+        pixels = z_buffer(seen, keys, exact, names)
     elif method == "depth":
-        pixels = visible_by_depth(seen, depth, threshold).select(*keys, "px", "py", "point_id")
+        pixels = visible_by_depth(seen, depth, threshold).select(*keys, "px", "py", "point_id", *names)
     elif method == "knn":
-        flat = visible_by_knn(seen, k, params.get("margin"), None, keys)
-        at = seen.select(*keys, "point_id", F.col("u").cast("long").alias("px"), F.col("v").cast("long").alias("py"))
-        pixels = at.join(flat.select(*keys, "point_id"), keys + ["point_id"])
+        flat = visible_by_knn(seen, k, margin, knn_threshold, keys)
+        pixels = seen.select(*keys, "point_id", *names, *at).join(flat.select(*keys, "point_id"), keys + ["point_id"], "left_semi")
     else:
         raise ValueError(f"unknown visibility method {method!r}")
-    return finish_mapping(pixels, seen, r_min, r_max, upscale, downscale, crop, by)
+    return finish_mapping(pixels, names, upscale, downscale, crop, by)
 
 
-def finish_mapping(pixels, seen, r_min, r_max, upscale=1, downscale=1, crop=None, by=SCAN) -> DataFrame:
+def finish_mapping(pixels, names, upscale=1, downscale=1, crop=None, by=SCAN) -> DataFrame:
+    """Pixels without the upscale factor, inside the crop, divided by the downscale; one row per (point, pixel)."""
     keys = [*by, "image_id"]
     pixels = pixels.withColumns({c: F.floor(F.col(c) / upscale) for c in ("px", "py")})
     if crop is not None:
@@ -135,11 +138,9 @@ def finish_mapping(pixels, seen, r_min, r_max, upscale=1, downscale=1, crop=None
         pixels = pixels.withColumns({"px": F.col("px") - ox, "py": F.col("py") - oy})
         pixels = pixels.where((F.col("px") >= 0) & (F.col("px") < w) & (F.col("py") >= 0) & (F.col("py") < h))
     pixels = pixels.withColumns({c: F.floor(F.col(c) / downscale) for c in ("px", "py")})
-    # The features belong to the view, so the duplicates that the division makes are equal rows.
-    pixels = pixels.select(*keys, "point_id", "px", "py").distinct() if upscale * downscale > 1 else pixels.select(*keys, "point_id", "px", "py")
-    feats = view_features(seen, r_min, r_max)
-    names = [c for c in ("depth", "linearity", "planarity", "scattering", "orientation", "height") if c in feats.columns]
-    return pixels.join(feats.select(*keys, "point_id", *names), keys + ["point_id"])
+    pixels = pixels.select(*keys, "point_id", "px", "py", *names)
+    # The features belong to the view, so the copies that the division makes are equal rows.
+    return pixels.dropDuplicates([*keys, "point_id", "px", "py"]) if upscale * downscale > 1 else pixels
 
 
 def number_images(maps: DataFrame, images: DataFrame, by=SCAN) -> DataFrame:
