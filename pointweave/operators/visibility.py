@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.lineage import cut
 from .camera import in_view, prepare_images, project, splat_box
 from .neighbours import nearest_join, radius_join
 
@@ -63,7 +64,8 @@ def depth_from_raster(pixels: DataFrame, scale: float = 512.0) -> DataFrame:
 def visible_by_knn(df: DataFrame, k: int = 75, margin: float | None = None, threshold: float | None = None, keys=("scan_id", "image_id")) -> DataFrame:
     """Points near the front among their k neighbours in the image plane; the seam is bridged by a margin."""
     keys = list(keys)
-    plane = df.select(*keys, "point_id", "u", "v", "dist", "px_w")
+    # Read several times below, so the projected points are written once.
+    plane = cut(df.select(*keys, "point_id", "u", "v", "dist", "px_w"))
     wrapped = plane.withColumn("copy", F.lit(0))
     if margin:
         w = F.col("px_w").cast("double")
