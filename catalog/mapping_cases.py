@@ -140,7 +140,7 @@ def pick_by_credit(spark, sf):
 SELECT scan_id, image_id, CAST(floor(arg_min(r, row(hi-lo+floor(abs((hi+lo)/2.0-128)), r))/256.0*32) AS BIGINT) AS roll FROM r GROUP BY 1,2""", "maps")
 def centre_roll(spark, sf):
     i = fx.images(spark, sf).withColumn("px_w", F.lit(32).cast("long"))
-    return im.centre_roll(fx.maps(spark, sf).where("px < 12 OR px > 20"), i, 8).drop("px_w") if False else im.centre_roll(fx.maps(spark, sf), i, 8).drop("px_w")
+    return im.centre_roll(fx.maps(spark, sf), i, 8).drop("px_w")
 
 
 @case("J7_crop_groups", """WITH b AS (SELECT scan_id, image_id, greatest(min(px)-1,0) AS x0, least(max(px)+1,32) AS x1, greatest(min(py)-1,0) AS y0, least(max(py)+1,16) AS y1 FROM maps WHERE point_id%200=image_id GROUP BY 1,2),

@@ -15,12 +15,16 @@ ID_BITS = 16
 HASH_BITS = 20
 
 
-def running(df: DataFrame, keys, levels, order, sums: dict) -> DataFrame:
+def running(df: DataFrame, keys, levels, order, sums: dict, how: str = "sum") -> DataFrame:
     """Add inclusive running sums within ``keys`` in the order given by ``levels`` then ``order``.
 
     ``levels`` are expressions that cut the order into ever finer buckets; each
-    must be non-decreasing along the order inside the bucket above it.
+    must be non-decreasing along the order inside the bucket above it. With
+    ``how`` 'max' the running maximum of non-null columns is kept instead.
     """
+    fold = {"sum": F.sum, "max": F.max}[how]
+    merge = (lambda a, b: a + b) if how == "sum" else F.greatest
+    empty = F.lit(0) if how == "sum" else F.lit(float("-inf"))
     keys = list(keys)
     lv = [f"__l{i}" for i in range(len(levels))]
     vals = {name: f"__v{i}" for i, name in enumerate(sums)}
@@ -32,7 +36,7 @@ def running(df: DataFrame, keys, levels, order, sums: dict) -> DataFrame:
     tables = [None] * len(lv)
     part = df
     for i in reversed(range(len(lv))):
-        part = part.groupBy(*keys, *lv[: i + 1]).agg(*[F.sum(v).alias(v) for v in vals.values()])
+        part = part.groupBy(*keys, *lv[: i + 1]).agg(*[fold(v).alias(v) for v in vals.values()])
         tables[i] = part
 
     offsets = None
@@ -41,18 +45,18 @@ def running(df: DataFrame, keys, levels, order, sums: dict) -> DataFrame:
         w = w.orderBy(lv[i]).rowsBetween(W.unboundedPreceding, -1)
         here = table.select(
             *keys, *lv[: i + 1],
-            *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}o{i}") for v in vals.values()])
+            *[F.coalesce(fold(v).over(w), empty).alias(f"{v}o{i}") for v in vals.values()])
         if offsets is None:
             offsets = here.withColumnsRenamed({f"{v}o0": f"{v}o" for v in vals.values()})
         else:
             offsets = _null_safe(here, offsets, keys + lv[:i])
             for v in vals.values():
-                offsets = offsets.withColumn(f"{v}o", F.col(f"{v}o") + F.col(f"{v}o{i}")).drop(f"{v}o{i}")
+                offsets = offsets.withColumn(f"{v}o", merge(F.col(f"{v}o"), F.col(f"{v}o{i}"))).drop(f"{v}o{i}")
 
     out = _null_safe(df, offsets, keys + lv)
     w = W.partitionBy(*keys, *lv).orderBy(*[as_col(o) for o in order]).rowsBetween(W.unboundedPreceding, 0)
     for name, v in vals.items():
-        out = out.withColumn(name, F.sum(v).over(w) + F.col(f"{v}o"))
+        out = out.withColumn(name, merge(fold(v).over(w), F.col(f"{v}o")))
     return out.drop(*lv, *vals.values(), *[f"{v}o" for v in vals.values()])
 
 
