@@ -191,7 +191,7 @@ def average_precision(spark, sf):
     return op.average_precision(b).withColumn("ap", six_digits("ap")).join(op.average_precision(b, weight="weight").select("class", six_digits("ap").alias("weighted")), "class")
 
 
-LOG = "log AS (SELECT user_id%5 AS run, CASE event_id%2 WHEN 0 THEN 'train' ELSE 'val' END AS stage, CAST(epoch(ts)//86400 AS BIGINT) AS epoch, CASE event_type WHEN 'error' THEN 'loss' WHEN 'view' THEN 'miou' ELSE event_type END AS name, value FROM events)"
+LOG = "log AS (SELECT user_id%5 AS run, CASE event_id%2 WHEN 0 THEN 'train' ELSE 'val' END AS stage, CAST(floor(epoch(ts)/86400) AS BIGINT) AS epoch, CASE event_type WHEN 'error' THEN 'loss' WHEN 'view' THEN 'miou' ELSE event_type END AS name, value FROM events)"
 
 
 def log(spark, sf):
