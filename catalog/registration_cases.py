@@ -268,7 +268,7 @@ def volume_bounds(spark, sf):
 
 
 # A volume with a fixed origin per fragment keeps the pixel rounding away from ties.
-TS = """vx AS (SELECT seq, fragment, i, j, k, -1.53+i*0.25 AS x, -1.07+j*0.25 AS y, 0.61+k*0.25 AS z FROM (SELECT seq, frame//4 AS fragment FROM frames GROUP BY 1,2 HAVING count(*)=4), range(0,12) a(i), range(0,8) b(j), range(0,10) c(k)),
+TS = """vx AS (SELECT seq, fragment, i, j, k, CAST(-1.53 AS DOUBLE)+i*CAST(0.25 AS DOUBLE) AS x, CAST(-1.07 AS DOUBLE)+j*CAST(0.25 AS DOUBLE) AS y, CAST(0.61 AS DOUBLE)+k*CAST(0.25 AS DOUBLE) AS z FROM (SELECT seq, frame//4 AS fragment FROM frames GROUP BY 1,2 HAVING count(*)=4), range(0,12) a(i), range(0,8) b(j), range(0,10) c(k)),
 cm AS (SELECT v.*, f.frame, ca*(x-tx)+sa*(y-ty) AS x0, -sa*(x-tx)+ca*(y-ty) AS y0 FROM vx v JOIN frames f ON f.seq=v.seq AND f.frame//4=v.fragment),
 px AS (SELECT *, CAST(round_even(x0*16/z+8,0) AS BIGINT) AS u, CAST(round_even(y0*16/z+6,0) AS BIGINT) AS w FROM cm),
 ts AS (SELECT px.seq, fragment, i, j, k, avg(least(1, (mm/1000-z)/1.25)) AS tsdf, count(*) AS w FROM px JOIN depth d ON d.seq=px.seq AND d.frame=px.frame AND d.u=px.u AND d.v=px.w WHERE mm>0 AND mm/1000-z>=-1.25 GROUP BY 1,2,3,4,5)"""

@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.lineage import cut
 from ..functions.groups import top_per_group
 from ..functions.maths import six_digits, squared_distance
 from ..functions.rand import key_hash
@@ -119,6 +120,8 @@ def nearest_join(q: DataFrame, s: DataFrame, k: int, r: float | None = None, by=
     reach = bound.unionByName(none)
     if r is not None:
         reach = reach.withColumn("__r", F.least(F.coalesce("__r", F.lit(float(r))), F.lit(float(r))))
+    # One row per query place, read by three branches below: written once, so the first search runs once.
+    reach = cut(reach)
 
     # A grid whose cells are at least as large as the bound, so that at most 27 cells are met.
     fit = F.when(F.col("__r").isNull(), F.lit(-1)).otherwise(
