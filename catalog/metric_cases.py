@@ -206,9 +206,10 @@ def mean_meter(spark, sf):
     return op.mean_meter(log(spark, sf)).withColumn("mean", six_digits("mean"))
 
 
-@case("M15_running_stats", f"WITH {LOG} SELECT run, epoch, name, count(*) AS n, {six('avg(value)')} AS mean, floor(coalesce(var_samp(value), 0)*CAST(1e5 AS DOUBLE)+CAST(0.5 AS DOUBLE))/CAST(1e5 AS DOUBLE) AS variance FROM log GROUP BY 1,2,3")
+@case("M15_running_stats", f"WITH {LOG}, w AS (SELECT run, epoch, name, round_even(value*100, 0) AS v FROM log) SELECT run, epoch, name, count(*) AS n, {six('avg(v)')} AS mean, {six('coalesce(var_samp(v), 0)')} AS variance FROM w GROUP BY 1,2,3")
 def running_stats(spark, sf):
-    return op.running_stats(log(spark, sf), ("run", "epoch", "name")).select("run", "epoch", "name", "n", six_digits("mean").alias("mean"), (F.floor(F.col("variance") * 1e5 + 0.5) / F.lit(1e5)).alias("variance"))
+    cents = log(spark, sf).withColumn("value", F.rint(F.col("value") * 100))
+    return op.running_stats(cents, ("run", "epoch", "name")).select("run", "epoch", "name", "n", six_digits("mean").alias("mean"), six_digits("variance").alias("variance"))
 
 
 BEST = f"""{LOG}, a AS (SELECT run, stage, epoch, name, max(value) AS value FROM log GROUP BY ALL),

@@ -182,7 +182,7 @@ def translate(spark, sf):
     return au.translate(fx.points(spark, sf), -0.5, 0.5, "tr").select("point_id", six_digits("x").alias("x"), six_digits("z").alias("z"))
 
 
-@case("G4_scale", f"WITH f AS (SELECT *, 0.5+{u('sl/x', 'scan_id')} AS a, 0.5+{u('sl/y', 'scan_id')} AS b, 0.5+{u('sl/z', 'scan_id')} AS c FROM points) SELECT point_id, {six('x*a')} AS x, {six('(1/a)/sqrt(1/a*(1/a)+2/b*(2/b)+2/c*(2/c))')} AS nx FROM f", "points")
+@case("G4_scale", f"WITH f AS (SELECT *, 0.5+{u('sl/x', 'scan_id')} AS fa, 0.5+{u('sl/y', 'scan_id')} AS fb, 0.5+{u('sl/z', 'scan_id')} AS fc FROM points) SELECT point_id, {six('x*fa')} AS x, {six('(1/fa)/sqrt(1/fa*(1/fa)+2/fb*(2/fb)+2/fc*(2/fc))')} AS nx FROM f", "points")
 def scale(spark, sf):
     p = fx.points(spark, sf).withColumns({"nx": F.lit(1.0), "ny": F.lit(2.0), "nz": F.lit(2.0)})
     return au.scale_random(p, 0.5, 1.5, "sl").select("point_id", six_digits("x").alias("x"), six_digits("nx").alias("nx"))
