@@ -113,9 +113,8 @@ def scene_annotations(spark, sf):
     g = o.groupBy("scan_id").agg(F.collect_list(F.struct(F.col("instance").alias("objectId"), F.concat(F.lit("class "), F.col("instance") % 7).alias("label"), "segments")).alias("segGroups"))
     v = p.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", "segment"))), lambda s: s["segment"]).alias("segIndices"))
     for name, d in (("aggregation", g), ("segs", v)):
-        _json_files(d, f"{root}/{name}", name)
-    gg = text.read_scene_annotations(spark, f"{root}/aggregation")[0]
-    vv = text.read_scene_annotations(spark, f"{root}/segs")[1]
+        _json_files(d, root, name)
+    gg, vv = text.read_scene_annotations(spark, root)
     scan = F.regexp_extract("scan", r"(\d+)", 1).cast("long").alias("scan_id")
     return gg.select(F.lit("g").alias("part"), scan, F.col("object").alias("a"), "raw", "segment").union(
         vv.select(F.lit("v"), scan, F.col("vertex").cast("long"), F.lit(""), "segment"))
@@ -156,25 +155,16 @@ def _mats(tag, key, i):
     return f"CAST({h(f'{tag}{i}', key)}%1024 AS DOUBLE)/1024"
 
 
-@case("A10_read_axis_alignment", f"SELECT s_suppkey, {_mats('al', 's_suppkey', 0)} AS a, {_mats('al', 's_suppkey', 7)} AS b FROM supplier WHERE s_suppkey%5<>0")
+@case("A10_read_axis_alignment", f"SELECT {_mats('al', 's_suppkey', 0)} AS a, {_mats('al', 's_suppkey', 7)} AS b FROM supplier WHERE s_suppkey%5<>0")
 def axis_alignment(spark, sf):
     k = F.col("s_suppkey")
-    line = F.when(k % 5 == 0, "nothing = 1").otherwise(F.concat(F.lit("axisAlignment = "), F.concat_ws(" ", *_mat("al", k, 16))))
-    s = fx.read(spark, sf, "supplier").select(k.alias("id"), F.concat_ws("\n", F.concat(F.lit("scan = "), k), line, F.lit("axisAlignment = 9")).alias("value"))
-    return _align(spark, s)
-
-
-def _align(spark, s):
-    s = s.where("id % 5 <> 0").unionByName(s.where("id % 5 = 0").withColumn("value", F.lit("nothing = 1")))
+    line = F.when(k % 5 == 0, "nothing = 1").otherwise(F.concat(F.lit("axisAlignment = "), F.concat_ws(" ", *_mat("al", k, 16)), F.lit("\naxisAlignment = 9")))
+    s = fx.read(spark, sf, "supplier").select(k.alias("id"), F.concat_ws("\n", F.concat(F.lit("scan = "), k), line).alias("value"))
     path = scratch(spark)
-    s.write.partitionBy("id").text(path)
-    m = text.read_axis_alignment(spark, f"{path}/*/*.txt")
-    ids = spark.read.option("wholetext", True).text(f"{path}/*/*.txt").select(F.regexp_replace(text.path_part(1), r"\.txt$", "").alias("scan"), text.path_part(2).alias("d"))
-    ids = ids.select("scan", F.regexp_extract("d", r"(\d+)", 1).cast("long").alias("s_suppkey"), "d")
-    # Part files of different folders can share a name, so the folder's scan is read by its own listing.
-    first = F.regexp_extract(F.col("value"), r"scan = (\d+)", 1)
-    whole = spark.read.option("wholetext", True).text(f"{path}/*/*.txt").select(F.regexp_replace(text.path_part(1), r"\.txt$", "").alias("scan"), first.alias("n")).where("n <> ''")
-    return m.join(whole, "scan").select(F.col("n").cast("long").alias("s_suppkey"), F.col("pose")[0][0].alias("a"), F.col("pose")[1][3].alias("b"))
+    # One folder per scan, so that one file is one scan; the reader names a scan by its file.
+    s.repartition(200, "id").write.partitionBy("id").text(path)
+    m = text.read_axis_alignment(spark, f"{path}/*/*.txt", scan_part=2)
+    return m.select(F.col("pose")[0][0].alias("a"), F.col("pose")[1][3].alias("b"))
 
 
 POSE = f"""SELECT s_suppkey, CASE WHEN b THEN y-4.1 ELSE x END AS cx, CASE WHEN b THEN -x+6.25 ELSE y END AS cy, om-{D(math.pi / 2)} AS omega, CASE WHEN b THEN -om ELSE -om-{D(math.pi / 2)} END AS kappa
@@ -215,7 +205,7 @@ def pose_matrix(spark, sf):
     t = fx.read(spark, sf, "part").select((F.col("p_partkey") % 50).alias("seq")).distinct().select("seq", lines.alias("value"), k.alias("id"))
     path = scratch(spark)
     t.select("seq", "value").write.partitionBy("seq").text(path)
-    d = spark.read.option("wholetext", True).text(f"{path}/*/*.txt").select(text.path_part(2).alias("d"), text.matrix_from_flat(text.numbers(F.col("value")), 4, 4).alias("pose"))
+    d = spark.read.text(f"{path}/*/*.txt", wholetext=True).select(text.path_part(2).alias("d"), text.matrix_from_flat(text.numbers(F.col("value")), 4, 4).alias("pose"))
     check = text.read_pose_matrix(spark, f"{path}/*/*.txt").select(F.col("pose")[0][0].alias("a"), F.col("pose")[1][2].alias("b"))
     seq = F.regexp_extract("d", r"(\d+)", 1).cast("long").alias("seq")
     return d.select(seq, F.col("pose")[0][0].alias("a"), F.col("pose")[1][2].alias("b")).join(check, ["a", "b"], "left_semi")

@@ -77,7 +77,7 @@ def read_odometry(spark, root: str, sequence: str, points: DataFrame) -> DataFra
     """
     tr = spark.read.text(f"{root}/{sequence}/calib.txt").where(F.col("value").startswith("Tr:"))
     tr = tr.select(F.lit(sequence).alias("sequence"), _four(numbers(F.element_at(F.split("value", ":"), 2))).alias("tr"))
-    p = spark.read.option("wholetext", True).text(f"{root}/{sequence}/poses.txt").select(F.posexplode(F.split("value", "\n")).alias("rank", "text")).where(F.trim("text") != "")
+    p = spark.read.text(f"{root}/{sequence}/poses.txt", wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("rank", "text")).where(F.trim("text") != "")
     p = p.select(F.lit(sequence).alias("sequence"), "rank", _four(numbers(F.col("text"))).alias("pose")).join(tr, "sequence")
     p = p.select("sequence", "rank", matrix_product(F.col("pose"), F.col("tr")).alias("pose"))
     from pyspark.sql import Window as W
@@ -92,9 +92,9 @@ def read_scan_images(spark, root: str, width: int, height: int) -> DataFrame:
 
     scan/pose/<n>.txt, scan/intrinsic/intrinsic_depth.txt (4x4), scan/<scan>.txt with colorWidth-free axisAlignment.
     """
-    pose = spark.read.option("wholetext", True).text(f"{root}/*/pose/*.txt")
+    pose = spark.read.text(f"{root}/*/pose/*.txt", wholetext=True)
     pose = pose.select(path_part(3).alias("scan"), F.regexp_replace(path_part(1), r"\.txt$", "").cast("long").alias("image_id"), matrix_from_flat(numbers(F.col("value")), 4, 4).alias("pose"))
-    k = spark.read.option("wholetext", True).text(f"{root}/*/intrinsic/intrinsic_depth.txt").select(path_part(3).alias("scan"), numbers(F.col("value")).alias("k"))
+    k = spark.read.text(f"{root}/*/intrinsic/intrinsic_depth.txt", wholetext=True).select(path_part(3).alias("scan"), numbers(F.col("value")).alias("k"))
     align = read_axis_alignment(spark, f"{root}/*/*.txt").withColumnRenamed("pose", "align")
     j = pose.join(k, "scan").join(align, "scan", "left")
     j = j.withColumn("pose", F.when(F.col("align").isNotNull(), matrix_product(F.col("align"), F.col("pose"))).otherwise(F.col("pose")))
