@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -11,6 +12,8 @@ from .camera import in_view, prepare_images, project, splat_box
 from .neighbours import nearest_join, radius_join
 
 SCAN = ("scan_id",)
+# One more than the largest id.
+ID_SPAN = Decimal(10 ** 19)
 FEATURES = ("depth", "linearity", "planarity", "scattering", "orientation", "height")
 CAMERA = ("camera", "px_w", "px_h", "cx", "cy", "cz", "fx", "fy", "mx", "my", "xi", "k1", "k2", "gamma1", "gamma2", "u0", "v0",
           *[f"m{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)], "t1", "t2", "t3")
@@ -29,23 +32,26 @@ def candidate_views(points: DataFrame, images: DataFrame, r_max: float, r_min: f
 def z_buffer(df: DataFrame, keys=("scan_id", "image_id"), exact: bool = False, carry=()) -> DataFrame:
     """(keys, px, py, point_id, carry): the nearest point per pixel, equal distance to the lowest id.
 
-    The boxes are unfolded and reduced per pixel; the map side reduces before
-    the shuffle, and the carried columns of the view travel with it. With
-    ``exact`` a seen point holds only the pixel it projects to, and of several
-    the highest id.
+    Unfolding the boxes makes by far the most rows, so they are kept narrow and
+    are reduced on the map side: distance and id are packed into one decimal,
+    whose minimum is a plain hash aggregate. Distances count as equal below
+    1e-12 of the unit. The carried columns of a view are joined to the winners.
+    With ``exact`` a seen point holds only the pixel it projects to, and of
+    several the highest id.
     """
     keys, carry = list(keys), list(carry)
-    own = [F.col("u").cast("long").alias("__ou"), F.col("v").cast("long").alias("__ov")] if exact else []
-    extra = ["__ou", "__ov"] if exact else []
-    pix = df.select(*keys, "point_id", "dist", *carry, *own, "ya", "yb", F.explode(F.sequence("xa", F.col("xb") - 1)).alias("px"))
-    pix = pix.withColumn("py", F.explode(F.sequence("ya", F.col("yb") - 1)))
-    first = F.min(F.struct("dist", "point_id", *[F.col(c).alias(f"__k_{c}") for c in carry], *extra))
-    near = pix.groupBy(*keys, "px", "py").agg(first.alias("__m"))
-    back = [F.col("__m.point_id").alias("point_id"), *[F.col(f"__m.__k_{c}").alias(c) for c in carry]]
+    near = F.floor(F.least(F.col("dist"), F.lit(999999.0)) * 1e12).cast("decimal(18,0)")
+    packed = ((near * F.lit(ID_SPAN).cast("decimal(20,0)")).cast("decimal(38,0)") + F.col("point_id").cast("decimal(19,0)")).cast("decimal(38,0)")
+    pix = df.select(*keys, packed.alias("__z"), "ya", "yb", F.explode(F.sequence("xa", F.col("xb") - 1)).alias("px"))
+    pix = pix.select(*keys, "__z", "px", F.explode(F.sequence("ya", F.col("yb") - 1)).alias("py"))
+    near = pix.groupBy(*keys, "px", "py").agg(F.min("__z").alias("__z"))
+    near = near.select(*keys, "px", "py", (F.col("__z") % F.lit(ID_SPAN).cast("decimal(20,0)")).cast("long").alias("point_id"))
+    views = df.select(*keys, "point_id", *carry)
     if not exact:
-        return near.select(*keys, "px", "py", *back)
-    seen = near.select(*keys, *back, F.col("__m.__ou").alias("px"), F.col("__m.__ov").alias("py"))
-    last = seen.groupBy(*keys, "px", "py").agg(F.max(F.struct("point_id", *carry)).alias("__m"))
+        return near.join(views, keys + ["point_id"]).select(*keys, "px", "py", "point_id", *carry) if carry else near
+    seen = near.select(*keys, "point_id").distinct()
+    own = df.select(*keys, "point_id", F.col("u").cast("long").alias("px"), F.col("v").cast("long").alias("py"), *carry)
+    last = own.join(seen, keys + ["point_id"], "left_semi").groupBy(*keys, "px", "py").agg(F.max(F.struct("point_id", *carry)).alias("__m"))
     return last.select(*keys, "px", "py", "__m.*")
 
 
@@ -101,6 +107,8 @@ def project_views(points: DataFrame, images: DataFrame, r_max: float, r_min: flo
     """Candidates, projection, field of view and splat box, camera model by camera model."""
     cams = prepare_images(images)
     point_cols = ("x", "y", "z", *carry)
+    # A point meets many images and every view many pixels: spread the points evenly before that.
+    points = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "point_id")
     q_carry = [c for c in CAMERA if c in cams.columns] + (["setting_id"] if "setting_id" in cams.columns else [])
     cand = candidate_views(points, cams, r_max, r_min, cylinder, by, carry=point_cols, q_carry=q_carry, cell=cell)
     return splat_box(in_view(project(cand, pose), masks, top, bottom), voxel, k_swell, d_swell, top, bottom)
