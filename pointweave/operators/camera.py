@@ -1,17 +1,19 @@
 """Camera models as column expressions: rotation, projection, splat size, intrinsics.
 
 A table of (point, image) rows carries the point as x, y, z, the camera
-position as cx, cy, cz and the camera's own columns. Everything below stays in
-JVM expressions.
+position as cx, cy, cz and the camera's own columns. Rotations are column
+expressions on the image table; the long projection formulas run on Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.maths import bind, half_even, rigid_inverse
+from ..functions.maths import rigid_inverse
 
 # The guards of the projection formulas.
 FISHEYE_EPS = 1e-4
@@ -50,45 +52,75 @@ def prepare_images(images: DataFrame, pose_kind: str = "c2w") -> DataFrame:
     return out if has_pose else out.withColumns({f"t{i}": F.lit(0.0) for i in (1, 2, 3)})
 
 
-def _to_camera(v) -> list[Column]:
-    return [F.col(f"m{i}1") * v[0] + F.col(f"m{i}2") * v[1] + F.col(f"m{i}3") * v[2] for i in (1, 2, 3)]
-
-
 def offset_to_camera() -> list[Column]:
     return [F.col(a) - F.col(f"c{a}") for a in "xyz"]
 
 
-def _in_camera_frame(df: DataFrame, offset, prefix="__p") -> DataFrame:
-    """The camera-frame coordinates and their length, computed once per row."""
-    p = _to_camera(offset)
-    df = bind(df, **{f"{prefix}{i+1}": e for i, e in enumerate(p)})
-    q = [F.col(f"{prefix}{i}") for i in (1, 2, 3)]
-    return bind(df, **{f"{prefix}n": F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2])})
+def _doubles(*names):
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
+def _turn(c: pd.DataFrame, v) -> list[np.ndarray]:
+    return [c[f"m{i}1"].to_numpy() * v[0] + c[f"m{i}2"].to_numpy() * v[1] + c[f"m{i}3"].to_numpy() * v[2] for i in (1, 2, 3)]
+
+
+def _length(v) -> np.ndarray:
+    return np.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
 
 
-def equirectangular_pixel(p, r) -> tuple[Column, Column, Column]:
-    t = F.atan2(p[1], p[0])
-    a = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), p[2] / F.when(r != 0, r))))
-    px = F.pmod((F.col("px_w") - 1) * (1 - t / math.pi) / 2, F.col("px_w").cast("double"))
-    py = F.pmod((F.col("px_h") - 1) * a / math.pi, F.col("px_h").cast("double"))
-    return F.nanvl(F.coalesce(px, F.lit(0.0)), F.lit(0.0)), F.nanvl(F.coalesce(py, F.lit(0.0)), F.lit(0.0)), r
+def equirectangular_pixel(c, p, r):
+    w, h = c["px_w"].to_numpy().astype(float), c["px_h"].to_numpy().astype(float)
+    u = np.mod((w - 1) * (1 - np.arctan2(p[1], p[0]) / math.pi) / 2, w)
+    v = np.mod((h - 1) * np.arccos(np.clip(p[2] / r, -1.0, 1.0)) / math.pi, h)
+    return np.nan_to_num(u), np.nan_to_num(v), r
 
 
-def pinhole_pixel(p) -> tuple[Column, Column, Column]:
-    z = F.when(p[2] != 0, p[2])
-    return p[0] * F.col("fx") / z + F.col("mx"), p[1] * F.col("fy") / z + F.col("my"), p[2]
+def pinhole_pixel(c, p):
+    return p[0] * c["fx"].to_numpy() / p[2] + c["mx"].to_numpy(), p[1] * c["fy"].to_numpy() / p[2] + c["my"].to_numpy(), p[2]
 
 
-def fisheye_pixel(p, n) -> tuple[Column, Column, Column]:
+def fisheye_pixel(c, p):
     """Unit sphere shifted by xi, radial k1 and k2, then gamma and centre."""
-    u = [c / (n + FISHEYE_EPS) for c in p]
-    down = F.when(u[2] + F.col("xi") != 0, u[2] + F.col("xi"))
-    x, y = u[0] / down, u[1] / down
+    n = _length(p)
+    down = p[2] / (n + FISHEYE_EPS) + c["xi"].to_numpy()
+    x, y = p[0] / (n + FISHEYE_EPS) / down, p[1] / (n + FISHEYE_EPS) / down
     r2 = x * x + y * y
-    radial = 1 + F.col("k1") * r2 + F.col("k2") * (r2 * r2)
-    eps = F.abs(p[2] + FISHEYE_EPS)
-    depth = n * p[2] / F.when(eps != 0, eps)
-    return F.col("gamma1") * radial * x + F.col("u0"), F.col("gamma2") * radial * y + F.col("v0"), depth
+    radial = 1 + c["k1"].to_numpy() * r2 + c["k2"].to_numpy() * (r2 * r2)
+    return (c["gamma1"].to_numpy() * radial * x + c["u0"].to_numpy(), c["gamma2"].to_numpy() * radial * y + c["v0"].to_numpy(),
+            n * p[2] / np.abs(p[2] + FISHEYE_EPS))
+
+
+# The camera formulas are long: as generated code they outgrow what the JIT compiles, so
+# Arrow batches go through numpy instead, one call per batch of views.
+def _pixel_udf(pose: str):
+    @F.pandas_udf(_doubles("u", "v", "depth_z", "dist"))
+    def pixels(c: pd.DataFrame) -> pd.DataFrame:
+        xyz = [c[a].to_numpy() for a in "xyz"]
+        d = [q - c[f"c{a}"].to_numpy() for q, a in zip(xyz, "xyz")]
+        dist, kind = _length(d), c["camera"].to_numpy()
+        out = np.full((len(c), 3), np.nan)
+        with np.errstate(all="ignore"):
+            for camera in np.unique(kind.astype(str)):
+                at = kind == camera
+                part = c[at]
+                p = _turn(part, [q[at] for q in d])
+                if camera == "equirectangular":
+                    model = equirectangular_pixel(part, p, dist[at])
+                elif camera == "fisheye":
+                    model = fisheye_pixel(part, p)
+                elif pose == "inv":
+                    p = [q + part[f"t{i + 1}"].to_numpy() for i, q in enumerate(_turn(part, [q[at] for q in xyz]))]
+                    model = pinhole_pixel(part, p)
+                else:
+                    model = pinhole_pixel(part, p)
+                out[at] = np.stack(model, 1)
+        return pd.DataFrame({"u": out[:, 0], "v": out[:, 1], "depth_z": out[:, 2], "dist": dist})
+    # Not repeated by the optimizer: a filter on its result must not run it twice.
+    return pixels.asNondeterministic()
+
+
+_CAMERA_COLUMNS = ("camera", "px_w", "px_h", "x", "y", "z", "cx", "cy", "cz", *[f"m{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)],
+                   "fx", "fy", "mx", "my", "xi", "k1", "k2", "gamma1", "gamma2", "u0", "v0")
 
 
 def project(df: DataFrame, pose: str = "c2w") -> DataFrame:
@@ -97,21 +129,9 @@ def project(df: DataFrame, pose: str = "c2w") -> DataFrame:
     The row's camera column picks the model. For pinhole cameras ``pose`` 'c2w'
     is p = Rt (x - T), 'inv' is p = E^-1 x with the precomputed inverse.
     """
-    d = offset_to_camera()
-    df = bind(df, dist=F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
-    df = _in_camera_frame(df, d)
-    p = [F.col(f"__p{i}") for i in (1, 2, 3)]
-    flat = p
-    if pose == "inv":
-        flat = [e + F.col(f"t{i+1}") for i, e in enumerate(_to_camera([F.col(a) for a in "xyz"]))]
-
-    def as_struct(uvz):
-        return F.struct(*[c.alias(n) for n, c in zip(("u", "v", "depth_z"), uvz)])
-
-    model = F.when(F.col("camera") == "equirectangular", as_struct(equirectangular_pixel(p, F.col("dist"))))
-    model = model.when(F.col("camera") == "pinhole", as_struct(pinhole_pixel(flat)))
-    model = model.otherwise(as_struct(fisheye_pixel(p, F.col("__pn"))))
-    return bind(df, model).drop("__p1", "__p2", "__p3", "__pn")
+    extra = [f"t{i}" for i in (1, 2, 3)] if pose == "inv" else []
+    have = [c for c in (*_CAMERA_COLUMNS, *extra) if c in df.columns]
+    return df.withColumn("__p", _pixel_udf(pose)(F.struct(*have))).select("*", "__p.*").drop("__p")
 
 
 def in_view(df: DataFrame, masks: DataFrame | None = None, top: int = 0, bottom: int = 0, on=("setting_id",)) -> DataFrame:
@@ -126,38 +146,36 @@ def in_view(df: DataFrame, masks: DataFrame | None = None, top: int = 0, bottom:
     return out.join(m, [*on, "__mx", "__my"], "left_semi").drop("__mx", "__my")
 
 
+def _splat_udf(voxel: float, k: float, d: float, top: int, bottom: int):
+    @F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("xa", "xb", "ya", "yb")]))
+    def boxes(c: pd.DataFrame) -> pd.DataFrame:
+        u, v, dist, kind = (c[n].to_numpy() for n in ("u", "v", "dist", "camera"))
+        w, h = c["px_w"].to_numpy().astype(float), c["px_h"].to_numpy().astype(float)
+        with np.errstate(all="ignore"):
+            angle = (1 + k * np.exp(-dist / math.log(d))) * voxel / dist
+            pan = kind == "equirectangular"
+            wx = np.where(pan, angle * w / (2 * math.pi) / (np.sin(math.pi / h * v) + POLE_EPS), angle * c["fx"].to_numpy() if "fx" in c else 0.0)
+            wy = np.where(pan, angle * h / math.pi, angle * c["fy"].to_numpy() if "fy" in c else 0.0)
+            fish = kind == "fisheye"
+            if fish.any():
+                # Twice the pixel distance to the lifted voxel top. The length in its
+                # swell is that of the point itself, not of its offset to the camera.
+                f = c[fish]
+                xyz = [f[a].to_numpy() for a in "xyz"]
+                lift = (1 + k * np.exp(-_length(xyz) / math.log(d))) * voxel / 2
+                off = [xyz[0] - f["cx"].to_numpy(), xyz[1] - f["cy"].to_numpy(), xyz[2] + lift - f["cz"].to_numpy()]
+                u2, v2, _ = fisheye_pixel(f, _turn(f, off))
+                wx[fish] = wy[fish] = 2 * np.sqrt((u[fish] - u2) ** 2 + (v[fish] - v2) ** 2)
+            box = lambda e, lo, hi: np.clip(np.rint(np.nan_to_num(e)), lo, hi).astype("int64")
+            return pd.DataFrame({"xa": box(u - wx / 2, 0, w - 1), "xb": box(u + wx / 2 + 1, 1, w),
+                                 "ya": box(v - wy / 2, top, h - bottom - 1), "yb": box(v + wy / 2 + 1, top + 1, h - bottom)})
+    return boxes.asNondeterministic()
+
+
 def splat_box(df: DataFrame, voxel: float = 0.02, k: float = 1.0, d: float = 1000.0, top=0, bottom=0) -> DataFrame:
     """Pixel box xa <= px < xb, ya <= py < yb that a point covers, from its angular size."""
-    u, v = F.col("u"), F.col("v")
-    swell = 1 + F.lit(float(k)) * F.exp(-F.col("dist") / math.log(d))
-    angle = swell * float(voxel) / F.when(F.col("dist") != 0, F.col("dist"))
-    w, h = F.col("px_w").cast("double"), F.col("px_h").cast("double")
-    df = bind(df, __angle=angle)
-    # Fisheye: twice the pixel distance to the lifted voxel top. The length in
-    # its swell is that of the point itself, not of its offset to the camera.
-    norm = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    lift = (1 + F.lit(float(k)) * F.exp(-norm / math.log(d))) * float(voxel) / 2
-    off = offset_to_camera()
-    df = _in_camera_frame(df, [off[0], off[1], F.col("z") + lift - F.col("cz")], "__q")
-    u2, v2, _ = fisheye_pixel([F.col(f"__q{i}") for i in (1, 2, 3)], F.col("__qn"))
-    both = lambda a, b: F.struct(a.alias("__wx"), b.alias("__wy"))
-    flat = F.col("camera")
-    top_pixel = F.when(flat == "fisheye", F.struct(u2.alias("__u2"), v2.alias("__v2"))).otherwise(F.struct(u.alias("__u2"), v.alias("__v2")))
-    df = bind(df, top_pixel)
-    gap = 2 * F.sqrt((u - F.col("__u2")) * (u - F.col("__u2")) + (v - F.col("__v2")) * (v - F.col("__v2")))
-    a = F.col("__angle")
-    panorama = both(a * w / (2.0 * math.pi) / (F.sin(F.lit(math.pi) / h * v) + POLE_EPS), a * h / math.pi)
-    df = bind(df, F.when(flat == "equirectangular", panorama).when(flat == "pinhole", both(a * F.col("fx"), a * F.col("fy"))).otherwise(both(gap, gap)))
-    wx, wy = F.col("__wx"), F.col("__wy")
-    clamp = lambda c, lo, hi: F.greatest(lo, F.least(c, hi))
-    W, H = F.col("px_w").cast("long"), F.col("px_h").cast("long")
-    low, one = F.lit(top).cast("long"), F.lit(1).cast("long")
-    return df.withColumns({
-        "xa": clamp(half_even(u - wx / 2), F.lit(0).cast("long"), W - 1),
-        "xb": clamp(half_even(u + wx / 2 + 1), one, W),
-        "ya": clamp(half_even(v - wy / 2), low, H - bottom - 1),
-        "yb": clamp(half_even(v + wy / 2 + 1), low + 1, H - bottom)}).drop(
-            "__angle", "__q1", "__q2", "__q3", "__qn", "__u2", "__v2", "__wx", "__wy")
+    have = [c for c in (*_CAMERA_COLUMNS, "u", "v", "dist") if c in df.columns]
+    return df.withColumn("__b", _splat_udf(float(voxel), float(k), float(d), top, bottom)(F.struct(*have))).select("*", "__b.*").drop("__b")
 
 
 def adjust_intrinsics(images: DataFrame, width: int, height: int, off_x=0, off_y=0) -> DataFrame:
