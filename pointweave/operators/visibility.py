@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.lineage import cut
@@ -12,8 +13,8 @@ from .camera import in_view, prepare_images, project, splat_box
 from .neighbours import nearest_join, radius_join
 
 SCAN = ("scan_id",)
-# One more than the largest id.
-ID_SPAN = Decimal(10 ** 19)
+# Pixels unfolded at once.
+PAINT_CELLS = 2_000_000
 FEATURES = ("depth", "linearity", "planarity", "scattering", "orientation", "height")
 CAMERA = ("camera", "px_w", "px_h", "cx", "cy", "cz", "fx", "fy", "mx", "my", "xi", "k1", "k2", "gamma1", "gamma2", "u0", "v0",
           *[f"m{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)], "t1", "t2", "t3")
@@ -29,29 +30,55 @@ def candidate_views(points: DataFrame, images: DataFrame, r_max: float, r_min: f
     return out.where(F.col("d2") > r_min * r_min)
 
 
-def z_buffer(df: DataFrame, keys=("scan_id", "image_id"), exact: bool = False, carry=()) -> DataFrame:
+def _paint(keys, carry):
+    """Per batch and image: views painted from far to near, so that the nearest stays on top."""
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf.sort_values(["dist", "point_id"], ascending=False, kind="stable")
+            for key, part in pdf.groupby(keys, sort=False):
+                box = part[["xa", "xb", "ya", "yb"]].to_numpy()
+                ids, dist = part["point_id"].to_numpy(), part["dist"].to_numpy()
+                x0, y0 = box[:, 0].min(), box[:, 2].min()
+                high = box[:, 3].max() - y0
+                top = np.full((box[:, 1].max() - x0) * high, -1)
+                tall = box[:, 3] - box[:, 2]
+                area = (box[:, 1] - box[:, 0]) * tall
+                cuts = np.searchsorted(np.cumsum(area), np.arange(PAINT_CELLS, area.sum(), PAINT_CELLS))
+                for rows in np.split(np.arange(len(part)), np.unique(cuts)):
+                    view = np.repeat(rows, area[rows])
+                    inner = np.arange(len(view)) - np.repeat(np.cumsum(area[rows]) - area[rows], area[rows])
+                    cell = (box[view, 0] - x0 + inner // tall[view]) * high + box[view, 2] - y0 + inner % tall[view]
+                    top[cell] = view
+                cell = np.flatnonzero(top >= 0)
+                out = {k: np.repeat(v, len(cell)) for k, v in zip(keys, key)}
+                yield pd.DataFrame({**out, "px": cell // high + x0, "py": cell % high + y0, "dist": dist[top[cell]], "point_id": ids[top[cell]],
+                                    **{c: part[c].to_numpy()[top[cell]] for c in carry}})
+    return run
+
+
+def z_buffer(df: DataFrame, keys=("scan_id", "image_id"), exact: bool = False, carry=(), salts: int = 4) -> DataFrame:
     """(keys, px, py, point_id, carry): the nearest point per pixel, equal distance to the lowest id.
 
-    Unfolding the boxes makes by far the most rows, so they are kept narrow and
-    are reduced on the map side: distance and id are packed into one decimal,
-    whose minimum is a plain hash aggregate. Distances count as equal below
-    1e-12 of the unit. The carried columns of a view are joined to the winners.
-    With ``exact`` a seen point holds only the pixel it projects to, and of
-    several the highest id.
+    Unfolding the boxes makes by far the most rows. So the narrow views are
+    brought together by image, a large image over several salts, each batch
+    reduces its own pixels, and only those winners, with the carried columns of
+    their views, meet in a second reduction. With ``exact`` a seen point holds
+    only the pixel it projects to, and of several the highest id.
     """
     keys, carry = list(keys), list(carry)
-    near = F.floor(F.least(F.col("dist"), F.lit(999999.0)) * 1e12).cast("decimal(18,0)")
-    packed = ((near * F.lit(ID_SPAN).cast("decimal(20,0)")).cast("decimal(38,0)") + F.col("point_id").cast("decimal(19,0)")).cast("decimal(38,0)")
-    pix = df.select(*keys, packed.alias("__z"), "ya", "yb", F.explode(F.sequence("xa", F.col("xb") - 1)).alias("px"))
-    pix = pix.select(*keys, "__z", "px", F.explode(F.sequence("ya", F.col("yb") - 1)).alias("py"))
-    near = pix.groupBy(*keys, "px", "py").agg(F.min("__z").alias("__z"))
-    near = near.select(*keys, "px", "py", (F.col("__z") % F.lit(ID_SPAN).cast("decimal(20,0)")).cast("long").alias("point_id"))
-    views = df.select(*keys, "point_id", *carry)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = [F.col("u").cast("long").alias("__u"), F.col("v").cast("long").alias("__v")] if exact else []
+    narrow = df.select(*keys, "point_id", "dist", "xa", "xb", "ya", "yb", *carry, *own)
+    kept = [*carry, *(["__u", "__v"] if exact else [])]
+    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
+    narrow = narrow.repartition(n, *keys, F.pmod(F.xxhash64("point_id"), F.lit(salts))).sortWithinPartitions(*keys)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "px long, py long, dist double, point_id long", *[f"{c} {kinds[c]}" for c in kept]])
+    part = narrow.mapInPandas(_paint(keys, kept), schema)
+    near = part.groupBy(*keys, "px", "py").agg(F.min(F.struct("dist", "point_id", *kept)).alias("__m"))
     if not exact:
-        return near.join(views, keys + ["point_id"]).select(*keys, "px", "py", "point_id", *carry) if carry else near
-    seen = near.select(*keys, "point_id").distinct()
-    own = df.select(*keys, "point_id", F.col("u").cast("long").alias("px"), F.col("v").cast("long").alias("py"), *carry)
-    last = own.join(seen, keys + ["point_id"], "left_semi").groupBy(*keys, "px", "py").agg(F.max(F.struct("point_id", *carry)).alias("__m"))
+        return near.select(*keys, "px", "py", "__m.point_id", *[f"__m.{c}" for c in carry])
+    seen = near.select(*keys, F.col("__m.__u").alias("px"), F.col("__m.__v").alias("py"), "__m.point_id", *[f"__m.{c}" for c in carry])
+    last = seen.groupBy(*keys, "px", "py").agg(F.max(F.struct("point_id", *carry)).alias("__m"))
     return last.select(*keys, "px", "py", "__m.*")
 
 
