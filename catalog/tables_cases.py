@@ -249,4 +249,4 @@ def drop_corrupt(spark, sf):
     bad = key_hash("bad", "p_partkey") % 5 == 0
     f = fx.read(spark, sf, "part").select((F.col("p_partkey") % 7).alias("seq"), F.col("p_partkey").alias("frame"),
                                           F.array(F.lit(1.0), F.when(bad, F.lit(float("nan"))).otherwise(F.lit(2.0))).alias("values"))
-    return op.drop_corrupt_frames(f, 3).select("seq", "frame")
+    return op.drop_corrupt_frames(f, 3, bits=6).select("seq", "frame")

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.lineage import cut
 from ..functions.groups import top_per_group
@@ -283,16 +285,25 @@ def approximate_knn(q, s, k: int, probes: int = 8, cells: int | None = None, by=
     else:
         vec = VectorAssembler(inputCols=list(axes), outputCol="__v").transform
     model = KMeans(k=cells, seed=seed, featuresCol="__v", predictionCol="__cell", maxIter=10).fit(vec(s))
-    centres = model.clusterCenters()  # bounded: at most 65536 rows
+    centres = np.array(model.clusterCenters())  # bounded: at most 65536 rows
+    square = (centres * centres).sum(1)
     point = F.array(*[F.col(a).cast("double") for a in axes]) if not vector else F.col(vector).cast("array<double>")
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(centres)])
+    n_probes = min(probes, len(centres))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def nearest_cells(p: pd.Series) -> pd.Series:
+        out = []
+        for lo in range(0, len(p), 256):  # small blocks keep the distance matrix small
+            x = np.stack(p.iloc[lo: lo + 256].to_numpy()).astype(float)
+            d = square[None] - 2 * x @ centres.T
+            out += list(np.argpartition(d, n_probes - 1, 1)[:, :n_probes].astype("int32"))
+        return pd.Series(out)
 
     def dist(a, b):
         return F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, e: t + e)
 
-    near = F.slice(F.array_sort(F.transform(table, lambda c: F.struct(dist(c["c"], F.col("__p")).alias("d"), c["i"].alias("i")))), 1, probes)
     qs = q.select(*by, q_id, point.alias("__p"))
-    qs = qs.withColumn("__cell", F.explode(F.transform(near, lambda e: e["i"])))
+    qs = qs.withColumn("__cell", F.explode(nearest_cells("__p")))
     ss = model.transform(vec(s)).select(*by, s_id, point.alias("__t"), "__cell")
     found = qs.join(ss, by + ["__cell"]).withColumn("d2", dist(F.col("__p"), F.col("__t")))
     return top_per_group(found.select(*by, q_id, s_id, "d2"), by + [q_id], [F.col("d2"), F.col(s_id)], k, rank="rank")

@@ -343,15 +343,34 @@ def _fit(df, by, axes, centre_axes=None):
     return s.withColumns(new).drop(*aggs)
 
 
-def drop_corrupt_frames(frames: DataFrame, k: int, seq="seq", frame="frame", values="values") -> DataFrame:
-    """Every k-th frame; a frame with inf or NaN does not use up its turn, so the next one is tried."""
+def drop_corrupt_frames(frames: DataFrame, k: int, seq="seq", frame="frame", values="values", bits: int = 12) -> DataFrame:
+    """Every k-th frame; a frame with inf or NaN does not use up its turn, so the next one is tried.
+
+    The count modulo k is the only memory of the walk, so a chunk of frames is a
+    map from k start states to k end states. The maps are folded along the
+    sequence (one short row per chunk), then each chunk picks from its start.
+    """
     bad = F.exists(values, lambda v: F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
-    items = F.array_sort(F.collect_list(F.struct(F.col(frame).cast("long").alias("f"), bad.alias("bad"))))
-    fold = F.aggregate(
-        items,
-        F.struct(F.lit(0).cast("long").alias("i"), F.array().cast("array<bigint>").alias("kept")),
-        lambda acc, s: F.when(acc.i % k != 0, F.struct((acc.i + 1).alias("i"), acc.kept.alias("kept")))
-        .when(s.bad, acc)
-        .otherwise(F.struct((acc.i + 1).alias("i"), F.concat(acc.kept, F.array(s.f)).alias("kept"))),
-        lambda acc: acc.kept)
-    return frames.groupBy(seq).agg(fold.alias("__k")).select(seq, F.explode("__k").alias(frame)).join(frames, [seq, frame])
+    f = F.col(frame).cast("long")
+    chunks = frames.groupBy(seq, F.shiftright(f, bits).alias("__c")).agg(
+        F.array_sort(F.collect_list(F.struct(f.alias("f"), bad.alias("bad")))).alias("__i"))
+
+    def after(state, item):
+        return F.when((state == 0) & item["bad"], state).otherwise((state + 1) % k)
+
+    ends = F.array(*[F.aggregate("__i", F.lit(start), after) for start in range(k)])
+    maps = chunks.select(seq, "__c", ends.alias("__e"))
+    walk = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("__c", "__e"))),
+        F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<c:bigint,s:int>>").alias("at")),
+        lambda acc, m: F.struct(
+            F.element_at(m["__e"], acc["s"] + 1).alias("s"),
+            F.concat(acc["at"], F.array(F.struct(m["__c"].alias("c"), acc["s"].alias("s")))).alias("at")),
+        lambda acc: acc["at"])
+    starts = maps.groupBy(seq).agg(walk.alias("__w")).select(seq, F.inline("__w")).withColumnsRenamed({"c": "__c", "s": "__s"})
+    pick = F.aggregate(
+        "__i", F.struct(F.col("__s").alias("s"), F.array().cast("array<bigint>").alias("kept")),
+        lambda acc, m: F.struct(after(acc["s"], m).alias("s"), F.when((acc["s"] == 0) & ~m["bad"], F.concat(acc["kept"], F.array(m["f"]))).otherwise(acc["kept"]).alias("kept")),
+        lambda acc: acc["kept"])
+    kept = chunks.join(starts, [seq, "__c"]).select(seq, F.explode(pick).alias(frame))
+    return kept.join(frames, [seq, frame])
