@@ -29,12 +29,24 @@ def balance(spark, sf):
     return ba.balance_probabilities(voxel.sampling_centres(fx.points(spark, sf), 2.0)).withColumn("p", six_digits("p"))
 
 
-@case("L3_draw_balanced")
+def _draws(seed, classes):
+    """Draws: a class by cumulative probability, a row number in it."""
+    return f"""c AS (SELECT label, n, sum(p) OVER (ORDER BY label ROWS UNBOUNDED PRECEDING) AS c FROM ({classes})),
+dr AS (SELECT d, {u(seed + '/class', 'd')} AS uc, {u(seed + '/row', 'd')} AS ur FROM range(0,2000) t(d)),
+k AS (SELECT d, ur, coalesce(min(label) FILTER (c>uc), max(label)) AS label FROM dr, c GROUP BY 1,2),
+q AS (SELECT d AS draw, k.label, CAST(floor(ur*n) AS BIGINT)+1 AS rn FROM k JOIN c ON c.label=k.label)"""
+
+
+@case("L3_draw_balanced", f"""WITH n AS (SELECT label, count(*) AS n FROM points GROUP BY 1), w AS (SELECT label, n, sqrt(avg(n) OVER ()/n) AS w FROM n),
+{_draws('draw', 'SELECT label, n, w/sum(w) OVER () AS p FROM w')}, r AS (SELECT label, point_id, row_number() OVER (PARTITION BY label ORDER BY point_id) AS rn FROM points)
+SELECT draw, q.label, point_id FROM q JOIN r ON r.label=q.label AND r.rn=q.rn""", "points")
 def draw_balanced(spark, sf):
     return ba.draw_balanced(fx.points(spark, sf), 2000, "draw", "point_id")
 
 
-@case("L4_draw_label_window")
+@case("L4_draw_label_window", f"""WITH n AS (SELECT label, count(*) AS n FROM points GROUP BY 1),
+{_draws('window', 'SELECT label, n, CAST(1 AS DOUBLE)/count(*) OVER () AS p FROM n')}, r AS (SELECT label, scan_id, point_id, row_number() OVER (PARTITION BY label ORDER BY scan_id, point_id) AS rn FROM points)
+SELECT draw, q.label, scan_id AS window_id, point_id FROM q JOIN r ON r.label=q.label AND r.rn=q.rn""", "points")
 def draw_label_window(spark, sf):
     return ba.draw_label_window(fx.points(spark, sf).withColumnRenamed("scan_id", "window_id"), 2000, "window", row_id="point_id")
 

@@ -51,7 +51,9 @@ def random_sphere(spark, sf):
     return op.random_sphere(fx.points(spark, sf), 1.5, "rs").select("scan_id", "centre_id", "point_id")
 
 
-@case("F3_random_sphere_balanced")
+@case("F3_random_sphere_balanced", f"""WITH k AS (SELECT scan_id, label, count(*) AS n, arg_min(row(x, y, z, point_id), row({h('rb', 'scan_id', 'point_id')}, point_id)) AS q FROM points GROUP BY 1,2),
+c AS (SELECT scan_id, arg_max(q, row(ln(greatest({u('rb/class', 'scan_id', 'label')}, {D(1e-12)}))*sqrt(n), label)) AS q FROM k GROUP BY 1), ce AS (SELECT scan_id, q[1] AS x, q[2] AS y, q[3] AS z, q[4] AS centre_id FROM c)
+SELECT p.scan_id, centre_id, point_id FROM ce c JOIN points p ON c.scan_id=p.scan_id WHERE {d2()}<=2.25""", "points")
 def random_sphere_balanced(spark, sf):
     return op.random_sphere(fx.points(spark, sf), 1.5, "rb", balanced=True).select("scan_id", "centre_id", "point_id")
 

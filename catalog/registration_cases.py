@@ -292,6 +292,15 @@ def surface(spark, sf):
     return fu.surface_points(v, vols, 0.25, 0.2, 2).select("seq", "fragment", "i", "j", "k", six_digits("x").alias("x"), six_digits("z").alias("z"))
 
 
-@case("P7_build_fragments")
+# No trimming here: a trimmed edge is a whole number of voxels up to the last bit, and its ceiling a toss-up.
+FUSED = f"""{BND.replace(BND[BND.index('bd AS ('):], 'bd AS (SELECT seq, fragment, ' + ', '.join(f'l{a} AS lo_{a}, h{a} AS hi_{a}' for a in 'xyz') + ' FROM q)')}, vo AS (SELECT seq, fragment, lo_x, lo_y, lo_z, {', '.join(f'CAST(ceil((hi_{a}-lo_{a})/CAST(0.25 AS DOUBLE)) AS BIGINT) AS n_{a}' for a in 'xyz')} FROM bd),
+vx AS (SELECT *, lo_x+i*CAST(0.25 AS DOUBLE) AS x, lo_y+j*CAST(0.25 AS DOUBLE) AS y, lo_z+k*CAST(0.25 AS DOUBLE) AS z FROM (SELECT *, unnest(range(0, n_z)) AS k FROM (SELECT *, unnest(range(0, n_y)) AS j FROM (SELECT *, unnest(range(0, n_x)) AS i FROM vo)))),
+cm AS (SELECT v.*, f.frame, ca*(x-tx)+sa*(y-ty) AS x0, -sa*(x-tx)+ca*(y-ty) AS y0 FROM vx v JOIN frames f ON f.seq=v.seq AND f.frame//4=v.fragment WHERE z>0),
+px AS (SELECT *, CAST(round_even(x0*16/z+8,0) AS BIGINT) AS u, CAST(round_even(y0*16/z+6,0) AS BIGINT) AS w FROM cm),
+ts AS (SELECT px.seq, fragment, i, j, k, max(x) AS x, max(z) AS z, avg(least(1, (mm/1000-z)/1.25)) AS tsdf, count(*) AS w FROM px JOIN depth d ON d.seq=px.seq AND d.frame=px.frame AND d.u=px.u AND d.v=px.w WHERE mm>0 AND mm<=4000 AND mm/1000-z>=-1.25 GROUP BY 1,2,3,4,5)"""
+
+
+@case("P7_build_fragments", f"WITH {FUSED} SELECT seq, fragment, i, j, k, {six('x')} AS x, {six('z')} AS z FROM ts WHERE abs(tsdf)<0.2 AND w>2", "frames depth")
 def build_fragments(spark, sf):
-    return fu.fuse_frames(frames(spark, sf), depth(spark, sf), 4, 0.25, 16, 12, 4.0, 12)
+    out = fu.fuse_frames(frames(spark, sf), depth(spark, sf), 4, 0.25, 16, 12, 4.0, 600)
+    return out.select("seq", "fragment", "i", "j", "k", six_digits("x").alias("x"), six_digits("z").alias("z"))
