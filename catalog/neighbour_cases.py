@@ -100,9 +100,23 @@ def field_energy(spark, sf):
     return op.dirichlet_energy(fx.cloud(spark, sf), 0.25, "label").withColumn("energy", six_digits("energy"))
 
 
-@case("D8_scale_pyramid")
+def _level(below, size):
+    return f"SELECT scan_id, max(point_id) AS point_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {below} GROUP BY scan_id, {', '.join(f'round_even({a}/{size},0)' for a in 'xyz')}"
+
+
+def _ranked(q, s, k):
+    return f"SELECT * FROM (SELECT q.scan_id, q.point_id AS query_id, s.point_id, {D2} AS d2, row_number() OVER (PARTITION BY q.scan_id, q.point_id ORDER BY {D2}, s.point_id) AS rk FROM {q} q JOIN {s} s ON q.scan_id=s.scan_id) WHERE rk<={k}"
+
+
+def _pyramid(level, below, here):
+    w = "1/greatest(d2, CAST(1e-16 AS DOUBLE))"
+    return f"""SELECT scan_id, {level} AS level, 'neighbour' AS kind, query_id, point_id, {six('d2')} AS value FROM ({_ranked(here, below, 4)})
+UNION ALL SELECT scan_id, {level}, 'weight', query_id, point_id, {six(f'{w}/sum({w}) OVER (PARTITION BY scan_id, query_id)')} FROM ({_ranked(below, here, 3)})"""
+
+
+@case("D8_scale_pyramid", f"WITH v1 AS MATERIALIZED ({_level('cloud', 0.5)}), v2 AS MATERIALIZED ({_level('v1', 1.0)}) {_pyramid(1, 'cloud', 'v1')} UNION ALL {_pyramid(2, 'v1', 'v2')}", "cloud")
 def scale_pyramid(spark, sf):
-    return op.pyramid(fx.cloud(spark, sf), [(0.5, 4), (1.0, 4)])
+    return op.pyramid(fx.cloud(spark, sf), [(0.5, 4), (1.0, 4)]).withColumn("value", six_digits("value"))
 
 
 def _eigen_sql(source, keys):

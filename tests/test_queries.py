@@ -12,7 +12,7 @@ SOME = ["C1_save_point_id", "C14_instance_targets", "C18_rows_to_csr", "C21_clam
         "H12_map_images", "H12_map_images_rows", "I8_merge_points", "J7_crop_groups", "J11_gather_bilinear", "K4_attention_pool", "L5_sampling_plan",
         "M6_lovasz_score", "M7_vote", "M13_average_precision", "N9_detection_ap", "N12_grow_regions", "O1_overlap_matches", "O10_feature_matches",
         "P4_volume_bounds", "P5_tsdf", "F7_fixed_count_and_drop", "F14_density_filter", "G2_rotate", "G9_elastic", "A1_read_room_text",
-        "A16_read_pair_log", "B2_write_window_predictions", "Q4_pipeline_from_config", "S2_streaming_votes", "S4_window_grouping"]
+        "A16_read_pair_log", "B2_write_window_predictions", "Q4_steps_from_config", "S2_streaming_votes", "S4_window_grouping"]
 NAMES = [n for n, (_, sql) in CASES.items() if sql and (os.environ.get("TEST_ALL") or n in SOME)]
 
 
