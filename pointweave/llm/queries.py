@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules, secret_scan
+from . import byte_bpe, exact_dedup, packing, quality_rules, secret_scan, token_counts
 
 _OPERATORS = {
     "op1_quality_rules": quality_rules,
     "op3_secret_scan": secret_scan,
+    "op4_best_fit_packing": packing,
+    "op7_token_counts": token_counts,
     "op8_exact_dedup": exact_dedup,
+    "op10_byte_bpe": byte_bpe,
 }
 
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
