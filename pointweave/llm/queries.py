@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, packing, quality_rules, secret_scan, token_counts
+from . import bag_minhash, byte_bpe, exact_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts
 
 _OPERATORS = {
     "op1_quality_rules": quality_rules,
     "op3_secret_scan": secret_scan,
     "op4_best_fit_packing": packing,
+    "op5_bag_minhash": bag_minhash,
+    "op6_substring_dedup": substring_dedup,
     "op7_token_counts": token_counts,
     "op8_exact_dedup": exact_dedup,
     "op10_byte_bpe": byte_bpe,
