@@ -2,12 +2,13 @@
 
 A radius join is an equi join on grid cells with the exact distance as a
 filter. A k-nearest join adapts the cell to the local density: points are
-counted in a ladder of halved grids, each query takes the finest cell around
-it that holds k points, the k-th distance inside that cell bounds its search
-radius, and one more equi join on cells as large as that radius finds the
-exact answer. There are no rounds, and a dense spot only refines its own
-cells. Copies of one place are reduced to the k smallest ids beforehand, which
-is exact because equal distances are ordered by id.
+counted in a ladder of halved grids, and only what lies in a crowded cell goes
+on to the next finer grids, so an outlier costs a few empty levels and a tight
+cluster refines only itself. Each query takes the finest cell around it that
+holds k points, the k-th distance inside that cell bounds its search radius,
+and one more equi join on cells as large as that radius finds the exact answer.
+Copies of one place are reduced to the k smallest ids beforehand, which is
+exact because equal distances are ordered by id.
 """
 
 from __future__ import annotations
@@ -31,14 +32,16 @@ def _cells(axes, size) -> list[Column]:
     return [F.floor(F.col(a) / size).cast("long").alias(f"__c{a}") for a in axes]
 
 
-def _cover(df: DataFrame, axes, size, radius, prefix="") -> DataFrame:
-    """One row per cell of the given size that the ball around the row touches."""
+def _cover(df: DataFrame, axes, size, radius, prefix="", last: Column | None = None) -> DataFrame:
+    """One row per cell of the given size that the ball around the row touches; with ``last`` only cells 0 to last."""
     size = size if isinstance(size, Column) else F.lit(float(size))
     radius = radius if isinstance(radius, Column) else F.lit(float(radius))
     for a in axes:
         lo = F.floor((F.col(prefix + a) - radius) / size).cast("long")
         hi = F.floor((F.col(prefix + a) + radius) / size).cast("long")
-        df = df.withColumn(f"__c{a}", F.explode(F.sequence(lo, hi)))
+        if last is not None:
+            lo, hi = F.greatest(lo, F.lit(0).cast("long")), F.least(hi, last)
+        df = df.withColumn(f"__c{a}", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
     gaps = []
     for a in axes:
         low = F.col(f"__c{a}") * size
@@ -67,8 +70,30 @@ def radius_join(q: DataFrame, s: DataFrame, r, by=SCAN, q_id="query_id", s_id="p
     return out.select(*by, q_id, s_id, "d2", *q_carry, *carry)
 
 
+#: Grids counted at once, the cells' points (in k) up to which no finer grid is needed, and the last grid: beyond it
+#: two places differ by less than double precision tells.
+LEVELS_AT_ONCE, CROWDED, LAST_LEVEL = 6, 4, 48
+
+
+def _full_cells(pts: DataFrame, k: int, cells: list[str], ax: list[str], cell) -> DataFrame:
+    """The cells of all grids that hold k points. Points of crowded cells go on to the next grids."""
+    at, found = 0, None
+    while True:
+        last = at + LEVELS_AT_ONCE - 1
+        spread = pts.withColumn("__l", F.explode(F.sequence(F.lit(at), F.lit(last))))
+        spread = spread.withColumns({f"__c{a}": cell("", a, F.col("__l")) for a in ax})
+        full = cut(spread.groupBy(*cells).agg(F.count("*").alias("__m")).where(F.col("__m") >= k))
+        found = full if found is None else found.unionByName(full)
+        crowded = full.where((F.col("__l") == last) & (F.col("__m") > CROWDED * k)).select(*cells)
+        if last >= LAST_LEVEL or crowded.isEmpty():
+            return found.select(*cells)
+        pts = pts.withColumn("__l", F.lit(last)).withColumns({f"__c{a}": cell("", a, F.lit(last)) for a in ax})
+        pts = pts.join(crowded, cells, "left_semi").drop("__l", *[f"__c{a}" for a in ax])
+        at = last + 1
+
+
 def nearest_join(q: DataFrame, s: DataFrame, k: int, r: float | None = None, by=SCAN, q_id="query_id",
-                 s_id="point_id", axes=XYZ, extra_levels: int = 4) -> DataFrame:
+                 s_id="point_id", axes=XYZ) -> DataFrame:
     """The exact k nearest points of each query, at most r away: (by, q_id, rank, s_id, d2), rank from 1."""
     by, ax = list(by), list(axes)
     here = [f"__q{a}" for a in ax]
@@ -77,36 +102,32 @@ def nearest_join(q: DataFrame, s: DataFrame, k: int, r: float | None = None, by=
     places = q.select(*by, *[F.col(a).alias(f"__q{a}") for a in ax]).distinct()
     pts = top_per_group(s.select(*by, s_id, *ax), by + ax, [F.col(s_id)], k)
 
-    # One frame per group: origin, extent and the number of grids to count in.
-    frame = s.groupBy(*by).agg(
-        *[F.min(a).alias(f"__o{a}") for a in ax], F.count("*").alias("__n"),
-        F.greatest(*[F.max(a) - F.min(a) for a in ax]).alias("__e") if len(ax) > 1 else (F.max(ax[0]) - F.min(ax[0])).alias("__e"))
+    # One frame per group: its origin and extent.
+    spans = [F.max(a) - F.min(a) for a in ax]
+    frame = s.groupBy(*by).agg(*[F.min(a).alias(f"__o{a}") for a in ax], (F.greatest(*spans) if len(ax) > 1 else spans[0]).alias("__e"))
     frame = frame.withColumn("__e", F.when(F.col("__e") > 0, F.col("__e") * 1.000001).otherwise(F.lit(1.0)))
-    depth = F.ceil(F.log2(F.greatest(F.col("__n") / F.lit(float(k)), F.lit(1.0))) / 2) + extra_levels
-    frame = frame.withColumn("__depth", F.least(depth, F.lit(24)).cast("int")).drop("__n")
+    pts = cut(pts.join(frame, by))  # read by the ladder and by both searches
+    places = places.join(frame, by)
 
     def size_of(level):
         return F.col("__e") / F.pow(F.lit(2.0), level)
 
-    pts = pts.join(frame, by)
-    places = places.join(frame, by)
+    def last_cell(level):
+        return F.pow(F.lit(2.0), level).cast("long") - 1
 
     def cell(prefix, a, level, clamp=False):
         c = F.floor((F.col(prefix + a) - F.col(f"__o{a}")) / size_of(level)).cast("long")
-        if clamp:
-            c = F.greatest(F.lit(0).cast("long"), F.least(c, F.pow(F.lit(2.0), level).cast("long") - 1))
-        return c
-
-    def spread(df, prefix, clamp=False):
-        df = df.withColumn("__l", F.explode(F.sequence(F.lit(0), F.col("__depth"))))
-        return df.withColumns({f"__c{a}": cell(prefix, a, F.col("__l"), clamp) for a in ax})
+        return F.greatest(F.lit(0).cast("long"), F.least(c, last_cell(level))) if clamp else c
 
     cells = by + ["__l"] + [f"__c{a}" for a in ax]
-    full = spread(pts, "").groupBy(*cells).agg(F.count("*").alias("__m")).where(F.col("__m") >= k).select(*cells)
+    full = _full_cells(pts, k, cells, ax, cell)
+    depth = full.agg(F.max("__l")).first()[0]
 
     # Finest full cell around (or, outside the points' box, next to) each query place; -1 for none.
-    about = [f"__o{a}" for a in ax] + ["__e", "__depth"]
-    level = spread(places, "__q", clamp=True).join(full.withColumn("__full", F.lit(True)), cells, "left")
+    about = [f"__o{a}" for a in ax] + ["__e"]
+    level = places.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(depth or 0))))
+    level = level.withColumns({f"__c{a}": cell("__q", a, F.col("__l"), True) for a in ax})
+    level = level.join(full.withColumn("__full", F.lit(True)), cells, "left")
     level = level.groupBy(*by, *here, *about).agg(F.max(F.when(F.col("__full"), F.col("__l")).otherwise(-1)).alias("__l"))
 
     at_level = lambda levels: pts.join(levels.select(*by, "__l").distinct(), by).withColumns(
@@ -127,12 +148,12 @@ def nearest_join(q: DataFrame, s: DataFrame, k: int, r: float | None = None, by=
 
     # A grid whose cells are at least as large as the bound, so that at most 27 cells are met.
     fit = F.when(F.col("__r").isNull(), F.lit(-1)).otherwise(
-        F.when(F.col("__r") <= 0, F.col("__depth")).otherwise(
-            F.greatest(F.lit(0), F.least(F.col("__depth"), F.floor(F.log2(F.col("__e") / F.col("__r"))).cast("int")))))
+        F.when(F.col("__r") <= 0, F.lit(LAST_LEVEL)).otherwise(
+            F.greatest(F.lit(0), F.least(F.lit(LAST_LEVEL), F.floor(F.log2(F.col("__e") / F.col("__r"))).cast("int")))))
     reach = reach.withColumn("__l", fit)
-    # Relative coordinates, because the ladder starts at the group's own origin.
+    # Relative coordinates, because the ladder starts at the group's own origin; its cells end where the points end.
     rel = reach.withColumns({f"__p{a}": F.col(f"__q{a}") - F.col(f"__o{a}") for a in ax}).withColumn("__s", size_of(F.col("__l")))
-    bounded = _cover(rel.where("__l >= 0"), ax, F.col("__s"), F.col("__r") * (1 + 1e-9), "__p")
+    bounded = _cover(rel.where("__l >= 0"), ax, F.col("__s"), F.col("__r") * (1 + 1e-9), "__p", last_cell(F.col("__l")))
     keep = by + here + ["__r", "__l"] + [f"__c{a}" for a in ax]
     whole = rel.where("__l < 0").withColumns({f"__c{a}": F.lit(0).cast("long") for a in ax})
     asked = bounded.select(*keep).unionByName(whole.select(*keep))
