@@ -40,10 +40,13 @@ def box_pred(spark, sf):
     return moved.unionByName(fake).withColumn("score", (key_hash("bs", "box_id") % 1024).cast("double") / 1024)
 
 
-@case("N1_box_corners", f"SELECT box_id, 'a' AS corner, {six('cos(score)*dx/2-sin(score)*dy/2+cx')} AS x, {six('sin(score)*dx/2+cos(score)*dy/2+cy')} AS y, dz/2+cz AS z FROM box_pred", "box_pred")
+CORNERS = "(VALUES (0,-1,-1,-1),(1,1,-1,-1),(2,1,1,-1),(3,-1,1,-1),(4,-1,-1,1),(5,1,-1,1),(6,1,1,1),(7,-1,1,1)) s(corner, sx, sy, sz)"
+
+
+@case("N1_box_corners", f"SELECT box_id, CAST(corner AS BIGINT) AS corner, {six('cos(score)*sx*dx/2-sin(score)*sy*dy/2+cx')} AS x, {six('sin(score)*sx*dx/2+cos(score)*sy*dy/2+cy')} AS y, {six('sz*dz/2+cz')} AS z FROM box_pred, {CORNERS}", "box_pred")
 def box_corners(spark, sf):
-    b = op.box_corners(box_pred(spark, sf), "score").select("box_id", F.col("corners")[0].alias("c"))
-    return b.select("box_id", F.lit("a").alias("corner"), six_digits("c.x").alias("x"), six_digits("c.y").alias("y"), F.col("c.z").alias("z"))
+    b = op.box_corners(box_pred(spark, sf), "score").select("box_id", F.posexplode("corners").alias("corner", "c"))
+    return b.select("box_id", F.col("corner").cast("long").alias("corner"), *[six_digits(f"c.{a}").alias(a) for a in "xyz"])
 
 
 def _side(a):

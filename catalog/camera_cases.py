@@ -88,16 +88,18 @@ def candidate_cylinder(spark, sf):
 
 for _id, _camera in (("H2", "equirectangular"), ("H3", "pinhole"), ("H4", "fisheye")):
     def _project(spark, sf, camera=_camera):
-        return projected(spark, sf, camera).select("image_id", "point_id", *[six_digits(c).alias(c) for c in ("u", "v", "depth_z")])
-    case(f"{_id}_project_{_camera}", f"WITH {PROJ} SELECT image_id, point_id, {six('u')} AS u, {six('v')} AS v, {six('depth_z')} AS depth_z FROM proj WHERE camera='{_camera}'", "points images")(_project)
+        return projected(spark, sf, camera).select("image_id", "point_id", *[six_digits(F.col(c) * F.abs("depth_z") if c != "depth_z" and camera == "pinhole" else c).alias(c) for c in ("u", "v", "depth_z")])
+    # Pinhole pixels grow without bound beside the camera plane, so they are compared times their depth.
+    _by = "*abs(depth_z)" if _camera == "pinhole" else ""
+    case(f"{_id}_project_{_camera}", f"WITH {PROJ} SELECT image_id, point_id, {six(f'u{_by}')} AS u, {six(f'v{_by}')} AS v, {six('depth_z')} AS depth_z FROM proj WHERE camera='{_camera}'", "points images")(_project)
 
 
-@case("H3_project_pinhole_inverse", f"""WITH {PROJ} SELECT image_id, point_id, {six('(ck*x+sk*y-(ck*cx+sk*cy))*fx/nullif(z-cz,0)+mx')} AS u FROM proj WHERE camera='pinhole' AND abs(z-cz)>0.1""", "points images")
+@case("H3_project_pinhole_inverse", f"""WITH {PROJ} SELECT image_id, point_id, {six('((ck*x+sk*y-(ck*cx+sk*cy))*fx/nullif(z-cz,0)+mx)*(z-cz)')} AS u FROM proj WHERE camera='pinhole'""", "points images")
 def project_inverse(spark, sf):
     cams = cam.prepare_images(fx.images(spark, sf))
     cand = op.candidate_views(fx.points(spark, sf), cams, RMAX, 0.5, carry=("x", "y", "z"), q_carry=[c for c in op.CAMERA if c in cams.columns])
-    out = cam.project(cand.where("camera = 'pinhole' AND abs(z - cz) > 0.1"), "inv")
-    return out.select("image_id", "point_id", six_digits("u").alias("u"))
+    out = cam.project(cand.where("camera = 'pinhole'"), "inv")
+    return out.select("image_id", "point_id", six_digits(F.col("u") * (F.col("z") - F.col("cz"))).alias("u"))
 
 
 @case("H5_field_of_view", f"WITH {FOV} SELECT image_id, point_id FROM fov WHERE camera='equirectangular' AND floor(v)<118", "points images")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pointweave.functions.prefix import number_rows
 from pointweave.functions.rand import key_hash
 
 PX_W, PX_H = 256, 128
@@ -180,14 +181,18 @@ SELECT scan_id, image_id, point_id, (px0+dx)%32 AS px, py0 AS py,
  {grid('fd', 'pair', 1024)} AS depth, {grid('fh', 'pair', 1024)} AS height FROM (
  SELECT p.scan_id, i.image_id, p.point_id, CAST(p.point_id AS VARCHAR)||':'||CAST(i.image_id AS VARCHAR) AS pair,
   {h('vx', 'p.point_id', 'i.image_id')}%32 AS px0, {h('vy', 'p.point_id', 'i.image_id')}%16 AS py0
- FROM points p JOIN images i ON p.scan_id=i.scan_id
- WHERE {h('see', 'p.point_id', 'i.image_id')}%8=0 AND p.point_id%7<>3 AND i.cx<20), range(0,2) t(dx)""")
+ FROM (SELECT DISTINCT scan_id, point_id, {h('see', 'point_id', 'd')}%n AS no FROM (SELECT p.scan_id, p.point_id, d, n FROM points p JOIN (SELECT scan_id, count(*) AS n FROM images WHERE cx<20 GROUP BY 1) USING (scan_id), range(0,4) s(d) WHERE p.point_id%7<>3)) p
+ JOIN (SELECT scan_id, image_id, row_number() OVER (PARTITION BY scan_id ORDER BY image_id)-1 AS no FROM images WHERE cx<20) i ON p.scan_id=i.scan_id AND p.no=i.no), range(0,2) t(dx)""")
 
 
 def maps(spark, sf):
+    # Each point looks at up to four images of its scan, drawn by number: the table grows with the points.
     p = points(spark, sf).select("scan_id", "point_id").where("point_id % 7 <> 3")
-    i = images(spark, sf).where("cx < 20").select("scan_id", "image_id")
-    v = p.join(i, "scan_id").where(key_hash("see", "point_id", "image_id") % 8 == 0)
+    i = number_rows(images(spark, sf).where("cx < 20").select("scan_id", "image_id"), ["scan_id"], "image_id", "no")
+    n = i.groupBy("scan_id").agg(F.max("no").alias("n"))
+    four = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))
+    v = p.join(n, "scan_id").withColumn("d", four).select("scan_id", "point_id", (key_hash("see", "point_id", "d") % F.col("n") + 1).alias("no")).distinct()
+    v = v.join(i, ["scan_id", "no"])
     pair = F.concat_ws(":", F.col("point_id").cast("string"), F.col("image_id").cast("string"))
     v = v.select("scan_id", "image_id", "point_id",
                  (key_hash("vx", "point_id", "image_id") % 32).alias("px0"),

@@ -143,13 +143,13 @@ def centre_roll(spark, sf):
     return im.centre_roll(fx.maps(spark, sf), i, 8).drop("px_w")
 
 
-@case("J7_crop_groups", """WITH b AS (SELECT scan_id, image_id, greatest(min(px)-1,0) AS x0, least(max(px)+1,32) AS x1, greatest(min(py)-1,0) AS y0, least(max(py)+1,16) AS y1 FROM maps WHERE point_id%200=image_id GROUP BY 1,2),
+@case("J7_crop_groups", """WITH b AS (SELECT scan_id, image_id, greatest(min(px)-1,0) AS x0, least(max(px)+1,32) AS x1, greatest(min(py)-1,0) AS y0, least(max(py)+1,16) AS y1 FROM maps GROUP BY 1,2),
 l AS (SELECT * FROM (VALUES (0,4,4),(1,8,4),(2,8,8),(3,16,8),(4,16,16),(5,32,16)) t(step, w, h)),
 c AS (SELECT b.*, arg_min(row(w,h), step) AS s FROM b JOIN l ON x1-x0<=w AND y1-y0<=h GROUP BY ALL)
 SELECT scan_id, image_id, s[1] AS crop_w, s[2] AS crop_h, CAST(greatest(0, least(trunc(x0-(s[1]-(x1-x0))/2), 32-s[1])) AS BIGINT) AS off_x,
  CAST(greatest(0, least(trunc(y0-(s[2]-(y1-y0))/2), 16-s[2])) AS BIGINT) AS off_y FROM c""", "maps")
 def crop_groups(spark, sf):
-    return im.crop_groups(fx.maps(spark, sf).where("point_id % 200 = image_id"), 32, 16, 1, 4)
+    return im.crop_groups(fx.maps(spark, sf), 32, 16, 1, 4)
 
 
 @case("J8_float_and_standardise", f"SELECT image_id, px, py, {six('(r/255-0.5)/0.25')} AS r FROM image_pixels", "image_pixels")
@@ -175,12 +175,12 @@ def _bilinear(pad):
     return f"SELECT '{pad}' AS padding, q.row_id, sum(w*coalesce(r, 0)) AS r FROM q LEFT JOIN image_pixels p ON p.image_id=q.image_id AND p.px={ex} AND p.py={ey} GROUP BY 2"
 
 
-@case("J11_gather_bilinear", f"""WITH c AS (SELECT o_orderkey AS row_id, o_orderkey%100+1 AS image_id, CAST({h('tx', 'o_orderkey')}%1025 AS DOUBLE)/1024*32-0.5 AS x, CAST({h('ty', 'o_orderkey')}%1025 AS DOUBLE)/1024*16-0.5 AS y FROM orders),
+@case("J11_gather_bilinear", f"""WITH c AS (SELECT o_orderkey AS row_id, o_orderkey%(SELECT count(*) FROM supplier)+1 AS image_id, CAST({h('tx', 'o_orderkey')}%1025 AS DOUBLE)/1024*32-0.5 AS x, CAST({h('ty', 'o_orderkey')}%1025 AS DOUBLE)/1024*16-0.5 AS y FROM orders),
 q AS (SELECT row_id, image_id, CAST(floor(c.x) AS BIGINT)+i AS x, CAST(floor(c.y) AS BIGINT)+j AS y, (CASE i WHEN 1 THEN c.x-floor(c.x) ELSE 1-(c.x-floor(c.x)) END)*(CASE j WHEN 1 THEN c.y-floor(c.y) ELSE 1-(c.y-floor(c.y)) END) AS w
  FROM c, range(0,2) t(i), range(0,2) s(j)) {' UNION ALL '.join(_bilinear(p) for p in ('zeros', 'replicate', 'reflect'))}""", "image_pixels")
 def gather_bilinear(spark, sf):
-    k = F.col("o_orderkey")
-    c = fx.read(spark, sf, "orders").select(k.alias("row_id"), (k % 100 + 1).alias("image_id"), ((key_hash("tx", k) % 1025).cast("double") / 1024).alias("tx"), ((key_hash("ty", k) % 1025).cast("double") / 1024).alias("ty"))
+    k, n = F.col("o_orderkey"), fx.read(spark, sf, "supplier").count()
+    c = fx.read(spark, sf, "orders").select(k.alias("row_id"), (k % n + 1).alias("image_id"), ((key_hash("tx", k) % 1025).cast("double") / 1024).alias("tx"), ((key_hash("ty", k) % 1025).cast("double") / 1024).alias("ty"))
     p = fx.image_pixels(spark, sf)
     out = [im.gather_bilinear(c, p, 32, 16, ("r",), pad).withColumn("padding", F.lit(pad)) for pad in ("zeros", "replicate", "reflect")]
     return out[0].unionByName(out[1]).unionByName(out[2])

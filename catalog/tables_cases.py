@@ -52,7 +52,7 @@ def inverse_labels(spark, sf):
     return op.inverse_labels(e, VALID, out="raw").drop("pred")
 
 
-@case("C7_fuse_clouds", """SELECT scan_id//2 AS area, x, label, row_number() OVER (PARTITION BY scan_id//2 ORDER BY point_id)-1 AS point_id
+@case("C7_fuse_clouds", """SELECT scan_id//2 AS area, x, label, row_number() OVER (PARTITION BY scan_id//2 ORDER BY scan_id, point_id)-1 AS point_id
 FROM points""", "points")
 def fuse_clouds(spark, sf):
     p = fx.points(spark, sf).withColumn("area", F.floor(F.col("scan_id") / 2)).select("scan_id", "area", "point_id", "x", "label")
@@ -152,17 +152,17 @@ def stack_scans(spark, sf):
     return back.withColumnRenamed("keep", "stacked_id")
 
 
-CSR = """WITH c AS (SELECT user_id%200 AS g, count(*) AS n FROM events WHERE user_id%3<>0 GROUP BY 1)
-, f AS (SELECT id AS g, coalesce(n, 0) AS n FROM range(0,200) t(id) LEFT JOIN c ON c.g=id)
+CSR = """WITH c AS (SELECT user_id%200 AS g, count(*) AS n FROM events GROUP BY 1)
+, f AS (SELECT id AS g, coalesce(n, 0) AS n FROM range(0,250) t(id) LEFT JOIN c ON c.g=id)
 , p AS (SELECT g, CAST(sum(n) OVER (ORDER BY g)-n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY g) AS BIGINT) AS stop FROM f)"""
 
 
 @case("C18_rows_to_csr", f"""{CSR} SELECT 'p' AS part, g AS a, start AS b, stop AS c FROM p UNION ALL
-SELECT 'v', start+row_number() OVER (PARTITION BY g ORDER BY event_id)-1, event_id, 0 FROM events JOIN p ON g=user_id%200 WHERE user_id%3<>0
-UNION ALL SELECT 'r', user_id%200, event_id, 0 FROM events WHERE user_id%3<>0""")
+SELECT 'v', start+row_number() OVER (PARTITION BY g ORDER BY event_id)-1, event_id, 0 FROM events JOIN p ON g=user_id%200
+UNION ALL SELECT 'r', user_id%200, event_id, 0 FROM events""")
 def rows_to_csr(spark, sf):
-    rows = fx.read(spark, sf, "events").where("user_id % 3 <> 0").select((F.col("user_id") % 200).alias("group"), F.col("event_id").alias("value"))
-    pointers, values = op.rows_to_csr(rows, 200)
+    rows = fx.read(spark, sf, "events").select((F.col("user_id") % 200).alias("group"), F.col("event_id").alias("value"))
+    pointers, values = op.rows_to_csr(rows, 250)
     back = op.csr_to_rows(pointers, values)
     zero = F.lit(0).cast("long")
     return (pointers.select(F.lit("p").alias("part"), F.col("group").alias("a"), F.col("start").alias("b"), F.col("stop").alias("c"))

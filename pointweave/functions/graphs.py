@@ -32,7 +32,7 @@ def greedy_keep(edges: DataFrame, winner="winner", loser="loser") -> DataFrame:
     return dropped.distinct()
 
 
-def components(edges: DataFrame, a="a", b="b", max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, a="a", b="b") -> DataFrame:
     """(id, root): the smallest id of each connected component, for all ids with an edge.
 
     Alternates two star contractions: every id sends its larger neighbours to
@@ -40,7 +40,7 @@ def components(edges: DataFrame, a="a", b="b", max_rounds: int = 100) -> DataFra
     """
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir. A local session without one gets one of its own; on a cluster
+    a folder of one machine would be of no use, so there it must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = named or tempfile.mkdtemp(prefix="pointweave-checkpoint-")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = named or f"file:///tmp/checkpoints/{sc.applicationId}"
     sc.setCheckpointDir(folder)
     return folder
 

@@ -44,8 +44,12 @@ def _draw_classes(draws: DataFrame, classes: DataFrame, u, label) -> DataFrame:
     return out.select(*draws.columns, F.col(f"__h.{label}").alias(label), F.col("__h.n").alias("__n"))
 
 
-def draw_balanced(df: DataFrame, n: int, seed, row_id: str, method="balanced", label="label") -> DataFrame:
-    """n draws with replacement: a class by its balance probability, then one of its rows uniformly: (draw, label, row)."""
+def draw_balanced(df: DataFrame, n: int, seed, row_id: str, method="balanced", label="label", by=()) -> DataFrame:
+    """n draws with replacement: a class by its balance probability, then one of its rows uniformly: (draw, label, by, row).
+
+    ``by`` names the columns that make row_id unique.
+    """
+    by = list(by)
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw")
     if method == "uniform":
         classes = df.groupBy(label).agg(F.count("*").alias("n"))
@@ -54,8 +58,8 @@ def draw_balanced(df: DataFrame, n: int, seed, row_id: str, method="balanced", l
         classes = balance_probabilities(df, label)
     drawn = _draw_classes(draws, classes, uniform(f"{seed}/class", "draw"), label)
     drawn = drawn.withColumn("rn", F.floor(uniform(f"{seed}/row", "draw") * F.col("__n")) + 1).drop("__n")
-    ranked = number_rows(df.select(label, row_id), [label], row_id, "rn")
-    return drawn.join(ranked, [label, "rn"]).select("draw", label, row_id)
+    ranked = number_rows(df.select(label, *by, row_id), [label], row_id, "rn", order=[F.col(row_id), *map(F.col, by)])
+    return drawn.join(ranked, [label, "rn"]).select("draw", label, *by, row_id)
 
 
 def draw_label_window(centres: DataFrame, n: int, seed, window="window_id", label="label", row_id="centre_id", ignore=(-1,)) -> DataFrame:

@@ -76,7 +76,9 @@ def equirectangular_pixel(c, p, r):
 
 
 def pinhole_pixel(c, p):
-    return p[0] * c["fx"].to_numpy() / p[2] + c["mx"].to_numpy(), p[1] * c["fy"].to_numpy() / p[2] + c["my"].to_numpy(), p[2]
+    """A point in the camera plane has no pixel."""
+    depth = np.where(p[2] == 0, np.nan, p[2])
+    return p[0] * c["fx"].to_numpy() / depth + c["mx"].to_numpy(), p[1] * c["fy"].to_numpy() / depth + c["my"].to_numpy(), p[2]
 
 
 def fisheye_pixel(c, p):

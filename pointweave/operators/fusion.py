@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.prefix import number_rows
 from ..functions.maths import bind, half_even, rigid_inverse
 from ..functions.rand import key_hash
 
@@ -20,7 +21,8 @@ def depth_to_points(depth: DataFrame, frames: DataFrame, z_max: float = 6.0, car
 
 def frame_fragments(frames: DataFrame, n: int) -> DataFrame:
     """(seq, frame, fragment): n frames in a row; an unfinished last group is left out."""
-    at = frames.select("seq", "frame", F.floor(F.col("frame") / n).alias("fragment"))
+    at = number_rows(frames.select("seq", "frame"), ["seq"], "frame", "__no")  # frame numbers may have gaps
+    at = at.select("seq", "frame", F.floor((F.col("__no") - 1) / n).alias("fragment"))
     full = at.groupBy("seq", "fragment").agg(F.count("*").alias("__n")).where(F.col("__n") == n).select("seq", "fragment")
     return at.join(full, ["seq", "fragment"])
 
@@ -38,11 +40,11 @@ def view_frustum(depth: DataFrame, frames: DataFrame, width: int, height: int, z
     return j.select("seq", "frame", "corner", *[(m[i][0] * x + m[i][1] * y + m[i][2] * z + m[i][3]).alias(a) for i, a in enumerate("xyz")])
 
 
-def volume_bounds(frusta: DataFrame, voxel: float, limit: int = 600, by=("seq", "fragment")) -> DataFrame:
-    """lo_a, hi_a and the number of voxels n_a per volume: quantiles 0.1 and 0.9 over its frames, trimmed to the limit."""
+def volume_bounds(frusta: DataFrame, voxel: float, limit: int | None = None, by=("seq", "fragment")) -> DataFrame:
+    """lo_a, hi_a and the number of voxels n_a per volume: quantiles 0.1 and 0.9 over its frames, trimmed to a limit if one is given."""
     per = frusta.groupBy(*by, "frame").agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
     b = per.groupBy(*by).agg(*[F.percentile(f"{n}_{a}", q).alias(f"{n}_{a}") for a in "xyz" for n, q in (("lo", 0.1), ("hi", 0.9))])
-    for a in "xyz":
+    for a in "xyz" if limit is not None else "":
         size = (F.col(f"hi_{a}") - F.col(f"lo_{a}")) / voxel
         delta = F.when(size > limit, (size - limit) * voxel * 0.5).otherwise(0.0)
         b = bind(b, **{f"__d{a}": delta})
@@ -84,7 +86,7 @@ def surface_points(volume: DataFrame, origins: DataFrame, voxel: float, a: float
 
 
 def fuse_frames(frames: DataFrame, depth: DataFrame, n: int, voxel: float, width: int, height: int, z_max: float = 6.0,
-                limit: int = 600, a: float = 0.2, b: float = 2) -> DataFrame:
+                limit: int | None = None, a: float = 0.2, b: float = 2) -> DataFrame:
     """Groups of n frames to surface points: fragments, bounds, volume, surface, with far depths cut."""
     depth = depth.where(F.col("mm") <= z_max * 1000)
     groups = frame_fragments(frames, n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -55,7 +57,7 @@ def pick_by_area(maps: DataFrame, images: DataFrame, ratio: float, n_max: int, b
     return top_per_group(out, by, [F.col("area").desc(), F.col("image_id")], n_max)
 
 
-def pick_by_credit(images: DataFrame, views: DataFrame, credit: int, k: float = 1.0, seed=0, mode="random", by=SCAN, max_rounds: int = 10000) -> DataFrame:
+def pick_by_credit(images: DataFrame, views: DataFrame, credit: int, k: float = 1.0, seed=0, mode="random", by=SCAN) -> DataFrame:
     """Draw images per scan until a pixel budget is spent: (by, image_id, turn).
 
     weight = size / max size + k * unseen / (max unseen + 1) over the images
@@ -68,12 +70,10 @@ def pick_by_credit(images: DataFrame, views: DataFrame, credit: int, k: float =
     views = cut(views.select(*keys, "point_id").distinct())
     spent = pool.select(*by).distinct().withColumn("left", F.lit(int(credit)).cast("long"))
     picked = None
-    for turn in range(max_rounds):
+    for turn in itertools.count():  # ends when no image fits
         taken = pool if picked is None else pool.join(picked.select(*keys), keys, "left_anti")
         open_ = taken.join(spent, by).where(F.col("size") <= F.col("left"))
-        fresh = views if picked is None else views.join(
-            views.join(picked.select(*keys), keys, "left_semi").select(*by, "point_id").distinct(), by + ["point_id"], "left_anti")
-        unseen = fresh.groupBy(*keys).agg(F.count("*").alias("unseen"))
+        unseen = views.groupBy(*keys).agg(F.count("*").alias("unseen"))
         open_ = open_.join(unseen, keys, "left").na.fill(0, ["unseen"])
         open_ = with_stats(open_, by, __ms=F.max("size"), __mu=F.max("unseen"))
         weight = F.col("size") / F.col("__ms") + k * F.col("unseen") / (F.col("__mu") + 1)
@@ -84,6 +84,9 @@ def pick_by_credit(images: DataFrame, views: DataFrame, credit: int, k: float =
         if step.isEmpty():
             break
         picked = step if picked is None else cut(picked.unionByName(step))
+        # Only views of points that no picked image has seen go on.
+        seen = views.join(step.select(*keys), keys, "left_semi").select(*by, "point_id").distinct()
+        views = cut(views.join(seen, by + ["point_id"], "left_anti"))
         used = picked.groupBy(*by).agg(F.sum("size").alias("used"))
         spent = pool.select(*by).distinct().join(used, by, "left").select(*by, (F.lit(int(credit)) - F.coalesce("used", F.lit(0))).alias("left"))
     return (picked if picked is not None else pool.withColumn("turn", F.lit(0)).limit(0)).select(*keys, "turn")
@@ -104,14 +107,12 @@ def centre_roll(maps: DataFrame, images: DataFrame, n: int = 16, keys=("scan_id"
 
 
 def _crop_sizes(m: int, w: int, h: int):
-    size, sizes, turn = (m, m), [], 0
-    while size[0] <= w and size[1] <= h:
-        sizes.append(size)
-        if size == (w, h):
-            break
-        size = (min(size[0] * (2 if turn % 2 == 0 else 1), w), min(size[1] * (2 if turn % 2 else 1), h))
-        turn += 1
-    return sizes if sizes and sizes[-1] == (w, h) else sizes + [(w, h)]
+    """Step t of the ladder: the width has doubled ceil(t/2) times and the height floor(t/2) times, neither beyond the image."""
+    if m > min(w, h):
+        return [(w, h)]
+    doublings = lambda full: (-(-full // m) - 1).bit_length()
+    last = max(2 * doublings(w) - 1, 2 * doublings(h), 0)
+    return [(min(m << (t + 1) // 2, w), min(m << t // 2, h)) for t in range(last + 1)]
 
 
 def crop_groups(maps: DataFrame, width: int, height: int, padding: int = 0, m: int = 64, keys=("scan_id", "image_id")) -> DataFrame:

@@ -231,9 +231,8 @@ def periodic_sample(df: DataFrame, period: float, prop: float, box: float, seed,
 def random_walk_drop(df: DataFrame, num_iter: int, ratio: float, r: float, seed, by=SCAN, max_n: int | None = None) -> DataFrame:
     """Drop the points met by a walk of num_iter steps on the radius graph that restarts with chance ratio.
 
-    Between restarts the walk forgets where it was, so it equals num_iter *
-    ratio walks of geometric length. All walks of all scans take a step in one
-    join, until every walk has ended.
+    A restart forgets where the walk was, so it is cut at as many places as it is expected to restart, and the parts of
+    all scans take their steps side by side. Points without neighbours restart at once.
     """
     by = list(by)
     pts = df.select(*by, "point_id", *XYZ)
@@ -241,15 +240,23 @@ def random_walk_drop(df: DataFrame, num_iter: int, ratio: float, r: float, seed,
     ranked = number_by_hash(edges.withColumn("__h", key_hash("edge", "query_id", "point_id")), by + ["query_id"], "__h", "point_id", "rank")
     edges = cut(ranked.select(*by, "query_id", "rank", "point_id"))
     degree = cut(edges.groupBy(*by, "query_id").agg(F.max("rank").alias("__deg")))
-    here = random_points(pts, max(1, math.ceil(num_iter * ratio)), f"{seed}/start", replace=True, by=by)
-    here = cut(here.select(*by, F.col("draw").alias("walk"), "point_id"))
-    met, step = here.select(*by, "point_id").distinct(), 0
-    while not here.isEmpty():
-        on = here.where(uniform(f"{seed}/stop/{step}", *by, "walk") >= ratio)
-        at = on.withColumnRenamed("point_id", "query_id").join(degree, by + ["query_id"])
-        at = at.withColumn("rank", key_hash(f"{seed}/{step}", *by, "walk") % F.col("__deg") + 1)
-        here = cut(at.join(edges, by + ["query_id", "rank"]).select(*by, "walk", "point_id"))
-        met, step = met.unionByName(here.select(*by, "point_id")), step + 1
+    places = cut(number_rows(pts.select(*by, "point_id"), by, "point_id", "__no"))
+    size = cut(places.groupBy(*by).agg(F.max("__no").alias("__n")))
+    walks = max(1, math.ceil(num_iter * ratio))
+
+    def jump(rows, step):
+        at = rows.join(size, by).withColumn("__no", key_hash(f"{seed}/jump/{step}", *by, "walk") % F.col("__n") + 1)
+        return at.join(places, by + ["__no"]).select(*by, "walk", "point_id")
+
+    here = cut(jump(size.select(*by, F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")), 0))
+    met = here.select(*by, "point_id").distinct()
+    for step in range(1, -(-num_iter // walks)):
+        at = here.withColumnRenamed("point_id", "query_id").join(degree, by + ["query_id"], "left")
+        again = (uniform(f"{seed}/stop/{step}", *by, "walk") < ratio) | F.col("__deg").isNull()
+        on = at.where(~again).withColumn("rank", key_hash(f"{seed}/{step}", *by, "walk") % F.col("__deg") + 1)
+        moved = on.join(edges, by + ["query_id", "rank"]).select(*by, "walk", "point_id")
+        here = cut(moved.unionByName(jump(at.where(again).select(*by, "walk"), step)))
+        met = met.unionByName(here.select(*by, "point_id"))
         if step % 16 == 0:
             met = cut(met.distinct())
     return df.join(met.distinct(), by + ["point_id"], "left_anti")

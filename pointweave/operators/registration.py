@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.lineage import cut
 from ..functions.maths import rigid_inverse
 from ..functions.prefix import number_by_hash
-from ..functions.rand import key_hash
+from ..functions.rand import key_hash, uniform
 from .neighbours import ball_join, nearest_join
 from .voxel import grid_sample
 
@@ -97,28 +99,40 @@ def limit_matches(matches: DataFrame, n: int, seed) -> DataFrame:
     return number_by_hash(keyed, ["pair_id"], "__h", F.struct("query_id", "point_id"), "__rn").where(F.col("__rn") <= n).drop("__rn", "__h")
 
 
-def self_pairs(frags: DataFrame, r_crop: float, r: float, block: float, seed, draws: int = 1, min_matches: int = 1, grid: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Self-supervised pairs: two crops of one fragment about random points, a block cut from the
-    source, nearest target within r. Several draws replace the retry; the first with enough matches stays.
+def self_pairs(frags: DataFrame, r_crop: float, r: float, block: tuple[float, float], seed, draws: int = 32, min_matches: int = 1, at_once: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Self-supervised pairs: two crops of one fragment about random points; the source points in a ball of random radius
+    about a random source point are matched with their nearest target point within r.
+
+    Each fragment draws at_once times side by side and the first draw with enough matches stays; fragments without one
+    draw again, and only those. Returns the matches (scene, frag_id, draw, query_id,
+    point_id, d2) and for every fragment the draw that served: null where none of ``draws`` did.
     """
     keys = ["scene", "frag_id"]
-    tries = frags.select(*keys).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    d2 = lambda t: sum(((F.col(x) - F.col(f"{t}.{x}")) * (F.col(x) - F.col(f"{t}.{x}")) for x in XYZ), F.lit(0.0))
 
-    def centre(tag):
-        pick = frags.join(tries, keys).groupBy(*keys, "draw").agg(F.min_by(F.struct(*XYZ), F.struct(key_hash(f"{seed}/{tag}", *keys, "draw", "point_id"), "point_id")).alias(tag))
-        return pick
+    def with_centre(rows, tag):
+        pick = F.min_by(F.struct(*XYZ), F.struct(key_hash(f"{seed}/{tag}", *by, "point_id"), F.col("point_id")))
+        return rows.join(rows.groupBy(*by).agg(pick.alias(tag)), by)
 
-    c = centre("a").join(centre("b"), keys + ["draw"]).join(centre("c"), keys + ["draw"])
-    pts = frags.join(c, keys)
-    d2 = lambda t: sum(((F.col(x) - F.col(f"{t}.{x}")) * (F.col(x) - F.col(f"{t}.{x}")) for x in XYZ), F.lit(0.0))
-    in_block = (F.abs(F.col("x") - F.col("c.x")) < block) & (F.abs(F.col("y") - F.col("c.y")) < block) & (F.abs(F.col("z") - F.col("c.z")) < block)
+    left, matches, served = cut(frags.select(*keys).distinct()), [], []
     by = keys + ["draw"]
-    src = pts.where((d2("a") <= r_crop * r_crop) & ~in_block).select(*by, F.col("point_id").alias("query_id"), *XYZ)
-    dst = pts.where(d2("b") <= r_crop * r_crop).select(*by, "point_id", *XYZ)
-    found = nearest_join(src, dst, 1, r, by).drop("rank")
-    good = found.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= min_matches)
-    first = good.groupBy(*keys).agg(F.min("draw").alias("draw"))
-    return found.join(first, by, "left_semi"), first
+    for first in range(0, draws, at_once):
+        tries = left.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(min(draws, first + at_once) - 1))))
+        pts = frags.join(tries, keys)
+        source = with_centre(with_centre(pts, "a").where(d2("a") <= r_crop * r_crop), "c")
+        reach = F.lit(float(block[0])) + uniform(f"{seed}/reach", *by) * (block[1] - block[0])
+        source = source.where(d2("c") <= reach * reach).select(*by, F.col("point_id").alias("query_id"), *XYZ)
+        target = with_centre(pts, "b").where(d2("b") <= r_crop * r_crop).select(*by, "point_id", *XYZ)
+        found = cut(nearest_join(source, target, 1, r, by).drop("rank"))
+        good = found.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= min_matches)
+        good = cut(good.groupBy(*keys).agg(F.min("draw").alias("draw")))
+        matches.append(found.join(good, by, "left_semi"))
+        served.append(good)
+        left = cut(left.join(good, keys, "left_anti"))
+        if left.isEmpty():
+            break
+    served.append(left.withColumn("draw", F.lit(None).cast("int")))
+    return reduce(DataFrame.unionByName, matches), reduce(DataFrame.unionByName, served)
 
 
 def pair_table(matches: DataFrame, src: DataFrame, dst: DataFrame, features) -> DataFrame:
@@ -224,7 +238,11 @@ def _twist_step(sums: pd.Series, pose: pd.Series) -> pd.Series:
     a = np.zeros((len(flat), 6, 6))
     a[:, upper[0], upper[1]] = flat[:, :21]
     a = a + np.triu(a, 1).transpose(0, 2, 1)
-    x = np.linalg.solve(a, flat[:, 21:, None])[..., 0]
+    # Too few matches leave the system without a single answer: then the shortest one, and none from values that are not finite.
+    known = np.isfinite(flat).all(1)
+    x = np.zeros((len(flat), 6))
+    if known.any():
+        x[known] = (np.linalg.pinv(a[known], hermitian=True) @ flat[known, 21:, None])[..., 0]
     out = []
     for xi, p in zip(x, pose):
         theta = np.linalg.norm(xi[:3])
@@ -245,6 +263,7 @@ def fit_robust(matches: DataFrame, by=("pair_id",), mu: float = 1.0, rounds: int
     """
     by = list(by)
     unit = F.array(*[F.array(*[F.lit(1.0 if i == j else 0.0) for j in range(4)]) for i in range(4)])
+    matches = cut(matches)  # read in every round
     poses = matches.select(*by).distinct().withColumn("pose", unit)
     s = ("sx", "sy", "sz")
     for i in range(rounds):

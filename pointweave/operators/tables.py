@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions.groups import top_per_group, with_stats
 from ..functions.maths import as_col
-from ..functions.prefix import hash_levels, number_by_hash, number_rows, running
+from ..functions.prefix import hash_levels, id_levels, number_by_hash, number_rows, running
 from ..functions.rand import key_hash, uniform
 
 SCAN = ("scan_id",)
@@ -88,9 +88,12 @@ def inverse_labels(df: DataFrame, valid_ids, col="pred", out=None) -> DataFrame:
 
 def fuse(df: DataFrame, from_col: str, to_col: str, order: str, point_id="point_id") -> DataFrame:
     """Rooms become areas: the finer key goes and point ids are renewed per coarser key."""
-    out = df.drop(from_col).withColumnRenamed(point_id, "__old") if from_col != to_col else df
+    out = df.withColumnRenamed(point_id, "__old")
     key = "__old" if order == point_id else order
-    return number_rows(out, [to_col], key, point_id).withColumn(point_id, F.col(point_id) - 1).drop("__old")
+    # Old ids repeat between rooms, so the room comes first; then the order is the same in every evaluation.
+    finer = [F.col(from_col)] if from_col != to_col else []
+    out = running(out, [to_col], finer + id_levels(key), [F.col(key), F.col("__old")], {point_id: F.lit(1).cast("long")})
+    return out.withColumn(point_id, F.col(point_id) - 1).drop("__old", *([from_col] if finer else []))
 
 
 def split_fold(df: DataFrame, test_area, val_rooms, area="area", room="room") -> DataFrame:
@@ -159,14 +162,15 @@ def instance_boxes(points: DataFrame, objects: DataFrame | None = None, by=SCAN,
     return box.where(F.col("label").isin(*classes)) if classes is not None else box
 
 
-def instance_targets(df: DataFrame, classes, max_objects: int = 256, by=SCAN, instance="instance") -> DataFrame:
+def instance_targets(df: DataFrame, classes, max_objects: int | None = None, by=SCAN, instance="instance") -> DataFrame:
     """Instances of the listed classes renumbered from 1, with centre, vote and mask per point."""
     by = list(by)
     box = instance_boxes(df, by=by, instance=instance, classes=classes)
     w = W.partitionBy(*by).orderBy(instance)
     box = box.withColumn("instance_no", F.row_number().over(w).cast("long"))
-    fits = F.assert_true(F.col("instance_no") <= max_objects, "too many objects in a scan")
-    box = box.withColumn("instance_no", F.when(fits.isNull(), F.col("instance_no")))
+    if max_objects is not None:
+        fits = F.assert_true(F.col("instance_no") <= max_objects, "too many objects in a scan")
+        box = box.withColumn("instance_no", F.when(fits.isNull(), F.col("instance_no")))
     box = box.withColumnRenamed("label", "instance_label")
     out = df.join(box, by + [instance], "left")
     return out.withColumns({
@@ -175,15 +179,16 @@ def instance_targets(df: DataFrame, classes, max_objects: int = 256, by=SCAN, in
         **{f"vote_{a}": F.coalesce(F.col(f"c{a}") - F.col(a), F.lit(0.0)) for a in "xyz"}})
 
 
-def box_targets(df: DataFrame, class_index: dict, mean_sizes, max_objects: int = 64, by=SCAN, instance="instance") -> DataFrame:
+def box_targets(df: DataFrame, class_index: dict, mean_sizes, max_objects: int | None = None, by=SCAN, instance="instance") -> DataFrame:
     """One target box per instance: centre, class index and size minus the mean size of the class."""
     box = instance_boxes(df, by=by, instance=instance, classes=list(class_index))
     index = F.create_map(*[F.lit(v) for pair in class_index.items() for v in pair])
     sizes = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in mean_sizes])
     w = W.partitionBy(*by).orderBy(instance)
     box = box.withColumn("size_class", index[F.col("label")]).withColumn("object_no", F.row_number().over(w).cast("long"))
-    box = box.withColumn("object_no", F.when(
-        F.assert_true(F.col("object_no") <= max_objects, "too many objects in a scan").isNull(), F.col("object_no")))
+    if max_objects is not None:
+        box = box.withColumn("object_no", F.when(
+            F.assert_true(F.col("object_no") <= max_objects, "too many objects in a scan").isNull(), F.col("object_no")))
     return box.withColumns({f"residual_{a}": F.col(f"d{a}") - sizes[F.col("size_class")][i] for i, a in enumerate("xyz")})
 
 

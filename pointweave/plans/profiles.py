@@ -6,8 +6,8 @@ from ..sources import binary, text
 
 # The classes of the indoor scans and of the lidar sequences by raw id, and fold lists.
 SCAN_CLASSES = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 24, 28, 33, 34, 36, 39]
-ROOM_VALIDATION = ["hallway_1", "hallway_6", "hallway_11", "office_1", "office_15", "office_21", "office_29", "office_39",
-                   "conferenceRoom_2", "lobby_1", "copyRoom_1", "storage_3", "WC_1", "pantry_1"]
+ROOM_VALIDATION = ["hallway_1", "hallway_6", "hallway_11", "office_1", "office_6", "office_11", "office_16", "office_21", "office_26",
+                   "office_31", "office_36", "WC_2", "storage_1", "storage_5", "conferenceRoom_2", "auditorium_1"]
 LIDAR_SPLITS = {"train": ["00", "01", "02", "03", "04", "05", "06", "07", "09", "10"], "val": ["08"],
                 "test": ["11", "12", "13", "14", "15", "16", "17", "18", "19", "20", "21"]}
 

@@ -55,19 +55,24 @@ def static_views(stream: DataFrame, images: DataFrame, r_max: float, by=SCAN) ->
 VOTE_STATE = "n long, s array<double>, seen array<long>"
 
 
-def vote_by_window(stream: DataFrame, n: int, by=SCAN, watermark="1 hour") -> DataFrame:
+def vote_by_window(stream: DataFrame, n: int, by=SCAN, watermark="1 hour", ts="sample_ts", ttl_ms: int = 3_600_000) -> DataFrame:
     """Votes kept per (window, point) by a custom stateful operator, with the samples seen so far in its state.
 
     Emits the new totals of each point that changed. The key is the point, so a
-    large window is spread over the state partitions.
+    large window is spread over the state partitions. A point's state goes once
+    the watermark is ttl_ms past its last row.
     """
     keys = [*by, "point_id"]
     kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
 
     def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, sums, seen = state.get if state.exists else (0, [0.0] * n, [])
-        sums, known = list(sums), set(seen)
+        sums, known, last = list(sums), set(seen), state.getCurrentWatermarkMs()
         for pdf in batches:
+            last = max(last, int(pd.Timestamp(pdf[ts].max()).timestamp() * 1000))
             best = pdf.sort_values("row_id").drop_duplicates("sample_id", keep="last")
             for sample, scores in zip(best["sample_id"], best["scores"]):
                 if int(sample) not in known:
@@ -75,14 +80,25 @@ def vote_by_window(stream: DataFrame, n: int, by=SCAN, watermark="1 hour") -> Da
                     count += 1
                     sums = [a + float(b) for a, b in zip(sums, scores)]
         state.update((count, sums, sorted(known)))
+        state.setTimeoutTimestamp(last + ttl_ms)
         yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "n_votes": [count], "scores": [sums]})
 
-    return stream.groupBy(*keys).applyInPandasWithState(
-        update, f"{kinds}, n_votes long, scores array<double>", VOTE_STATE, "update", "NoTimeout")
+    return stream.withWatermark(ts, watermark).groupBy(*keys).applyInPandasWithState(
+        update, f"{kinds}, n_votes long, scores array<double>", VOTE_STATE, "update", "EventTimeTimeout")
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Drain the available input into a table of the session's memory: for tests and small results."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Drain the available input into Parquet files beside the checkpoint and read them: of a complete output the last batch."""
+    path = f"{checkpoint}-{name}"
+    shape = stream.select("*", F.lit(0).cast("long").alias("__batch")).schema
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("__batch", F.lit(batch).cast("long")).write.mode("append").parquet(path)
+
+    spark = stream.sparkSession
+    spark.createDataFrame([], shape).write.mode("append").parquet(path)
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(shape).parquet(path)
+    if mode == "complete":
+        rows = rows.where(F.col("__batch") == rows.agg(F.max("__batch")).scalar())
+    return rows.drop("__batch")
