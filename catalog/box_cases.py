@@ -74,7 +74,19 @@ def box_iou_turned(spark, sf):
     return op.box_iou(turn(box_pred(spark, sf), "ha"), turn(box_truth(spark, sf), "hb"), rotated=True)
 
 
-@case("N4_box_nms")
+def greedy(rows: str, edges: str, keys: str) -> str:
+    """SQL that keeps rows one by one: a row goes when a kept one of smaller rank is among its edges (rank, list `over`)."""
+    return f"""gr AS MATERIALIZED (SELECT r.*, coalesce(e.over, []) AS over FROM {rows} r LEFT JOIN {edges} e USING ({keys}, rk)),
+rec AS (SELECT {keys}, rk, [rk] AS kept FROM gr WHERE rk=1 UNION ALL
+ SELECT {', '.join(f'gr.{k}' for k in keys.split(', '))}, gr.rk, CASE WHEN list_has_any(rec.kept, gr.over) THEN rec.kept ELSE list_append(rec.kept, gr.rk) END
+ FROM rec JOIN gr ON {' AND '.join(f'gr.{k}=rec.{k}' for k in keys.split(', '))} AND gr.rk=rec.rk+1),
+kept AS (SELECT gr.* FROM gr JOIN (SELECT {keys}, arg_max(kept, rk) AS kept FROM rec GROUP BY ALL) USING ({keys}) WHERE list_contains(kept, gr.rk))"""
+
+
+@case("N4_box_nms", f"""WITH RECURSIVE bx AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scan_id, class ORDER BY score DESC, box_id) AS rk FROM box_pred),
+ov AS (SELECT b.scan_id, b.class, b.rk, list(a.rk) AS over FROM bx a JOIN bx b ON a.scan_id=b.scan_id AND a.class=b.class AND a.rk<b.rk
+ WHERE {_side('x')}>0 AND {_side('y')}>0 AND {_side('z')}>0 AND {_side('x')}*{_side('y')}*{_side('z')}/(a.dx*a.dy*a.dz+b.dx*b.dy*b.dz-{_side('x')}*{_side('y')}*{_side('z')})>CAST(0.1 AS DOUBLE) GROUP BY 1,2,3),
+{greedy('bx', 'ov', 'scan_id, class')} SELECT scan_id, box_id, class, score FROM kept""", "box_pred")
 def box_nms(spark, sf):
     return op.box_nms(box_pred(spark, sf), 0.1).select("scan_id", "box_id", "class", "score")
 
@@ -162,7 +174,11 @@ def instance_iou(spark, sf):
     return ins.instance_iou(cluster_points(spark, sf), fx.points(spark, sf)).withColumn("iou", six_digits("iou"))
 
 
-@case("N11_cluster_nms")
+@case("N11_cluster_nms", f"""WITH RECURSIVE cl AS MATERIALIZED (SELECT scan_id, cluster, CAST(cluster%5 AS INTEGER) AS class, CAST({h('cs', 'scan_id', 'cluster')}%1024 AS DOUBLE)/1024 AS score, count(*) AS n_points FROM cluster_points GROUP BY 1,2,3,4),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, cluster) AS rk FROM cl),
+io AS (SELECT a.scan_id, a.cluster AS a, b.cluster AS b, count(*) AS i FROM cluster_points a JOIN cluster_points b ON a.scan_id=b.scan_id AND a.point_id=b.point_id AND a.cluster<>b.cluster GROUP BY 1,2,3),
+ov AS (SELECT b.scan_id, b.rk, list(a.rk) AS over FROM io JOIN rk a ON a.scan_id=io.scan_id AND a.cluster=io.a JOIN rk b ON b.scan_id=io.scan_id AND b.cluster=io.b WHERE a.rk<b.rk AND i/(a.n_points+b.n_points-i)>CAST(0.3 AS DOUBLE) GROUP BY 1,2),
+{greedy('rk', 'ov', 'scan_id')} SELECT scan_id, cluster, class, score, n_points FROM kept WHERE n_points>=5 AND score>CAST(0.1 AS DOUBLE)""", "cluster_points")
 def cluster_nms(spark, sf):
     return ins.cluster_nms(clusters(spark, sf), cluster_points(spark, sf), 0.3, 5, 0.1)
 

@@ -42,6 +42,14 @@ def knn_two(spark, sf):
     return op.knn_join(fx.points(spark, sf).withColumnRenamed("point_id", "query_id"), fx.cloud(spark, sf), 3)
 
 
+@case("D2b_all_cells_probed", f"""WITH pr AS (SELECT q.vec_id AS query_id, s.vec_id, list_sum(list_transform(range(1,65), lambda i: (CAST(q.embedding[i] AS DOUBLE)-CAST(s.embedding[i] AS DOUBLE))*(CAST(q.embedding[i] AS DOUBLE)-CAST(s.embedding[i] AS DOUBLE)))) AS d2 FROM embeddings q, embeddings s)
+SELECT CAST(0 AS INTEGER) AS scan_id, query_id, vec_id, CAST(rk AS INTEGER) AS rank, {six('d2')} AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rk FROM pr) WHERE rk<=5""")
+def approximate_knn_exact(spark, sf):
+    """With as many probes as cells the search is exact."""
+    e = fx.read(spark, sf, "embeddings").withColumn("scan_id", F.lit(0))
+    return op.approximate_knn(e.withColumnRenamed("vec_id", "query_id"), e, 5, probes=12, cells=12, s_id="vec_id", vector="embedding").withColumn("d2", six_digits("d2"))
+
+
 @case("D2b_approximate_knn")
 def approximate_knn(spark, sf):
     e = fx.read(spark, sf, "embeddings").withColumn("scan_id", F.lit(0))

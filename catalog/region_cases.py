@@ -97,7 +97,11 @@ def select(spark, sf):
     return op.select_points(p.drop("label"), ids)
 
 
-@case("F9_farthest_point_sample")
+@case("F9_farthest_point_sample", """WITH RECURSIVE f AS (SELECT scan_id, min(point_id) AS pid, arg_min(x, point_id) AS px, arg_min(y, point_id) AS py, arg_min(z, point_id) AS pz FROM points GROUP BY 1),
+r AS (SELECT scan_id, 0 AS turn, point_id, x, y, z, CAST('infinity' AS DOUBLE) AS d, pid, px, py, pz FROM points JOIN f USING (scan_id) UNION ALL
+ SELECT scan_id, turn+1, point_id, x, y, z, nd, first_value(point_id) OVER w, first_value(x) OVER w, first_value(y) OVER w, first_value(z) OVER w
+ FROM (SELECT *, CASE WHEN point_id=pid THEN -1 ELSE least(d, (x-px)*(x-px)+(y-py)*(y-py)+(z-pz)*(z-pz)) END AS nd FROM r WHERE turn<47) WINDOW w AS (PARTITION BY scan_id ORDER BY nd DESC, point_id))
+SELECT DISTINCT scan_id, turn, pid AS point_id FROM r""", "points")
 def fps(spark, sf):
     return op.fps(fx.points(spark, sf), 48)
 

@@ -141,11 +141,11 @@ def descriptor_accuracy(spark, sf):
     return op.descriptor_accuracy(e.withColumn("feat", mixed), e).select(six_digits("accuracy").alias("accuracy"))
 
 
-def known_matches(spark, sf):
-    """Points of a scan and their places after a known turn and shift per scan, one in twenty wrong."""
+def known_matches(spark, sf, clean=False):
+    """Points of a scan and their places after a known turn and shift per scan, one in twenty wrong unless clean."""
     p = fx.points(spark, sf)
     t = F.col("scan_id") * 0.1 + 0.05
-    wrong = F.when(key_hash("wrong", "point_id") % 20 == 0, F.lit(3.0)).otherwise(F.lit(0.0))
+    wrong = F.when((key_hash("wrong", "point_id") % 20 == 0) & F.lit(not clean), F.lit(3.0)).otherwise(F.lit(0.0))
     return p.select(F.col("scan_id").alias("pair_id"), *[F.col(a).alias(f"s{a}") for a in "xyz"],
                     (F.cos(t) * F.col("x") - F.sin(t) * F.col("y") + 0.5 + wrong).alias("tx"), (F.sin(t) * F.col("x") + F.cos(t) * F.col("y") - 0.25).alias("ty"), (F.col("z") + 0.125).alias("tz"))
 
@@ -156,6 +156,22 @@ def known_pose():
     return F.array(F.array(F.cos(t), -F.sin(t), z, F.lit(0.5)), F.array(F.sin(t), F.cos(t), z, F.lit(-0.25)), F.array(z, z, o, F.lit(0.125)), F.array(z, z, z, o))
 
 
+COS, SIN = "cos(scan_id*CAST(0.1 AS DOUBLE)+CAST(0.05 AS DOUBLE))", "sin(scan_id*CAST(0.1 AS DOUBLE)+CAST(0.05 AS DOUBLE))"
+KNOWN = "SELECT scan_id AS pair_id, " + ", ".join(f"{six(e)} AS m{i}{j}" for i, row in enumerate(((COS, f"-{SIN}", "0", "0.5"), (SIN, COS, "0", "-0.25"), ("0", "0", "1", "0.125"))) for j, e in enumerate(row)) + " FROM points GROUP BY scan_id"
+
+
+@case("O12_fit_rigid_clean", KNOWN, "points")
+def fit_rigid_clean(spark, sf):
+    p = op.fit_rigid(known_matches(spark, sf, clean=True))
+    return p.select("pair_id", *[six_digits(F.col("pose")[i][j]).alias(f"m{i}{j}") for i in range(3) for j in range(4)])
+
+
+@case("O13_fit_robust_clean", KNOWN, "points")
+def fit_robust_clean(spark, sf):
+    p = op.fit_robust(known_matches(spark, sf, clean=True))
+    return p.select("pair_id", *[six_digits(F.col("pose")[i][j]).alias(f"m{i}{j}") for i in range(3) for j in range(4)])
+
+
 @case("O12_fit_rigid")
 def fit_rigid(spark, sf):
     p = op.fit_rigid(known_matches(spark, sf))
