@@ -112,7 +112,7 @@ def _crop_sizes(m: int, w: int, h: int):
         return [(w, h)]
     doublings = lambda full: (-(-full // m) - 1).bit_length()
     last = max(2 * doublings(w) - 1, 2 * doublings(h), 0)
-    return [(min(m << (t + 1) // 2, w), min(m << t // 2, h)) for t in range(last + 1)]
+    return list(dict.fromkeys((min(m << (t + 1) // 2, w), min(m << t // 2, h)) for t in range(last + 1)))
 
 
 def crop_groups(maps: DataFrame, width: int, height: int, padding: int = 0, m: int = 64, keys=("scan_id", "image_id")) -> DataFrame:

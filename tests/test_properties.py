@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.graphs import components, greedy_keep
 from pointweave.functions.prefix import running, score_levels
-from pointweave.operators import balance, boxes, images, neighbours, regions, registration, tables
+from pointweave.operators import balance, boxes, fusion, images, neighbours, regions, registration, tables
 
 RNG = np.random.default_rng(7)
 
@@ -205,3 +205,59 @@ def test_one_task_never_holds_a_group(spark, sf):
     out = tables.with_point_id(df, "n", "point_id")
     assert out.where("n <> point_id").count() == 0
     assert "specifiedwindowframe" in out._jdf.queryExecution().toString().lower()
+
+
+def _cloud(spark, xyz, name):
+    return spark.createDataFrame(pd.DataFrame({"scan_id": 0, name: np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]}))
+
+
+@pytest.mark.parametrize("case", ["outlier", "far query", "tight cluster"])
+def test_nearest_join_at_any_spread(spark, case):
+    rng = np.random.default_rng(4)
+    u = rng.random((800, 3)) * 10
+    q, s = {"outlier": (np.vstack([u, [[1e6] * 3]]),) * 2, "far query": (np.vstack([u[:50], [[1e5] * 3]]), u), "tight cluster": (np.vstack([u[:400], 5 + u[:400] * 1e-7]),) * 2}[case]
+    got = neighbours.knn_join(_cloud(spark, q, "query_id"), _cloud(spark, s, "point_id"), 5).toPandas().sort_values(["query_id", "rank"])
+    want = np.sort(((q[:, None] - s[None]) ** 2).sum(2), 1)[:, :5]
+    assert np.allclose(got["d2"].to_numpy().reshape(-1, 5), want, rtol=1e-9, atol=0)
+
+
+def test_draws_keep_their_scan_when_ids_repeat(spark):
+    df = spark.createDataFrame([(s, i, i % 3) for s in range(4) for i in range(30)], "scan_id long, point_id long, label int")
+    got = balance.draw_balanced(df, 100, "t", "point_id", by=["scan_id"])
+    assert got.count() == 100 and got.join(df, ["scan_id", "point_id", "label"]).count() == 100
+    assert got.select("scan_id").distinct().count() == 4
+
+
+def test_fused_ids_do_not_depend_on_the_partitioning(spark):
+    df = spark.createDataFrame([("a", r, i, float(r * 100 + i)) for r in range(3) for i in range(20)], "area string, room long, point_id long, x double")
+    one = tables.fuse(df.repartition(1), "room", "area", "point_id").select("point_id", "x").toPandas().sort_values("x")
+    many = tables.fuse(df.repartition(7, "x"), "room", "area", "point_id").select("point_id", "x").toPandas().sort_values("x")
+    assert one.point_id.tolist() == many.point_id.tolist() == list(range(60))
+
+
+def test_fragments_skip_gaps_in_frame_numbers(spark):
+    frames = spark.createDataFrame([(0, f) for f in (0, 1, 3, 7, 8, 9, 20)], "seq long, frame long")
+    got = {r.frame: r.fragment for r in fusion.frame_fragments(frames, 3).collect()}
+    assert got == {0: 0, 1: 0, 3: 0, 7: 1, 8: 1, 9: 1}
+
+
+def test_one_poor_pair_leaves_the_others_alone(spark):
+    rows = [("poor", 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)] + [("good", float(i), float(i * i % 7), float(i % 3), i + 0.5, i * i % 7 - 0.25, float(i % 3)) for i in range(20)]
+    m = spark.createDataFrame(rows, "pair_id string, sx double, sy double, sz double, tx double, ty double, tz double")
+    got = {r.pair_id: r.pose for r in registration.fit_robust(m, rounds=6).collect()}
+    assert set(got) == {"poor", "good"} and abs(got["good"][0][3] - 0.5) < 1e-6 and abs(got["good"][1][3] + 0.25) < 1e-6
+
+
+def test_walk_without_restarts_ends(spark):
+    df = spark.createDataFrame([(0, i, float(i), 0.0, 0.0) for i in range(10)] + [(0, 99, 500.0, 0.0, 0.0)], "scan_id long, point_id long, x double, y double, z double")
+    kept = regions.random_walk_drop(df, 6, 0.0, 1.5, "t").count()
+    assert 5 <= kept <= 10
+
+
+@pytest.mark.parametrize("m, w, h", [(4, 32, 16), (64, 1024, 512), (64, 1408, 376), (64, 50, 80), (5, 5, 5), (3, 100, 4)])
+def test_crop_ladder(m, w, h):
+    from pointweave.operators.images import _crop_sizes
+
+    sizes = _crop_sizes(m, w, h)
+    assert sizes[-1] == (w, h) and sizes == sorted(set(sizes))
+    assert m > min(w, h) or sizes == list(dict.fromkeys((min(m * 2 ** -(-t // 2), w), min(m * 2 ** (t // 2), h)) for t in range(40)))
