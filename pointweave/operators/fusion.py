@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.prefix import number_rows
-from ..functions.maths import bind, half_even, rigid_inverse
+from ..functions.maths import bind, rigid_inverse
 from ..functions.rand import key_hash
 
 
@@ -52,30 +54,70 @@ def volume_bounds(frusta: DataFrame, voxel: float, limit: int | None = None, by=
     return b.withColumns({f"n_{a}": F.greatest(F.lit(0), F.ceil((F.col(f"hi_{a}") - F.col(f"lo_{a}")) / voxel)).cast("long") for a in "xyz"})
 
 
+#: Voxels that one task holds at once.
+CELLS = 1 << 20
+
+
+def packed_depth(depth: DataFrame, width: int, height: int) -> DataFrame:
+    """(seq, frame, mm): the depths of a frame as one array, row by row, 0 where there is none; bounded by the picture."""
+    kinds = {c: depth.schema[c].dataType.simpleString() for c in ("seq", "frame")}
+
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(width * height, np.int32)
+        out[pdf["v"].to_numpy() * width + pdf["u"].to_numpy()] = pdf["mm"].to_numpy()
+        return pd.DataFrame({"seq": [key[0]], "frame": [key[1]], "mm": [out]})
+
+    inside = depth.where((F.col("mm") > 0) & F.col("u").between(0, width - 1) & F.col("v").between(0, height - 1))
+    return inside.select("seq", "frame", "u", "v", "mm").groupBy("seq", "frame").applyInPandas(pack, f"seq {kinds['seq']}, frame {kinds['frame']}, mm array<int>")
+
+
 def tsdf(volumes: DataFrame, frames: DataFrame, depth: DataFrame, voxel: float, width: int, height: int, by=("seq", "fragment")) -> DataFrame:
     """(by, i, j, k, tsdf, w): mean of min(1, (depth - z)/(5 voxel)) over the frames that see the voxel.
 
     volumes(by, lo_x.., n_x..), frames(by, frame, fx.., pose), depth(seq, frame, u, v, mm).
-    Rows of voxels are unfolded along i before they meet the frames and along j
-    and k after, so no task holds a whole volume.
+    A volume is cut into parts of its columns (i, j), at most CELLS voxels each, and each part meets the packed frames of
+    its fragment: what moves are columns and pictures, never voxels times frames.
     """
     by = list(by)
     trunc = 5.0 * voxel
-    inv = frames.select(*by, "frame", "fx", "fy", "cx", "cy", rigid_inverse("pose").alias("__e"))
-    v = volumes.select(*by, *[f"lo_{a}" for a in "xyz"], *[f"n_{a}" for a in "xyz"])
-    v = v.where("n_x > 0 AND n_y > 0 AND n_z > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_x") - 1)))
-    v = v.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_y") - 1)))
-    v = v.repartition(*by, "i", "j").join(inv, by).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_z") - 1)))
-    p = [F.col(f"lo_{a}") + F.col(c) * voxel for a, c in zip("xyz", "ijk")]
-    e = F.col("__e")
-    cam = {f"__{a}": e[r][0] * p[0] + e[r][1] * p[1] + e[r][2] * p[2] + e[r][3] for r, a in enumerate("xyz")}
-    v = bind(v, **cam).where("__z > 0")
-    v = v.withColumns({"u": half_even(F.col("__x") * F.col("fx") / F.col("__z") + F.col("cx")), "v": half_even(F.col("__y") * F.col("fy") / F.col("__z") + F.col("cy"))})
-    v = v.where((F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
-    seen = v.select(*by, "frame", "i", "j", "k", "u", "v", "__z").join(depth.where("mm > 0").select("seq", "frame", "u", "v", "mm"), ["seq", "frame", "u", "v"])
-    diff = F.col("mm") / 1000.0 - F.col("__z")
-    seen = seen.where(diff >= -trunc).withColumn("__t", F.least(F.lit(1.0), diff / trunc))
-    return seen.groupBy(*by, "i", "j", "k").agg(F.avg("__t").alias("tsdf"), F.count("*").alias("w"))
+    n = F.col("n_x") * F.col("n_y") * F.col("n_z")
+    v = volumes.select(*by, *[f"lo_{a}" for a in "xyz"], *[f"n_{a}" for a in "xyz"]).where("n_x > 0 AND n_y > 0 AND n_z > 0")
+    v = v.withColumn("__parts", F.ceil(n / CELLS).cast("int"))
+    zero = F.lit(0).cast("long")
+    columns = v.withColumn("i", F.explode(F.sequence(zero, F.col("n_x") - 1))).withColumn("j", F.explode(F.sequence(zero, F.col("n_y") - 1)))
+    columns = columns.select(*by, F.pmod(F.xxhash64("i", "j"), F.col("__parts")).cast("int").alias("__part"), "i", "j", "lo_x", "lo_y", "lo_z", "n_z")
+    seen = frames.select(*by, "frame", "fx", "fy", "cx", "cy", rigid_inverse("pose").alias("__e")).join(packed_depth(depth, width, height), ["seq", "frame"])
+    seen = seen.join(v.select(*by, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part")), by)
+
+    def fuse(key, cols: pd.DataFrame, pics: pd.DataFrame) -> pd.DataFrame:
+        if not len(cols) or not len(pics):
+            return pd.DataFrame({c: [] for c in names})
+        i, j, depth_n = cols["i"].to_numpy(), cols["j"].to_numpy(), int(cols["n_z"].iloc[0])
+        lo = [float(cols[f"lo_{a}"].iloc[0]) for a in "xyz"]
+        k = np.arange(depth_n)
+        p = [(lo[0] + i * voxel)[:, None], (lo[1] + j * voxel)[:, None], (lo[2] + k * voxel)[None]]
+        total, count = np.zeros((len(i), depth_n)), np.zeros((len(i), depth_n), np.int64)
+        with np.errstate(all="ignore"):
+            for pic in pics.sort_values("frame").itertuples():
+                e = np.array([list(row) for row in pic[pics.columns.get_loc("__e") + 1]])
+                x, y, z = (e[r, 0] * p[0] + e[r, 1] * p[1] + e[r, 2] * p[2] + e[r, 3] for r in range(3))
+                a, b = np.rint(x * pic.fx / z + pic.cx), np.rint(y * pic.fy / z + pic.cy)
+                ok = (z > 0) & (a >= 0) & (a < width) & (b >= 0) & (b < height)
+                mm = np.zeros(ok.shape)
+                mm[ok] = np.asarray(pic.mm)[(b[ok] * width + a[ok]).astype(np.int64)]
+                gap = mm / 1000.0 - z
+                ok &= (mm > 0) & (gap >= -trunc)
+                total[ok] += np.minimum(1.0, gap[ok] / trunc)
+                count[ok] += 1
+        at = np.nonzero(count)
+        out = {c: key[q] for q, c in enumerate(by)} | {"i": i[at[0]], "j": j[at[0]], "k": k[at[1]], "tsdf": total[at] / count[at], "w": count[at]}
+        return pd.DataFrame(out, columns=names)
+
+    names = [*by, "i", "j", "k", "tsdf", "w"]
+    kinds = ", ".join(f"{c} {v.schema[c].dataType.simpleString()}" for c in by)
+    parts = [*by, "__part"]
+    seen = seen.select(*[F.col(c).alias(f"__of_{c}") for c in parts], *[F.col(c).alias(c) for c in ("frame", "fx", "fy", "cx", "cy", "__e", "mm")])
+    return columns.groupBy(*parts).cogroup(seen.groupBy(*[f"__of_{c}" for c in parts])).applyInPandas(fuse, f"{kinds}, i long, j long, k long, tsdf double, w long")
 
 
 def surface_points(volume: DataFrame, origins: DataFrame, voxel: float, a: float, b: float, by=("seq", "fragment")) -> DataFrame:
