@@ -30,37 +30,48 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
 ROWS_PER_SALT = 20_000
-#: Chunks of which a worker remembers the ids.
-HELD = 300_000
+#: Chunks of which a worker remembers the ids, some 200 bytes each.
+HELD = 1_000_000
 
 _SPACE = re.compile("[ \t\n\r]+")
 
 
 class Ids:
     """Ids of a text as little-endian bytes. The tokenizer drops white space and never merges across it, so a text's ids
-    are those of its chunks between spaces, tabs and line breaks; the ids of chunks are remembered."""
+    are those of its chunks between spaces, tabs and line breaks; the ids of chunks are remembered. As the value of a
+    broadcast it lives on in a worker from task to task."""
 
     def __init__(self, name: str):
-        one_thread()
-        from tokenizers import Tokenizer
+        self.name, self.lib, self.known = name, None, {"": b""}
 
-        self.lib, self.known = Tokenizer.from_file(tokenizer_path(name)), {"": b""}
+    def __getstate__(self):
+        return self.name
+
+    def __setstate__(self, name: str):
+        self.__init__(name)
 
     def of(self, texts: list[str]) -> list[bytes]:
+        if self.lib is None:
+            one_thread()
+            from tokenizers import Tokenizer
+
+            self.lib = Tokenizer.from_file(tokenizer_path(self.name))
         split = [_SPACE.split(t) for t in texts]
         if len(self.known) > HELD:
             self.known = {"": b""}
         new = list(set().union(*split) - self.known.keys())
         for i in range(0, len(new), 5000):
-            for chunk, got in zip(new[i:i + 5000], self.lib.encode_batch(new[i:i + 5000], add_special_tokens=False), strict=True):
+            for chunk, got in zip(new[i:i + 5000], self.lib.encode_batch_fast(new[i:i + 5000], add_special_tokens=False), strict=True):
                 self.known[chunk] = np.array(got.ids, "<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, x)) for x in split]
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents longer than the capacity are cut, others stay whole."""
+    known = docs.sparkSession.sparkContext.broadcast(Ids(tokenizer))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(tokenizer)
+        ids = known.value
         for b in batches:
             names, texts = b.column("doc_id").to_pylist(), b.column("body").to_pylist()
             for k in range(0, len(texts), 200):
