@@ -63,6 +63,13 @@ def one_thread() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
+def kept(memo, name: str, make):
+    """What a worker keeps from task to task: `memo` is a broadcast empty dictionary, which lives as long in each worker."""
+    if name not in memo.value:
+        memo.value[name] = make()
+    return memo.value[name]
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """Fewer rows per Arrow batch where rows hold whole texts, so that a batch of long ones fits a worker."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))

@@ -22,69 +22,77 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, whole_text
+from .common import arrow_rows, kept, whole_text
 from .textops import mixed, words_of
 
 #: Bound of the sample on which the scorer is trained.
 TRAIN_ROWS = 4000
 DIMENSIONS = 1 << 14
-HELD = 400_000
+HELD = 800_000
 #: Leans to keeping: clean documents of a few words score low.
 THRESHOLD = 0.3
 
-_SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "W"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "A"), (re.compile(r"[^\W\dA-Z_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
+_RUNS = re.compile(r"A{2,}|a+|0+|([^\w\s])\1+")
 _SYMBOL = re.compile(r"[#*$%&|<>]{2,}|[#*$%&|<>]$|^[#*$%&|<>]")
-_SHOUTED = re.compile(r"^[^\w]*[A-ZÀ-ÖØ-Þ]{2,}[^a-zß-öø-ÿ]*$")
-_PLAIN = re.compile(r"^[\"'(“‘«¿¡]*[^\W\d_]+(['’-][^\W\d_]+)*[.,;:!?…\"')”’»]{0,2}$")
+_SHOUTED = re.compile(r"^[^\w]*A{2,}[^a]*$")
+_PLAIN = re.compile(r"^[\"'(“‘«¿¡]*[Aa]+(['’-][Aa]+)*[.,;:!?…\"')”’»]{0,2}$")
 _ENDED = re.compile(r"[.!?…:][\"'”’»)]*[ \t]*(?:\n|\Z)")
 _LINE = re.compile(r"[^\n]*[^\s][^\n]*")
 
 
+class _Kinds(dict):
+    """Characters by kind: A capital, a other letter, 0 digit, all else itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return out
+
+
 class Words:
-    """Figures of words, remembered by word: code, shape, suffix, and whether it is a symbol, shouted, marked, a bar, plain."""
+    """Figures of words, remembered by word: code, shape, suffix, and whether it is a symbol, shouted, marked, a bar, plain.
+
+    All but the code follow from a word's letter kinds and its end, of which there are few."""
 
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows: list[tuple] = []
-        self.table = np.zeros((0, 8), np.uint64)
+        self.space = np.zeros((1024, 8), np.uint64)
+        self.kinds, self.shapes, self.ends = _Kinds(), {}, {}
+
+    def _shape(self, kinds: str) -> tuple:
+        shape = _RUNS.sub(lambda m: {"A": "W", "a": "a", "0": "0"}.get(m[0][0], m[0][:2]), kinds)
+        return _hash("s" + shape[:12]), bool(_SYMBOL.search(kinds)) and kinds != "|", bool(_SHOUTED.match(kinds)), kinds.endswith("!!"), kinds == "|", bool(_PLAIN.match(kinds))
 
     def _figures(self, word: str) -> tuple:
-        shape = word
-        for pattern, to in _SHAPES:
-            shape = pattern.sub(to, shape)
-        return (_hash(word), _hash("s" + shape[:12]), _hash("e" + word[-3:]), bool(_SYMBOL.search(word)) and word != "|", bool(_SHOUTED.match(word)), word.endswith("!!"), word == "|", bool(_PLAIN.match(word)))
+        kinds, end = word.translate(self.kinds), word[-3:]
+        shape = self.shapes.get(kinds)
+        if shape is None:
+            shape = self.shapes[kinds] = self._shape(kinds)
+        tail = self.ends.get(end)
+        if tail is None:
+            tail = self.ends[end] = _hash("e" + end)
+        return (_hash(word), shape[0], tail, *shape[1:])
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) > HELD:
+        if max(len(self.place), len(self.shapes), len(self.ends)) > HELD:
             self.__init__()
-        place = self.place
-        at = [place.get(w, -1) for w in words]
-        if -1 in at:
-            for i, w in enumerate(words):
-                if at[i] < 0:
-                    if w not in place:
-                        place[w] = len(self.rows)
-                        self.rows.append(self._figures(w))
-                    at[i] = place[w]
-        if len(self.table) < len(self.rows):
-            new = np.array(self.rows[len(self.table):], np.uint64)
-            if len(self.rows) > self.room():
-                self.space = np.zeros((2 * len(self.rows) + 1024, 8), np.uint64)
-                self.space[:len(self.table)] = self.table
-            self.space[len(self.table):len(self.rows)] = new
-            self.table = self.space[:len(self.rows)]
-        return self.table[np.array(at, np.int64)]
-
-    def room(self) -> int:
-        return len(self.space) if hasattr(self, "space") else 0
+        place, held = self.place, len(self.place)
+        at = list(map(place.get, words))
+        if None in at:
+            new = list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None))
+            place.update(zip(new, range(held, held + len(new)), strict=True))
+            if len(place) > len(self.space):
+                self.space = np.concatenate([self.space, np.zeros((len(place), 8), np.uint64)])
+            self.space[held:len(place)] = np.array([self._figures(w) for w in new], np.uint64)
+            at = list(map(place.get, words))
+        return self.space[np.array(at, np.int64)]
 
 
 def _hash(text: str) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(text.encode())
 
 
@@ -181,27 +189,30 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, roun
     return weights
 
 
-def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, found = Words(), Counter()
-    for b in batches:
-        for text in b.column("body").to_pylist():
-            if words := words_of(text):
-                figure = figures(text, known.of(words))
-                found[votes(figure, len(words))] += 1
-    yield pa.record_batch([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["pattern", "n"])
+def _patterns(memo):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found = kept(memo, "words", Words), Counter()
+        for b in batches:
+            for text in b.column("body").to_pylist():
+                if words := words_of(text):
+                    found[votes(figures(text, known.of(words)), len(words))] += 1
+        yield pa.record_batch([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["pattern", "n"])
+    return run
 
 
-def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = Words()
-    for b in batches:
-        rows = []
-        for text in b.column("body").to_pylist():
-            if words := words_of(text):
-                table = known.of(words)
-                figure = figures(text, table)
-                rows.append((votes(figure, len(words)), *(x.tolist() for x in features(table, figure))))
-        if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())), strict=True)], names=["pattern", "place", "value"])
+def _samples(memo):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = kept(memo, "words", Words)
+        for b in batches:
+            rows = []
+            for text in b.column("body").to_pylist():
+                if words := words_of(text):
+                    table = known.of(words)
+                    figure = figures(text, table)
+                    rows.append((votes(figure, len(words)), *(x.tolist() for x in features(table, figure))))
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())), strict=True)], names=["pattern", "place", "value"])
+    return run
 
 
 @dataclass
@@ -210,26 +221,28 @@ class Model:
     patterns: np.ndarray
     posterior: np.ndarray
     chance: np.ndarray
+    memo: object  # the workers' words, a broadcast
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Votes of all documents, the labellers' estimated chances, and the scorer trained on a bounded sample."""
     arrow_rows(docs.sparkSession, 2000)
+    memo = docs.sparkSession.sparkContext.broadcast({})
     rows = docs.select(F.col("doc_id"), whole_text().alias("body"))
-    table = rows.select("body").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3 ** len(LABELLERS)
+    table = rows.select("body").mapInArrow(_patterns(memo), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3 ** len(LABELLERS)
     patterns, counts = (np.array([r[k] for r in table], np.int64) for k in (0, 1))
     posterior, chance = estimate(patterns, counts) if len(table) else (np.array([]), np.zeros((2, len(LABELLERS), 3)))
     ids = rows.select(F.xxhash64("doc_id", "body").alias("__h")).orderBy("__h").limit(train_rows).agg(F.max("__h")).first()[0]
-    sample = rows.filter(F.xxhash64("doc_id", "body") <= F.lit(ids)).limit(2 * train_rows).select("body").mapInArrow(_samples, "pattern long, place array<int>, value array<float>")
+    sample = rows.filter(F.xxhash64("doc_id", "body") <= F.lit(ids)).limit(2 * train_rows).select("body").mapInArrow(_samples(memo), "pattern long, place array<int>, value array<float>")
     got = sorted((r.pattern, r.place, r.value) for r in sample.toLocalIterator()) if ids is not None else []
     of = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
     weights = train([(np.array(p), np.array(v)) for _, p, v in got], np.array([of[p] for p, _, _ in got]))
-    return Model(weights, patterns, posterior, chance)
+    return Model(weights, patterns, posterior, chance, memo)
 
 
-def _scorer(weights):
+def _scorer(weights, memo):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        w, known = weights.value, Words()
+        w, known = weights.value, kept(memo, "words", Words)
         for texts in batches:
             out = []
             for text in texts.to_pylist():
@@ -253,7 +266,7 @@ def scores(docs: DataFrame, model: Model):
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return run(batches)
 
-    run = _scorer(docs.sparkSession.sparkContext.broadcast(model.weights))
+    run = _scorer(docs.sparkSession.sparkContext.broadcast(model.weights), model.memo)
     return arrow_udf(score, "double")
 
 
