@@ -8,9 +8,10 @@ after which hardly any register is still open, and go on for the bags that have
 distinct shingles plus m log m points, and no component depends on how texts are batched.
 
 Texts with equal words are one node from the start. Nodes that agree in a band are candidates. All pairs of a bucket are
-never listed: in each round every bucket picks a few leaders, they are compared with the bucket's members of other
-classes, verified links merge classes, and leaders that have met everyone leave. A bucket is done when its members are
-of one class. Comparing within a class cannot change the classes, so no link between classes of candidates is lost.
+never listed. First come light rounds: every bucket names a leader and every node is compared with one leader of another
+class; verified links merge classes, so that large groups of copies fold into one. When these find little more, the
+buckets whose members are still of several classes pick leaders, few and then more, who are compared with all members of
+other classes and leave. A bucket is done when its members are of one class. Comparing within a class cannot change the classes, so no link between classes of candidates is lost.
 Verification is exact: the intersection of the bags' counted shingles.
 
 Defined results: a null text counts as empty; texts of fewer than SHINGLE words are one shingle, texts without words are
@@ -142,7 +143,7 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold."""
     left = bags.select(F.col("node").alias("a"), F.col("bag").alias("x"))
     right = bags.select(F.col("node").alias("b"), F.col("bag").alias("y"))
-    met = pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
+    met = pairs.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("x", "y"))
     return met.filter(DENOMINATOR * both >= NUMERATOR * (F.size("x") + F.size("y") - both)).select("a", "b")
 
@@ -170,35 +171,59 @@ def near_classes(signed: DataFrame, rows: DataFrame) -> DataFrame | None:
     nodes = signed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     listed = nodes.select(F.col("key").alias("node"), "n", F.explode("bands").alias("bucket"))
     shared = listed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket")
-    members = stored(listed.join(shared.hint("shuffle_merge"), "bucket"))
+    members = stored(listed.join(shared, "bucket"))
     if members.isEmpty():
         return None
     wanted = members.select(F.col("node").alias("key")).distinct()
-    keyed = stored(signed.select("id", "t", "key").join(wanted.hint("shuffle_merge"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "t")).alias("one")).select("one.id", "one.t"))
+    keyed = stored(signed.select("id", "t", "key").join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "t")).alias("one")).select("one.id", "one.t"))
     bags = stored(join_narrow(rows, keyed, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]).mapInArrow(_bags, "node binary, bag array<long>"))
-    links, tried, roots, leaders = None, None, None, 1
+    tried, roots, light, turn, leaders = None, None, True, 0, 1
+    close = DENOMINATOR * F.least("n", "led.n") >= NUMERATOR * F.greatest("n", "led.n")
     while True:
-        now = members if roots is None else members.join(roots.hint("shuffle_merge"), "node", "left")
+        now = members if roots is None else members.join(roots, "node", "left")
         now = now.withColumn("root", F.coalesce(F.col("root"), F.col("node")) if roots is not None else F.col("node"))
-        open_ = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select("bucket", "first", "many")
-        now = stored(now.join(open_.hint("shuffle_merge"), "bucket"))
-        if now.isEmpty():
-            return roots
-        lead = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(leaders)), F.greatest(F.lit(1).cast("long"), F.floor(F.col("many") / leaders))) == 0 if leaders > 1 else F.lit(False))
-        led = now.filter(lead).select("bucket", F.col("node").alias("leader"), F.col("root").alias("its"), F.col("n").alias("size"))
-        close = (DENOMINATOR * F.least("n", "size") >= NUMERATOR * F.greatest("n", "size"))
-        pairs = now.join(led.hint("shuffle_merge"), "bucket").filter((F.col("root") != F.col("its")) & (F.col("node") != F.col("leader")) & close)
+        sides = [F.min("root").alias("lo"), F.max("root").alias("hi")]
+        other = (F.col("root") != F.col("led.root")) & (F.col("node") != F.col("led.node")) & close
+        if light:
+            order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+            open_ = now.groupBy("bucket").agg(*sides, F.min_by(F.struct("node", "root", "n"), order).alias("led")).filter("lo < hi").select("bucket", "led")
+            pairs = now.join(open_, "bucket").filter(other).groupBy("node").agg(F.min_by("led.node", F.xxhash64("bucket", F.lit(turn))).alias("leader"))
+        else:
+            open_ = now.groupBy("bucket").agg(*sides, F.min("node").alias("first"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select("bucket", "first", "many")
+            now = stored(now.join(open_, "bucket"))
+            if now.isEmpty():
+                return roots
+            lead = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(leaders)), F.greatest(F.lit(1).cast("long"), F.floor(F.col("many") / leaders))) == 0 if leaders > 1 else F.lit(False))
+            pairs = now.join(now.filter(lead).select("bucket", F.struct("node", "root", "n").alias("led")), "bucket").filter(other).select("node", F.col("led.node").alias("leader"))
         pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         tried = pairs if tried is None else tried.union(pairs)
         found = stored(_verified(pairs, bags))
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = stored(components(links))
-        members = now.filter(~lead).select("node", "n", "bucket")  # leaders have met the whole bucket
-        leaders *= 4
+        n_found = found.count()
+        if n_found:
+            roots = found_classes(found, roots)
+        if light:
+            light = n_found > pairs.count() // 20
+            turn += 1
+        else:
+            members = now.filter(~lead).select("node", "n", "bucket")  # leaders have met the whole bucket
+            leaders *= 8
+
+
+def found_classes(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, root) with new links: only the classes that they join are worked through."""
+    if roots is None:
+        return components(links)
+    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    ends = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    ends = stored(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct())
+    if ends.isEmpty():
+        return roots
+    joined = components(ends)
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stored(moved.union(joined.join(roots, "node", "left_anti")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -211,7 +236,7 @@ def classes(docs: DataFrame) -> DataFrame:
     own = signed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"))
     root = F.col("key")
     if roots is not None:
-        own, root = own.join(roots.withColumnRenamed("node", "key").hint("shuffle_merge"), "key", "left"), F.coalesce("root", "key")
+        own, root = own.join(roots.withColumnRenamed("node", "key"), "key", "left"), F.coalesce("root", "key")
     own = own.withColumn("root", root)
     whole = own.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("many").alias("class_size"))
     of_key = own.select("key", "root").join(whole, "root").select("key", "class_id", "class_size")
