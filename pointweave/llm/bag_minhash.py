@@ -170,10 +170,13 @@ def near_classes(signed: DataFrame, rows: DataFrame) -> DataFrame | None:
     """(node, root) for the nodes that have a link; None if there is none."""
     nodes = signed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     listed = nodes.select(F.col("key").alias("node"), "n", F.explode("bands").alias("bucket"))
-    shared = listed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket")
+    shared = listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     members = stored(listed.join(shared, "bucket"))
     if members.isEmpty():
         return None
+    # The text from which copies were made lies in the large buckets of all bands: it leads, as it is nearest to all of them.
+    central = members.groupBy("node").agg(F.sum("many").alias("weight"))
+    members = stored(members.drop("many").join(central, "node"))
     wanted = members.select(F.col("node").alias("key")).distinct()
     keyed = stored(signed.select("id", "t", "key").join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "t")).alias("one")).select("one.id", "one.t"))
     bags = stored(join_narrow(rows, keyed, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]).mapInArrow(_bags, "node binary, bag array<long>"))
@@ -185,11 +188,11 @@ def near_classes(signed: DataFrame, rows: DataFrame) -> DataFrame | None:
         sides = [F.min("root").alias("lo"), F.max("root").alias("hi")]
         other = (F.col("root") != F.col("led.root")) & (F.col("node") != F.col("led.node")) & close
         if light:
-            order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-            open_ = now.groupBy("bucket").agg(*sides, F.min_by(F.struct("node", "root", "n"), order).alias("led")).filter("lo < hi").select("bucket", "led")
-            pairs = now.join(open_, "bucket").filter(other).groupBy("node").agg(F.min_by("led.node", F.xxhash64("bucket", F.lit(turn))).alias("leader"))
+            order = F.struct(F.xxhash64("node", F.lit(turn))) if turn else F.struct("weight", "node")
+            open_ = now.groupBy("bucket").agg(*sides, F.max_by(F.struct("node", "root", "n", "weight"), order).alias("led")).filter("lo < hi").select("bucket", "led")
+            pairs = now.join(open_, "bucket").filter(other).groupBy("node").agg(F.max_by("led.node", F.struct(F.xxhash64("bucket", F.lit(turn))) if turn else F.struct("led.weight", "led.node")).alias("leader"))
         else:
-            open_ = now.groupBy("bucket").agg(*sides, F.min("node").alias("first"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select("bucket", "first", "many")
+            open_ = now.groupBy("bucket").agg(*sides, F.max_by("node", F.struct("weight", "node")).alias("first"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select("bucket", "first", "many")
             now = stored(now.join(open_, "bucket"))
             if now.isEmpty():
                 return roots
@@ -208,7 +211,7 @@ def near_classes(signed: DataFrame, rows: DataFrame) -> DataFrame | None:
             light = n_found > pairs.count() // 20
             turn += 1
         else:
-            members = now.filter(~lead).select("node", "n", "bucket")  # leaders have met the whole bucket
+            members = now.filter(~lead).select("node", "n", "weight", "bucket")  # leaders have met the whole bucket
             leaders *= 8
 
 
