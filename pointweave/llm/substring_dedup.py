@@ -8,8 +8,9 @@ The suffixes under the remaining anchors are split by prefixes of variable lengt
 is the anchor's PREFIX words, or, where more than HOT slices share it, the whole window. In a group of short prefixes the
 suffix tree is built over the slices' words (as sorted ranks of all suffixes, doubled in depth until 50 words); its
 internal nodes of that depth are the repeats, and each knows the least doc_id below it. A prefix of a whole window is
-such a node already, so there only the least doc_id is aggregated, combined before the shuffle. Tasks read many small
-groups one after the other and never hold more than one pack of them.
+such a node already, so there only the least doc_id is aggregated, combined before the shuffle; equal slices of a hot
+anchor are first folded into one, so copies cost a row per slice and not one per window. Tasks read many small groups one
+after the other and never hold more than one pack of them.
 
 Defined results: a null text has no words; of repeated rows with one doc_id none precedes the other; a row without doc_id
 neither removes nor loses words; an empty table gives an empty result; extra columns are ignored.
@@ -139,7 +140,7 @@ def _slices(hot: bool):
                 for x in found:
                     part = words[x["first"]:x["first"] + x["n"] + WINDOW - 1]
                     if hot:
-                        rows += [(hashlib.blake2b(" ".join(part[k:k + WINDOW]).encode(), digest_size=16).digest(), i, t, x["first"] + k) for k in range(x["n"])]
+                        rows.append((_digest(part), i, t, x["first"], [_digest(part[k:k + WINDOW]) for k in range(x["n"])]))
                     else:
                         rows.append((x["h"], i, t, x["first"], " ".join(part)))
                     if len(rows) >= 5000:
@@ -150,14 +151,18 @@ def _slices(hot: bool):
     return run
 
 
+def _digest(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+
+
 def _batch(rows: list[tuple], hot: bool) -> pa.RecordBatch:
-    kinds = (pa.binary() if hot else pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=["h", "id", "t", "first", "slice"][:4 if hot else 5])
+    kinds = (pa.binary() if hot else pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()) if hot else pa.string())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "id", "t", "first", "windows" if hot else "slice"])
 
 
 def repeated_stretches(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From id, t (which text of that id), body: the keys (id, t) of documents that share an anchor, and the stretches
-    (id, t, a, b) of words to remove."""
+    (id, t, cuts: array of a, b) of words to remove."""
     anchors = stored(rows.filter("id IS NOT NULL").mapInArrow(_anchors, "h long, id long, t int, first int, n int"))
     shared = anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select("h", (F.col("many") > HOT).alias("hot"))
     found = anchors.join(shared.hint("shuffle_merge"), "h").groupBy("id", "t").agg(F.collect_list(F.struct("h", "first", "n", "hot")).alias("found"))  # of one document
@@ -166,10 +171,16 @@ def repeated_stretches(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = stored(texts.join(found.hint("shuffle_merge"), ["id", "t"]))
     small = texts.mapInArrow(_slices(False), "h long, id long, t int, first int, slice string")
     trees = small.repartition("h").sortWithinPartitions("h").mapInArrow(_trees, "id long, t int, a int, b int")
-    large = texts.filter(F.exists("found", lambda x: x["hot"])).mapInArrow(_slices(True), "h binary, id long, t int, first int")
-    least = large.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h", "lo")
-    nodes = large.join(least.hint("shuffle_merge"), "h").filter("id > lo").select("id", "t", F.col("first").alias("a"), (F.col("first") + WINDOW).alias("b"))
-    return texts.select("id", "t"), trees.union(nodes).groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    large = texts.filter(F.exists("found", lambda x: x["hot"])).mapInArrow(_slices(True), "h binary, id long, t int, first int, windows array<binary>")
+    folded = stored(large.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("windows").alias("windows")))
+    shown = folded.select("h", "lo", "hi", F.posexplode("windows").alias("k", "window"))
+    nodes = shown.groupBy("window").agg(F.min("lo").alias("least"), F.max("hi").alias("hi")).filter("least < hi").select("window", "least")
+    least = shown.select("h", "k", "window").join(nodes.hint("shuffle_merge"), "window").groupBy("h").agg(F.collect_list(F.struct("k", "least")).alias("known"))  # of one slice
+    later = F.filter("known", lambda x: x["least"] < F.col("id"))
+    hot = large.select("h", "id", "t", "first").join(least.hint("shuffle_merge"), "h").filter(F.size(later) > 0)
+    hot = hot.select("id", "t", F.transform(later, lambda x: F.struct((F.col("first") + x["k"]).alias("a"), (F.col("first") + x["k"] + WINDOW).alias("b"))).alias("cuts"))
+    both = trees.select("id", "t", F.array(F.struct("a", "b")).alias("cuts")).union(hot)
+    return texts.select("id", "t"), both.groupBy("id", "t").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
