@@ -102,7 +102,8 @@ def figures(text: str, words: np.ndarray) -> np.ndarray:
     shares = words[:, 3:].astype(np.float64).mean(0)
     code = words[:, 0]
     again = float((code[1:] == code[:-1]).mean()) if n > 1 else 0.0
-    pairs = len(np.unique(mixed(code[1:] * np.uint64(3) + code[:-1]))) / (n - 1) if n > 1 else 1.0
+    both = np.sort(code[1:] * np.uint64(3) + code[:-1])
+    pairs = (1 + int((both[1:] != both[:-1]).sum())) / (n - 1) if n > 1 else 1.0
     lines = len(_LINE.findall(text))
     return np.array([*shares, again, pairs, min(1.0, len(_ENDED.findall(text)) / max(1, lines))])
 
@@ -167,9 +168,10 @@ def features(words: np.ndarray, figure: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Places and values of a text's hashed features."""
     shape, n = words[:, 1], len(words)
     tokens = np.concatenate([shape, words[:, 2], mixed(shape[1:] * np.uint64(5) + shape[:-1])])
-    place, many = np.unique(tokens % np.uint64(DIMENSIONS), return_counts=True)
-    steps = np.array([mixed(np.array([97 + 31 * k + 1009 * int(10 * x)], np.uint64))[0] % np.uint64(DIMENSIONS) for k, x in enumerate(figure)], np.uint64)
-    return np.concatenate([place, steps]).astype(np.int32), np.concatenate([np.sqrt(many / n), np.ones(len(steps))]).astype(np.float32)
+    counts = np.bincount((tokens % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
+    place = np.flatnonzero(counts)
+    steps = mixed(97 + 31 * np.arange(len(figure), dtype=np.uint64) + np.uint64(1009) * (10 * figure).astype(np.uint64)) % np.uint64(DIMENSIONS)
+    return np.concatenate([place, steps.astype(np.int64)]).astype(np.int32), np.concatenate([np.sqrt(counts[place] / n), np.ones(len(steps))]).astype(np.float32)
 
 
 def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300, step: float = 0.05, decay: float = 1e-4) -> np.ndarray:
