@@ -24,54 +24,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, one_thread, stored, tokenizer_path, whole_text
+from .common import arrow_rows, kept, one_thread, stored, tokenizer_path, whole_text
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
 ROWS_PER_SALT = 20_000
 #: Chunks of which a worker remembers the ids, some 200 bytes each.
-HELD = 1_000_000
+HELD = 1_500_000
 
 _SPACE = re.compile("[ \t\n\r]+")
+#: Chunks of these characters only are lower-cased letter by letter and split into runs of letters, digits and other marks.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+")
+_PART = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 
 
 class Ids:
     """Ids of a text as little-endian bytes. The tokenizer drops white space and never merges across it, so a text's ids
-    are those of its chunks between spaces, tabs and line breaks; the ids of chunks are remembered. As the value of a
-    broadcast it lives on in a worker from task to task."""
+    are those of its chunks between spaces, tabs and line breaks; the ids of chunks are remembered."""
 
     def __init__(self, name: str):
-        self.name, self.lib, self.known = name, None, {"": b""}
+        one_thread()
+        from tokenizers import Tokenizer
 
-    def __getstate__(self):
-        return self.name
-
-    def __setstate__(self, name: str):
-        self.__init__(name)
+        self.lib, self.known = Tokenizer.from_file(tokenizer_path(name)), {"": b""}
+        words = self.lib.get_vocab(with_added_tokens=False)
+        self.end = np.zeros(max(words.values()) + 3, bool)
+        self.end[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if self.lib is None:
-            one_thread()
-            from tokenizers import Tokenizer
-
-            self.lib = Tokenizer.from_file(tokenizer_path(self.name))
         split = [_SPACE.split(t) for t in texts]
         if len(self.known) > HELD:
             self.known = {"": b""}
         new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 5000):
-            for chunk, got in zip(new[i:i + 5000], self.lib.encode_batch_fast(new[i:i + 5000], add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(got.ids, "<u4").tobytes()
+        plain = [c for c in new if _PLAIN.fullmatch(c)]
+        for i in range(0, len(plain), 2000):
+            self._learn(plain[i:i + 2000])
+        odd = [c for c in new if c not in self.known]
+        for chunk, got in zip(odd, self.lib.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.known[chunk] = np.array(got.ids, "<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, x)) for x in split]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Plain chunks in one call: the parts into which the tokenizer splits them are counted here, and each part ends
+        with an id that carries the mark of a word's end."""
+        ids = np.array(self.lib.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.end[ids]) + 1
+        parts = np.cumsum([len(_PART.findall(c)) for c in chunks])
+        if len(ends) != parts[-1]:
+            raise ValueError("the tokenizer splits plain text in another way")
+        data, at = ids.tobytes(), 0
+        for chunk, to in zip(chunks, (4 * ends[parts - 1]).tolist(), strict=True):
+            self.known[chunk], at = data[at:to], to
+
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents longer than the capacity are cut, others stay whole."""
-    known = docs.sparkSession.sparkContext.broadcast(Ids(tokenizer))
+    memo = docs.sparkSession.sparkContext.broadcast({})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = known.value
+        ids = kept(memo, tokenizer, lambda: Ids(tokenizer))
         for b in batches:
             names, texts = b.column("doc_id").to_pylist(), b.column("body").to_pylist()
             for k in range(0, len(texts), 200):
