@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, join_narrow, stored, whole_text
@@ -120,7 +120,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if full:
                     for k, x in zip(full, bands_of(signatures([rows[k][1] for k in full])), strict=True):
                         bands[k] = x
-                yield pa.record_batch([pa.array(ids[at:i + 1], pa.int64()), pa.array(ts[at:i + 1], pa.int32()), pa.array([k for k, _ in rows], pa.binary()), pa.array([int(x[1].sum()) for _, x in rows], pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
+                yield pa.record_batch([pa.array(ids[at:i + 1], pa.int64()), pa.array(ts[at:i + 1], pa.int64()), pa.array([k for k, _ in rows], pa.binary()), pa.array([int(x[1].sum()) for _, x in rows], pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
                                       names=["id", "t", "key", "n", "bands"])
                 rows, held, at = [], 0, i + 1
 
@@ -139,6 +139,14 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(bags, pa.list_(pa.int64()))], names=["node", "bag"])
 
 
+def _named(id_: Column) -> dict[str, Column]:
+    """An id as two columns that are never null, because joins pass over null ids."""
+    return {"nil": id_.isNull(), "id": F.coalesce(id_, F.lit(0).cast("long"))}
+
+
+NAME = ["nil", "id", "t"]
+
+
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold."""
     left = bags.select(F.col("node").alias("a"), F.col("bag").alias("x"))
@@ -178,8 +186,9 @@ def near_classes(signed: DataFrame, rows: DataFrame) -> DataFrame | None:
     central = members.groupBy("node").agg(F.sum("many").alias("weight"))
     members = stored(members.drop("many").join(central, "node"))
     wanted = members.select(F.col("node").alias("key")).distinct()
-    keyed = stored(signed.select("id", "t", "key").join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "t")).alias("one")).select("one.id", "one.t"))
-    bags = stored(join_narrow(rows, keyed, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]).mapInArrow(_bags, "node binary, bag array<long>"))
+    named = signed.withColumns(_named(F.col("id"))).select(*NAME, "key")  # a row with an id stands for its node where there is one
+    keyed = stored(named.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*NAME)).alias("one")).select("one.*"))
+    bags = stored(join_narrow(rows.withColumns(_named(F.col("id"))), keyed, NAME, "left_semi").dropDuplicates(NAME).mapInArrow(_bags, "node binary, bag array<long>"))
     tried, roots, light, turn, leaders = None, None, True, 0, 1
     close = DENOMINATOR * F.least("n", "led.n") >= NUMERATOR * F.greatest("n", "led.n")
     while True:
@@ -233,8 +242,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its near-duplicates and itself), class_size, kept; and t, which text of the id."""
     arrow_rows(docs.sparkSession, 2000)
     body = whole_text()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.hash(body).alias("t"), body.alias("body"))
-    signed = stored(rows.mapInArrow(_sign, "id long, t int, key binary, n int, bands array<long>"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(body).alias("t"), body.alias("body"))
+    signed = stored(rows.mapInArrow(_sign, "id long, t long, key binary, n int, bands array<long>"))
     roots = near_classes(signed, rows)
     own = signed.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("many"))
     root = F.col("key")
@@ -249,10 +258,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = stored(classes(docs.select("doc_id", "text")).filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct())
+    gone = stored(classes(docs.select("doc_id", "text")).filter("NOT kept").select(*[c.alias(f"__{n}") for n, c in _named(F.col("doc_id")).items()], F.col("t").alias("__t")).distinct())
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    named = named.select("row", F.col("row.doc_id").cast("long").alias("__id"), F.hash(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("__t"))
-    return join_narrow(named, gone, ["__id", "__t"], "left_anti").select("row.*")
+    named = named.select("row", *[c.alias(f"__{n}") for n, c in _named(F.col("row.doc_id").cast("long")).items()], F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("__t"))
+    return join_narrow(named, gone, [f"__{n}" for n in NAME], "left_anti").select("row.*")
 
 
 def query(spark, sf_dir):

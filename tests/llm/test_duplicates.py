@@ -80,6 +80,15 @@ def test_classes(spark, odd, which):
     assert {r.doc_id for r in kept.collect()} == least
 
 
+def test_rows_without_an_id_join_classes_of_rows_with_one(spark):
+    base, other = prose(60, 200).split(" "), prose(61, 90)
+    near = [" ".join(base[:k] + [f"y{k}"] + base[k + 1:]) for k in (3, 90, 190)]
+    rows = [(None, " ".join(base)), (7, " ".join(base)), (9, near[0]), (None, near[1]), (None, near[2]), (11, near[2]), (None, other), (None, other), (12, prose(62, 80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in bag_minhash.classes(df).collect()) == classes_of(rows)
+    assert Counter((r.doc_id, r.text) for r in bag_minhash.deduplicate(df).collect()) == Counter([(7, " ".join(base)), (None, other), (None, other), (12, prose(62, 80))])
+
+
 def test_classes_of_a_table(spark, sf, texts):
     got = {r.doc_id: r.class_id for r in bag_minhash.query(spark, sf).collect()}
     assert got == {i: c for i, c, _ in classes_of(list(texts.items()))}
