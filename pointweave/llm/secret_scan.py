@@ -41,6 +41,14 @@ def _either(word: str) -> str:
 
 _NAMES = f"{_either('password')}|{_either('passwd')}|{_either('secret')}|{_either('token')}|{_either('api')}_?{_either('key')}"
 
+_B64 = "A-Za-z0-9+/="
+_KEY = "[A-Z0-9 ]*PRIVATE KEY-----"
+#: A private key: to its END mark, before which only words of a header have hyphens; without one over the runs of base64,
+#: which quotes, indents and written-out line ends may part, and the short line that ends them. Repeated groups are few,
+#: as the expressions' engine of the JVM goes one level deeper for each.
+_BODY = (rf"(?:(?:[^-]*[A-Za-z0-9]-[A-Za-z0-9]){{0,16}}[^-]*-----END {_KEY}"
+         rf"|(?:(?:[{_B64}:,\x20\t\r\n]*[A-Za-z0-9]-[A-Za-z0-9]){{0,16}}[{_B64}:,;#*>|\"'\\\x20\t\r\n]*[{_B64}]{{20,}})?(?:[{_B64}\r\n]*(?:\n|$))?)")
+
 #: The base kinds first, in the order that the result lists them.
 RULES = (
     Rule("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -50,8 +58,8 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:@/]{1,64}:[^\s:@/]{1,64}@"),
+    Rule("private", rf"-----BEGIN {_KEY}{_BODY}"),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:@/]+:[^\s:@/]+@"),
 )
 BASE = ("assign", "access", "hex")
 

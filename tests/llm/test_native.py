@@ -1,7 +1,9 @@
 """The operators in DataFrame operations: against SQL on a whole small table, and on odd rows."""
 
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -89,6 +91,38 @@ def test_redaction_leaves_no_secret_and_all_else(odd):
     assert out[2].text is None and out[4].text == dict(odd_rows())[4]
 
 
+def private_keys():
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
+    for end in ("\n", "\r\n", "\\n", "\n    ", " "):
+        for last in (1, 30, 63):
+            lines = [line(64) for _ in range(25)] + [line(last) + "=="]
+            yield end, lines, True
+            if end in ("\n", "\r\n") or last > 20:
+                yield end, lines, False
+    yield "\n", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: DES-EDE3-CBC,0A1B2C3D4E5F6071", "", *(line(64) for _ in range(12))], True
+    yield "\n", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: DES-EDE3-CBC,0A1B2C3D4E5F6071", "", *(line(64) for _ in range(12))], False
+    yield "\n", [line(64) for _ in range(20_000)], True
+    yield "\n", [line(64) for _ in range(20_000)], False
+
+
+def test_redaction_takes_whole_keys_and_long_urls(spark):
+    rows, bodies = [], {}
+    for i, (end, lines, closed) in enumerate(private_keys()):
+        key = end.join(["-----BEGIN RSA PRIVATE KEY-----", *lines, *(["-----END RSA PRIVATE KEY-----"] if closed else [])])
+        rows.append((i, f"The key, of old:\n{key}\nAnd so, the text - as it was - goes on.\n"))
+        bodies[i] = [x for x in lines if len(x) > 2]
+    token = "0Ab_" * 500
+    rows += [(1000, f"see https://{token}:{token}@host/x and ftp://u:{token}@h"), (1001, "-----BEGIN PRIVATE KEY-----"), (1002, "-----BEGIN PRIVATE KEY-----\nand then some words - no key")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    for i, lines in bodies.items():
+        assert not any(x in out[i] for x in lines) and "[SECRET]" in out[i], (i, out[i][:300])
+        assert out[i].startswith("The key, of old:\n[SECRET]") and out[i].endswith("so, the text - as it was - goes on.\n"), (i, out[i][:300])
+    assert out[1000] == "see [SECRET]host/x and [SECRET]h" and out[1001] == "[SECRET]" and out[1002].endswith("and then some words - no key")
+    assert {r.doc_id: r.n_spans for r in secret_scan.report(df).collect()}[1000] == 2
+
+
 def test_exact_dedup_on_odd_rows(odd):
     rows = odd_rows()
     group = {}
