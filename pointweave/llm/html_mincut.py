@@ -29,6 +29,8 @@ from .common import arrow_rows
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TAGS = frozenset("head noscript script style template textarea title iframe object svg canvas audio video select option datalist".split())
+#: Tags that leave an open head as it is; any other ends it, and so does text.
+HEAD_TAGS = frozenset("base basefont bgsound html head link meta noframes noscript script style template title".split())
 #: Tags that open elements of the first kind end when a tag of the second kind opens.
 ENDED_BY = {"p": BLOCK_TAGS - {"br", "button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -79,7 +81,19 @@ class _Blocks(HTMLParser):
             self.blocks.append(Block(tuple(o.number for o in self.open if o.tag in BLOCK_TAGS), top.weight, text, self.linked, any(o.tag in ("h1", "h2", "h3", "h4") for o in self.open)))
         self.parts, self.linked = [], 0
 
+    def end_head(self, tag: str = "") -> None:
+        """The head ends where something starts that has no place in it; body ends it even in an open noscript."""
+        at = len(self.open) - 1
+        while tag == "body" and self.open[at].tag in ("noscript", "noframes"):
+            at -= 1
+        if self.open[at].tag == "head" and tag not in HEAD_TAGS:
+            self.flush()
+            del self.open[at:]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.end_head(tag)
+        if tag == "head" and any(o.tag not in ("", "html") for o in self.open):
+            return  # a page has one head, before its body
         top = self.open[-1]
         if tag in BLOCK_TAGS:
             self.flush()
@@ -105,8 +119,11 @@ class _Blocks(HTMLParser):
         self.open.append(_Open(tag, self.count, weight + own, hidden, top.link or tag == "a"))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.end_head(tag)
         if tag in BLOCK_TAGS:
             self.flush()
+        elif tag == "svg" or any(o.tag == "svg" for o in self.open):
+            return  # drawings are of XML, where <svg/> and <path/> are whole
         elif tag not in VOID_TAGS:
             self.handle_starttag(tag, attrs)  # browsers read <b/> as <b>
 
@@ -123,6 +140,8 @@ class _Blocks(HTMLParser):
             del self.open[at:]
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         top = self.open[-1]
         if not top.hidden:
             self.parts.append(data)

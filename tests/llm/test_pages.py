@@ -31,6 +31,17 @@ def test_boilerplate_goes():
     assert main_text(page) == 'A "title" The first paragraph has bold and linked words, and an end. The second is not closed & still fine. One point of the list is made here. Another one follows it, longer than the first.'
 
 
+def test_heads_without_an_end_and_closed_drawings():
+    meat = "<p>The first sentence of the page is long enough to count.</p><p>The second one is, too, and it has an end.</p>"
+    want = "The first sentence of the page is long enough to count. The second one is, too, and it has an end."
+    head = "<html><head><meta charset=utf-8><title>T</title><link rel=x href=y><style>p {}</style><script>1</script>"
+    for page in (f"{head}<body>{meat}</body></html>", f"{head}{meat}", f"{head}<article>{meat}</article>", f"{head}<noscript><img src=x><body>{meat}", f"<head/><body>{meat}", f"{head}</head><body><head>{meat}</body>"):
+        assert main_text(page) == want, page
+    assert main_text(f"{head}\n A bare sentence ends the head of this page, as in browsers.") == "A bare sentence ends the head of this page, as in browsers."
+    drawn = want.replace("page is", "page <svg/>is").replace("one is", 'one <svg width="1"><g><path d="M0"/></g><a/><title/></svg>is')
+    assert main_text("<html><head><title>T</title></head><body><article><p>" + drawn.replace(". The", ".</p><p>The") + "</p></article></body></html>") == want
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p"), (4, "u", "<article>" + "<p>A sentence that is long enough to count.</p>" * 3000 + "</article>"), (4, "u", "<div>" * 2000 + "deep and long enough, it is a sentence." + "</div>" * 2000), (5, "u", "</p></div><b><i>x</b></i><![CDATA[z]]><!-- open")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars", "2 AS body")
