@@ -290,8 +290,13 @@ def dirichlet_energy(df: DataFrame, r: float, col: str, by=SCAN, point_id="point
 
 
 def approximate_knn(q, s, k: int, probes: int = 8, cells: int | None = None, by=SCAN, q_id="query_id", s_id="point_id",
-                    axes=XYZ, vector: str | None = None, seed: int = 1) -> DataFrame:
-    """Inverted-file search: k-means cells learnt on s, each query looks into its nearest cells."""
+                    axes=XYZ, vector: str | None = None, seed: int = 1, recall: float = 0.9, sample: int = 512) -> DataFrame:
+    """Inverted-file search: k-means cells learnt on s, each query looks into its nearest cells.
+
+    ``probes`` is where the number of cells looked into starts. It is raised until a sample of queries, whose true
+    neighbours are found by brute force over all of s, loses at most half of what ``recall`` allows. Queries with fewer
+    than k hits look into twice as many cells, and again, until they have k or all rows of their group.
+    """
     import math
 
     from pyspark.ml.clustering import KMeans
@@ -305,29 +310,87 @@ def approximate_knn(q, s, k: int, probes: int = 8, cells: int | None = None, by=
         vec = lambda d: d.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
     else:
         vec = VectorAssembler(inputCols=list(axes), outputCol="__v").transform
+    point = F.array(*[F.col(a).cast("double") for a in axes]) if not vector else F.col(vector).cast("array<double>")
+    group = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    qs = q.select(*by, q_id, point.alias("__p"))
+    if not n:
+        return qs.join(s.select(*by, s_id).limit(0), by).select(*by, q_id, s_id, F.lit(0.0).alias("d2"), F.lit(0).alias("rank"))
     model = KMeans(k=cells, seed=seed, featuresCol="__v", predictionCol="__cell", maxIter=10).fit(vec(s))
     centres = np.array(model.clusterCenters())  # bounded: at most 65536 rows
     square = (centres * centres).sum(1)
-    point = F.array(*[F.col(a).cast("double") for a in axes]) if not vector else F.col(vector).cast("array<double>")
-    n_probes = min(probes, len(centres))
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def nearest_cells(p: pd.Series) -> pd.Series:
-        out = []
-        for lo in range(0, len(p), 256):  # small blocks keep the distance matrix small
-            x = np.stack(p.iloc[lo: lo + 256].to_numpy()).astype(float)
-            d = square[None] - 2 * x @ centres.T
-            out += list(np.argpartition(d, n_probes - 1, 1)[:, :n_probes].astype("int32"))
-        return pd.Series(out)
+    ss = cut(model.transform(vec(s)).select(*by, s_id, point.alias("__t"), "__cell"))
+
+    def nearest_cells(n_probes: int):
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def pick(p: pd.Series) -> pd.Series:
+            out = []
+            for lo in range(0, len(p), 256):  # small blocks keep the distance matrix small
+                x = np.stack(p.iloc[lo: lo + 256].to_numpy()).astype(float)
+                d = square[None] - 2 * x @ centres.T
+                out += list(np.argpartition(d, n_probes - 1, 1)[:, :n_probes].astype("int32"))
+            return pd.Series(out)
+        return pick
 
     def dist(a, b):
         return F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda t, e: t + e)
 
-    qs = q.select(*by, q_id, point.alias("__p"))
-    qs = qs.withColumn("__cell", F.explode(nearest_cells("__p")))
-    ss = model.transform(vec(s)).select(*by, s_id, point.alias("__t"), "__cell")
-    found = qs.join(ss, by + ["__cell"]).withColumn("d2", dist(F.col("__p"), F.col("__t")))
-    return top_per_group(found.select(*by, q_id, s_id, "d2"), by + [q_id], [F.col("d2"), F.col(s_id)], k, rank="rank")
+    def learnt_probes() -> int:
+        asked = qs.withColumn("__g", group).orderBy(F.xxhash64(F.lit(seed), *by, q_id)).limit(sample).select("__g", "__p").collect()
+        if not asked:
+            return 1
+        g = np.array([r[0] for r in asked], dtype=np.int64)
+        x = np.array([r[1] for r in asked], dtype=float)
+
+        def best(batches):
+            """The k nearest rows of a partition for each sampled query: query, cell, squared distance."""
+            d, c = np.full((len(x), k), np.inf), np.full((len(x), k), -1, np.int32)
+            for b in batches:
+                for lo in range(0, len(b), 512):
+                    part = b.iloc[lo: lo + 512]
+                    t = np.stack(part["__t"].to_numpy()).astype(float)
+                    e = np.maximum((x * x).sum(1)[:, None] - 2 * x @ t.T + (t * t).sum(1)[None], 0)
+                    e[g[:, None] != part["__g"].to_numpy()[None]] = np.inf
+                    d = np.concatenate([d, e], 1)
+                    c = np.concatenate([c, np.broadcast_to(part["__cell"].to_numpy().astype(np.int32), e.shape)], 1)
+                    keep = np.argpartition(d, k - 1, 1)[:, :k]
+                    d, c = np.take_along_axis(d, keep, 1), np.take_along_axis(c, keep, 1)
+            at = np.nonzero(np.isfinite(d))
+            yield pd.DataFrame({"i": at[0].astype(np.int32), "cell": c[at], "d": d[at]})
+
+        near = ss.select(group.alias("__g"), "__t", "__cell").mapInPandas(best, "i int, cell int, d double")
+        near = top_per_group(near, ["i"], ["d", "cell"], k).collect()  # at most sample * k rows
+        if not near:
+            return 1
+        places = {}
+        for i in {r["i"] for r in near}:
+            place = np.empty(len(centres), np.int64)
+            place[np.argsort(square - 2 * centres @ x[i], kind="stable")] = np.arange(1, len(centres) + 1)
+            places[i] = place
+        needed = np.sort([places[r["i"]][r["cell"]] for r in near])
+        return int(needed[math.ceil((1 + recall) / 2 * len(needed)) - 1])
+
+    n_probes = min(probes, len(centres))
+    if n_probes < len(centres):
+        n_probes = max(n_probes, learnt_probes())
+    size = ss.groupBy(*by).agg(F.least(F.count("*"), F.lit(k)).alias("__want"))
+    parts = []
+    while True:
+        probed = qs.withColumn("__cell", F.explode(nearest_cells(n_probes)("__p")))
+        found = probed.join(ss, by + ["__cell"]).withColumn("d2", dist(F.col("__p"), F.col("__t")))
+        found = top_per_group(found.select(*by, q_id, s_id, "d2"), by + [q_id], [F.col("d2"), F.col(s_id)], k, rank="rank")
+        if n_probes == len(centres):  # everything was looked at
+            parts.append(found)
+            break
+        found = cut(found)
+        have = found.groupBy(*by, q_id).agg(F.count("*").alias("__have"))
+        short = qs.join(size, by).join(have, by + [q_id], "left").where(F.coalesce("__have", F.lit(0)) < F.col("__want"))
+        short = cut(short.select(*by, q_id, "__p"))
+        if short.isEmpty():
+            parts.append(found)
+            break
+        parts.append(found.join(short.select(*by, q_id), by + [q_id], "left_anti"))
+        qs, n_probes = short, min(2 * n_probes, len(centres))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def pyramid(df: DataFrame, levels, by=SCAN, point_id="point_id") -> DataFrame:

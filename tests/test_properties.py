@@ -1,5 +1,7 @@
 """Operators without SQL, compared with brute force or with what they promise."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -75,6 +77,29 @@ def test_approximate_knn_recall(spark, sf):
     assert len(want & set(zip(got.query_id, got.vec_id))) > 0.6 * len(want)
 
 
+def test_approximate_knn_recall_of_the_whole_table(spark, sf):
+    e = spark.read.parquet(f"{os.path.dirname(sf.rstrip('/'))}/sf0.1/embeddings.parquet").withColumn("scan_id", F.lit(0))
+    got = neighbours.approximate_knn(e.withColumnRenamed("vec_id", "query_id"), e, 5, probes=8, s_id="vec_id", vector="embedding").toPandas()
+    pdf = e.toPandas()
+    v, ids = np.stack(pdf.embedding).astype(float), pdf.vec_id.to_numpy()
+    want = set()
+    for i in range(len(v)):
+        d = ((v[i] - v) ** 2).sum(1)
+        want |= {(ids[i], ids[j]) for j in np.lexsort((ids, d))[:5]}
+    share = len(want & set(zip(got.query_id, got.vec_id))) / len(want)
+    print("recall", share)
+    assert len(got) == len(want) and share >= 0.9
+
+
+def test_approximate_knn_fills_up_small_groups(spark):
+    pdf = cloud(1500)
+    rng = np.random.default_rng(4)
+    small = pd.DataFrame({"scan_id": 2 + np.arange(9) // 6, "point_id": 5000 + np.arange(9), **dict(zip("xyz", rng.random((3, 9)) * 8)), "label": 0})
+    s = spark.createDataFrame(pd.concat([pdf, small]))
+    got = neighbours.approximate_knn(s.withColumnRenamed("point_id", "query_id"), s, 4, probes=1).groupBy("scan_id", "query_id").count().collect()
+    assert len(got) == 1509 and all(r["count"] == (3 if r.scan_id == 3 else 4) for r in got)
+
+
 @pytest.mark.parametrize("width", [8, 1024])
 def test_farthest_points_equal_the_one_by_one_form(spark, width):
     pdf = cloud(150, copies=3)
