@@ -12,7 +12,7 @@ from ..functions.lineage import cut
 from ..functions.maths import rigid_inverse
 from ..functions.prefix import number_by_hash
 from ..functions.rand import key_hash, uniform
-from .neighbours import ball_join, nearest_join
+from .neighbours import ball_join, nearest_join, neighbour_counts
 from .voxel import grid_sample
 
 XYZ = ("x", "y", "z")
@@ -99,39 +99,52 @@ def limit_matches(matches: DataFrame, n: int, seed) -> DataFrame:
     return number_by_hash(keyed, ["pair_id"], "__h", F.struct("query_id", "point_id"), "__rn").where(F.col("__rn") <= n).drop("__rn", "__h")
 
 
-def self_pairs(frags: DataFrame, r_crop: float, r: float, block: tuple[float, float], seed, draws: int = 32, min_matches: int = 1, at_once: int = 8) -> tuple[DataFrame, DataFrame]:
+def self_pairs(frags: DataFrame, r_crop: float, r: float, block: tuple[float, float], seed, min_matches: int = 1, at_once: int = 8) -> tuple[DataFrame, DataFrame]:
     """Self-supervised pairs: two crops of one fragment about random points; the source points in a ball of random radius
     about a random source point are matched with their nearest target point within r.
 
     Each fragment draws at_once times side by side and the first draw with enough matches stays; fragments without one
-    draw again, and only those. Returns the matches (scene, frag_id, draw, query_id,
-    point_id, d2) and for every fragment the draw that served: null where none of ``draws`` did.
+    draw again, and only those, until none is left. A fragment cannot succeed when no ball of the largest radius holds
+    min_matches points, for both crops and the ball may lie about one point; it does not draw. Returns the matches
+    (scene, frag_id, draw, query_id, point_id, d2) and for every fragment the draw that served: null where none can.
     """
     keys = ["scene", "frag_id"]
-    d2 = lambda t: sum(((F.col(x) - F.col(f"{t}.{x}")) * (F.col(x) - F.col(f"{t}.{x}")) for x in XYZ), F.lit(0.0))
-
-    def with_centre(rows, tag):
-        pick = F.min_by(F.struct(*XYZ), F.struct(key_hash(f"{seed}/{tag}", *by, "point_id"), F.col("point_id")))
-        return rows.join(rows.groupBy(*by).agg(pick.alias(tag)), by)
-
-    left, matches, served = cut(frags.select(*keys).distinct()), [], []
     by = keys + ["draw"]
-    for first in range(0, draws, at_once):
-        tries = left.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(min(draws, first + at_once) - 1))))
-        pts = frags.join(tries, keys)
-        source = with_centre(with_centre(pts, "a").where(d2("a") <= r_crop * r_crop), "c")
+    far2 = lambda s, t: sum(((F.col(f"{s}{x}") - F.col(f"{t}{x}")) * (F.col(f"{s}{x}") - F.col(f"{t}{x}")) for x in XYZ), F.lit(0.0))
+    d2 = lambda t: far2("", f"{t}.")
+    pick = lambda tag: F.min_by(F.struct(*XYZ), F.struct(key_hash(f"{seed}/{tag}", *by, "point_id"), F.col("point_id"))).alias(tag)
+
+    sound = frags.where(reduce(lambda a, b: a & b, [F.abs(F.col(x)) < float("inf") for x in XYZ]))  # no null, NaN or infinity
+    if min_matches > 1:
+        widest = min(float(block[1]), float(r_crop))
+        if block[0] < block[1] <= r_crop:
+            widest = float(np.nextafter(widest, 0))  # a radius below the largest is drawn
+        counts = neighbour_counts(sound.withColumnRenamed("point_id", "query_id"), sound, widest, keys)
+        sound = counts.where(F.col("n") >= min_matches)
+    possible = cut(sound.select(*keys).distinct())
+    hopeless = frags.select(*keys).distinct().join(possible, keys, "left_anti")
+    served, matches, left, first, width = [hopeless.withColumn("draw", F.lit(None).cast("int"))], [], possible, 0, at_once
+    while True:
+        tries = left.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + width - 1))))
+        # Crops farther apart than this have no match; most draws of a large fragment end here, before points are joined.
+        centres = frags.join(tries, keys).groupBy(*by).agg(pick("a"), pick("b"))
+        centres = cut(centres.where(far2("a.", "b.") <= (2 * r_crop + r) ** 2 * (1 + 1e-9) + 1e-12))
+        pts = frags.join(centres, keys)
+        source = pts.where(d2("a") <= r_crop * r_crop)
+        source = source.join(source.groupBy(*by).agg(pick("c")), by)
         reach = F.lit(float(block[0])) + uniform(f"{seed}/reach", *by) * (block[1] - block[0])
         source = source.where(d2("c") <= reach * reach).select(*by, F.col("point_id").alias("query_id"), *XYZ)
-        target = with_centre(pts, "b").where(d2("b") <= r_crop * r_crop).select(*by, "point_id", *XYZ)
+        target = pts.where(d2("b") <= r_crop * r_crop).select(*by, "point_id", *XYZ)
         found = cut(nearest_join(source, target, 1, r, by).drop("rank"))
         good = found.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= min_matches)
         good = cut(good.groupBy(*keys).agg(F.min("draw").alias("draw")))
-        matches.append(found.join(good, by, "left_semi"))
-        served.append(good)
-        left = cut(left.join(good, keys, "left_anti"))
+        if not matches or not good.isEmpty():
+            matches.append(found.join(good, by, "left_semi"))
+            served.append(good)
+            left = cut(left.join(good, keys, "left_anti"))
         if left.isEmpty():
             break
-    served.append(left.withColumn("draw", F.lit(None).cast("int")))
+        first, width = first + width, min(2 * width, 8 * at_once)
     return reduce(DataFrame.unionByName, matches), reduce(DataFrame.unionByName, served)
 
 

@@ -286,3 +286,18 @@ def test_crop_ladder(m, w, h):
     sizes = _crop_sizes(m, w, h)
     assert sizes[-1] == (w, h) and sizes == sorted(set(sizes))
     assert m > min(w, h) or sizes == list(dict.fromkeys((min(m * 2 ** -(-t // 2), w), min(m * 2 ** (t // 2), h)) for t in range(40)))
+
+
+def test_self_pairs_draw_until_every_fragment_is_served(spark):
+    rng = np.random.default_rng(12)
+    wide = pd.DataFrame(rng.random((400, 3)) * np.array([400.0, 400.0, 0.0]), columns=list("xyz")).assign(frag_id=0)
+    near = pd.DataFrame(rng.random((60, 3)), columns=list("xyz")).assign(frag_id=1)
+    none = pd.DataFrame([[np.nan, 0.0, 0.0], [0.0, np.nan, 1.0]], columns=list("xyz")).assign(frag_id=2)
+    pdf = pd.concat([wide, near, none]).assign(scene=0)
+    pdf["point_id"] = np.arange(len(pdf))
+    df = spark.createDataFrame(pdf)
+    matches, served = registration.self_pairs(df, 2.0, 0.1, (0.5, 1.0), "many", at_once=64)
+    draws = {r.frag_id: r.draw for r in served.collect()}
+    assert draws[0] >= 32 and draws[1] is not None and draws[2] is None and len(draws) == 3
+    assert {(r.frag_id, r.draw) for r in matches.collect()} == {(f, d) for f, d in draws.items() if d is not None}
+    assert {r.frag_id: r.draw is None for r in registration.self_pairs(df, 2.0, 0.1, (0.5, 1.0), "two", min_matches=20, at_once=4)[1].collect()} == {0: True, 1: False, 2: True}
