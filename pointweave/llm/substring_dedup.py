@@ -1,14 +1,13 @@
-"""Removal of repeated 50-word passages by prefix-partitioned suffix trees.
+"""Removal of repeated 50-word passages by anchors and ranks of suffixes, in place of prefix-partitioned suffix trees.
 
 Which suffixes can repeat is found first. Of each 50-word window the run of PREFIX words with the least hash is its
 anchor; equal windows have equal anchors at equal places, and neighbouring windows mostly share theirs, so there are some
 twenty times fewer anchors than words. Anchors that occur in one document only are dropped.
 
 The suffixes under the remaining anchors are split by prefixes of variable length into groups that fit memory: a prefix
-is the anchor's PREFIX words, or, where more than HOT slices share it, the whole window. In a group of short prefixes the
-suffix tree is built over the slices' words (as sorted ranks of all suffixes, doubled in depth until 50 words); its
-internal nodes of that depth are the repeats, and each knows the least doc_id below it. A prefix of a whole window is
-such a node already, so there only the least doc_id is aggregated, combined before the shuffle; equal slices of a hot
+is the anchor's PREFIX words (which may lie anywhere in the window), or, where more than HOT slices share it, the whole
+window. In a group of anchors no tree is built: sorted ranks of all suffixes of the slices' words, doubled in depth until
+50 words, give the classes of equal windows, and each knows the least doc_id in it. A whole window is such a class already, so there only the least doc_id is aggregated, combined before the shuffle; equal slices of a hot
 anchor are first folded into one, so copies cost a row per slice and not one per window. Tasks read many small groups one
 after the other and never hold more than one pack of them.
 
