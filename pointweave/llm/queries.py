@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, byte_bpe, exact_dedup, html_mincut, packing, quality_rules, secret_scan, substring_dedup, token_counts, weak_quality
+from . import bag_minhash, byte_bpe, exact_dedup, grid_codes, html_mincut, packing, permutation_index, quality_rules, secret_scan, substring_dedup, token_alignment, token_counts, weak_quality
 
 _OPERATORS = {
     "op1_quality_rules": quality_rules,
@@ -15,6 +15,9 @@ _OPERATORS = {
     "op8_exact_dedup": exact_dedup,
     "op9_weak_quality": weak_quality,
     "op10_byte_bpe": byte_bpe,
+    "op11_permutation_index": permutation_index,
+    "op12_grid_codes": grid_codes,
+    "op13_token_alignment": token_alignment,
 }
 
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
