@@ -202,8 +202,9 @@ def pair_counts(ids: DataFrame) -> DataFrame:
     return found.select(F.expr(f"pair div {SIDE}").cast("int").alias("a_id"), F.expr(f"pair % {SIDE}").cast("int").alias("b_id"), "n_docs")
 
 
-def align(docs: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (a1,a2|b1;...)."""
+def align(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (a1,a2|b1;...). With `digest` the groups' place takes
+    groups_sha256, their SHA-256, worked out where they are written, so that none is stored or moved."""
     spark = docs.sparkSession
     arrow_rows(spark, 2000)
     ids = token_ids(docs)
@@ -238,10 +239,14 @@ def align(docs: DataFrame) -> DataFrame:
                 new = np.concatenate([[True], aligned.group_a[1:] != aligned.group_a[:-1]])
                 np.add.at(groups, aligned.docs_a[new], 1)
             sizes = [pa.array(list(map(len, z)), pa.int64()) for z in (x_a, x_b)]
-            yield pa.record_batch([b.column("row"), b.column("doc_id"), *sizes, pa.array(groups), *map(pa.array, sums), pa.array(aligned.written(names, n), pa.string()), rare],
-                                  names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "rare"])
-
-    numbers = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
+            written = aligned.written(names, n)
+            if digest:
+                written = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in written]
+            yield pa.record_batch([b.column("row"), b.column("doc_id"), *sizes, pa.array(groups), *map(pa.array, sums), pa.array(written, pa.string()), rare],
+                                  names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", last, "rare"])
+
+    last = "groups_sha256" if digest else "groups"
+    numbers = f"row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, {last} string"
     found = ids.mapInArrow(run, numbers + ", rare array<struct<pair:long,links:long>>")
     return _with_rare(found, counts.filter(F.col("n_docs") < least), top, spark) if least > 1 else found.drop("row", "rare")
 
@@ -259,8 +264,7 @@ def _with_rare(found: DataFrame, counts: DataFrame, top: np.ndarray, spark) -> D
 
 
 def query(spark, sf_dir):
-    found = align(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.withColumn("groups_sha256", F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))).drop("groups")
+    return align(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
 
 
 SQL = None
