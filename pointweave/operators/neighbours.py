@@ -1,12 +1,8 @@
 """Neighbour joins: radius, k nearest, interpolation and what builds on them.
 
 A radius join is an equi join on grid cells with the exact distance as a
-filter. A k-nearest join adapts the cell to the local density: points are
-counted in a ladder of halved grids, and only what lies in a crowded cell goes
-on to the next finer grids, so an outlier costs a few empty levels and a tight
-cluster refines only itself. Each query takes the finest cell around it that
-holds k points, the k-th distance inside that cell bounds its search radius,
-and one more equi join on cells as large as that radius finds the exact answer.
+filter. A k-nearest join goes down a tree of cell counts (``celltree``): counts
+bound the search, and points are joined only in the leaves within that bound.
 Copies of one place are reduced to the k smallest ids beforehand, which is
 exact because equal distances are ordered by id.
 """
@@ -19,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from . import celltree
 from ..functions.lineage import cut
 from ..functions.groups import top_per_group
 from ..functions.maths import six_digits, squared_distance
@@ -70,101 +67,23 @@ def radius_join(q: DataFrame, s: DataFrame, r, by=SCAN, q_id="query_id", s_id="p
     return out.select(*by, q_id, s_id, "d2", *q_carry, *carry)
 
 
-#: Grids counted at once, the cells' points (in k) up to which no finer grid is needed, and the last grid: beyond it
-#: two places differ by less than double precision tells.
-LEVELS_AT_ONCE, CROWDED, LAST_LEVEL = 6, 4, 48
-
-
-def _full_cells(pts: DataFrame, k: int, cells: list[str], ax: list[str], cell) -> DataFrame:
-    """The cells of all grids that hold k points. Points of crowded cells go on to the next grids."""
-    at, found = 0, None
-    while True:
-        last = at + LEVELS_AT_ONCE - 1
-        spread = pts.withColumn("__l", F.explode(F.sequence(F.lit(at), F.lit(last))))
-        spread = spread.withColumns({f"__c{a}": cell("", a, F.col("__l")) for a in ax})
-        full = cut(spread.groupBy(*cells).agg(F.count("*").alias("__m")).where(F.col("__m") >= k))
-        found = full if found is None else found.unionByName(full)
-        crowded = full.where((F.col("__l") == last) & (F.col("__m") > CROWDED * k)).select(*cells)
-        if last >= LAST_LEVEL or crowded.isEmpty():
-            return found.select(*cells)
-        pts = pts.withColumn("__l", F.lit(last)).withColumns({f"__c{a}": cell("", a, F.lit(last)) for a in ax})
-        pts = pts.join(crowded, cells, "left_semi").drop("__l", *[f"__c{a}" for a in ax])
-        at = last + 1
-
-
 def nearest_join(q: DataFrame, s: DataFrame, k: int, r: float | None = None, by=SCAN, q_id="query_id",
                  s_id="point_id", axes=XYZ) -> DataFrame:
     """The exact k nearest points of each query, at most r away: (by, q_id, rank, s_id, d2), rank from 1."""
     by, ax = list(by), list(axes)
-    here = [f"__q{a}" for a in ax]
+    xs = [F.col(a).cast("double").alias(f"x{i}") for i, a in enumerate(ax)]
+    at = [f"x{i}" for i in range(len(ax))]
+    whole = reduce(lambda u, v: u & v, [F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")) for a in ax])
 
     # Queries at one place share one answer; copies beyond the k smallest ids cannot be in any answer.
-    places = q.select(*by, *[F.col(a).alias(f"__q{a}") for a in ax]).distinct()
-    pts = top_per_group(s.select(*by, s_id, *ax), by + ax, [F.col(s_id)], k)
-
-    # One frame per group: its origin and extent.
-    spans = [F.max(a) - F.min(a) for a in ax]
-    frame = s.groupBy(*by).agg(*[F.min(a).alias(f"__o{a}") for a in ax], (F.greatest(*spans) if len(ax) > 1 else spans[0]).alias("__e"))
-    frame = frame.withColumn("__e", F.when(F.col("__e") > 0, F.col("__e") * 1.000001).otherwise(F.lit(1.0)))
-    pts = cut(pts.join(frame, by))  # read by the ladder and by both searches
-    places = places.join(frame, by)
-
-    def size_of(level):
-        return F.col("__e") / F.pow(F.lit(2.0), level)
-
-    def last_cell(level):
-        return F.pow(F.lit(2.0), level).cast("long") - 1
-
-    def cell(prefix, a, level, clamp=False):
-        c = F.floor((F.col(prefix + a) - F.col(f"__o{a}")) / size_of(level)).cast("long")
-        return F.greatest(F.lit(0).cast("long"), F.least(c, last_cell(level))) if clamp else c
-
-    cells = by + ["__l"] + [f"__c{a}" for a in ax]
-    full = _full_cells(pts, k, cells, ax, cell)
-    depth = full.agg(F.max("__l")).first()[0]
-
-    # Finest full cell around (or, outside the points' box, next to) each query place; -1 for none.
-    about = [f"__o{a}" for a in ax] + ["__e"]
-    level = places.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(depth or 0))))
-    level = level.withColumns({f"__c{a}": cell("__q", a, F.col("__l"), True) for a in ax})
-    level = level.join(full.withColumn("__full", F.lit(True)), cells, "left")
-    level = level.groupBy(*by, *here, *about).agg(F.max(F.when(F.col("__full"), F.col("__l")).otherwise(-1)).alias("__l"))
-
-    at_level = lambda levels: pts.join(levels.select(*by, "__l").distinct(), by).withColumns(
-        {f"__c{a}": F.when(F.col("__l") < 0, F.lit(0).cast("long")).otherwise(cell("", a, F.col("__l"))) for a in ax})
-    d2 = squared_distance(here, ax)
-
-    # The k-th distance inside that cell bounds the search; groups with fewer than k points are taken whole.
-    dense = level.where("__l >= 0").withColumns({f"__c{a}": cell("__q", a, F.col("__l"), True) for a in ax})
-    inside = dense.join(at_level(dense).select(*cells, s_id, *ax), cells).withColumn("__d", d2)
-    bound = top_per_group(inside.select(*by, *here, *about, "__d", s_id), by + here, [F.col("__d"), F.col(s_id)], k)
-    bound = bound.groupBy(*by, *here, *about).agg(F.sqrt(F.max("__d")).alias("__r"))
-    none = level.where("__l < 0").drop("__l").withColumn("__r", F.lit(None).cast("double"))
-    reach = bound.unionByName(none)
-    if r is not None:
-        reach = reach.withColumn("__r", F.least(F.coalesce("__r", F.lit(float(r))), F.lit(float(r))))
-    # One row per query place, read by three branches below: written once, so the first search runs once.
-    reach = cut(reach)
-
-    # A grid whose cells are at least as large as the bound, so that at most 27 cells are met.
-    fit = F.when(F.col("__r").isNull(), F.lit(-1)).otherwise(
-        F.when(F.col("__r") <= 0, F.lit(LAST_LEVEL)).otherwise(
-            F.greatest(F.lit(0), F.least(F.lit(LAST_LEVEL), F.floor(F.log2(F.col("__e") / F.col("__r"))).cast("int")))))
-    reach = reach.withColumn("__l", fit)
-    # Relative coordinates, because the ladder starts at the group's own origin; its cells end where the points end.
-    rel = reach.withColumns({f"__p{a}": F.col(f"__q{a}") - F.col(f"__o{a}") for a in ax}).withColumn("__s", size_of(F.col("__l")))
-    bounded = _cover(rel.where("__l >= 0"), ax, F.col("__s"), F.col("__r") * (1 + 1e-9), "__p", last_cell(F.col("__l")))
-    keep = by + here + ["__r", "__l"] + [f"__c{a}" for a in ax]
-    whole = rel.where("__l < 0").withColumns({f"__c{a}": F.lit(0).cast("long") for a in ax})
-    asked = bounded.select(*keep).unionByName(whole.select(*keep))
-    found = asked.join(at_level(reach).select(*cells, s_id, *ax), cells).withColumn("d2", d2)
-    # The bound is the root of an exact squared distance; compare with a hair of room, rank decides the rest.
-    found = found.where(F.col("__r").isNull() | (F.col("d2") <= F.col("__r") * F.col("__r") * (1 + 1e-12)))
-    if r is not None:
-        found = found.where(F.col("d2") <= float(r) * float(r))
-    best = top_per_group(found.select(*by, *here, s_id, "d2"), by + here, [F.col("d2"), F.col(s_id)], k, rank="rank")
-    out = q.select(*by, q_id, *[F.col(a).alias(f"__q{a}") for a in ax]).join(best, by + here)
-    return out.select(*by, q_id, F.col("rank").cast("int").alias("rank"), s_id, "d2")
+    asked = q.where(whole).select(*by, F.col(q_id).alias("__q"), *xs)
+    places = cut(asked.groupBy(*by, *at).agg(F.min("__q").alias("site"), F.count("*").alias("copies")))
+    points = cut(top_per_group(s.where(whole).select(*by, F.col(s_id).alias("id"), *xs), by + at, [F.col("id")], k))
+    best = celltree.nearest(places.select(*by, F.col("site").alias("id"), *at), points, k, r, by, len(ax))
+    shared = places.where("copies > 1").select(*by, "site", *at)
+    several = asked.join(shared, by + at).select(*by, "site", "__q")
+    out = best.join(several, by + ["site"], "left").withColumn(q_id, F.coalesce("__q", "site"))
+    return out.select(*by, q_id, "rank", F.col("id").alias(s_id), "d2")
 
 
 def knn_join(q, s, k, by=SCAN, q_id="query_id", s_id="point_id", axes=XYZ) -> DataFrame:

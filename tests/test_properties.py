@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.graphs import components, greedy_keep
 from pointweave.functions.prefix import running, score_levels
-from pointweave.operators import balance, boxes, fusion, images, neighbours, regions, registration, tables
+from pointweave.operators import balance, boxes, fusion, images, celltree, neighbours, regions, registration, tables
 
 RNG = np.random.default_rng(7)
 
@@ -301,3 +301,50 @@ def test_self_pairs_draw_until_every_fragment_is_served(spark):
     assert draws[0] >= 32 and draws[1] is not None and draws[2] is None and len(draws) == 3
     assert {(r.frag_id, r.draw) for r in matches.collect()} == {(f, d) for f, d in draws.items() if d is not None}
     assert {r.frag_id: r.draw is None for r in registration.self_pairs(df, 2.0, 0.1, (0.5, 1.0), "two", min_matches=20, at_once=4)[1].collect()} == {0: True, 1: False, 2: True}
+
+
+def _rows_joined(df):
+    """Rows that the joins and Python passes of the plans made, by the plan's own counts."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if any(x in node.nodeName() for x in ("Join", "MapInArrow")) and node.metrics().contains("numOutputRows"):
+            out.append(node.metrics().apply("numOutputRows").value())
+        for child in [node.executedPlan()] if node.nodeName().startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in node.nodeName() else []:
+            walk(child)
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return max(out)
+
+
+@pytest.mark.parametrize("case", ["uniform", "clusters"])
+def test_joined_rows_do_not_follow_the_points(spark, case):
+    """Queries between tight clusters do not meet whole clusters, however many points these have."""
+    most = []
+    for n in (4_000, 32_000):
+        rng = np.random.default_rng(7)
+        centres = rng.random((20, 3))
+        s = rng.random((n, 3)) if case == "uniform" else np.repeat(centres, n // 20, 0) + 1e-4 * rng.random((n, 3))
+        q = rng.random((300, 3))
+        got = neighbours.knn_join(_cloud(spark, q, "query_id"), _cloud(spark, s, "point_id"), 8)
+        most.append(_rows_joined(got) / len(q))
+        found = got.toPandas().sort_values(["query_id", "rank"])["d2"].to_numpy().reshape(-1, 8)
+        assert np.allclose(found, np.sort(((q[:, None] - s[None]) ** 2).sum(2), 1)[:, :8], rtol=1e-9, atol=0)
+    assert max(most) < 8 * 20 and most[1] < 3 * most[0] + 8
+
+
+def test_search_below_the_levels_that_are_sent(spark, monkeypatch):
+    """With next to no nodes sent, each level is a join; with small groups many are taken apart."""
+    rng = np.random.default_rng(9)
+    s = np.vstack([rng.random((1500, 3)), 0.5 + 1e-5 * rng.random((700, 3)), np.repeat(rng.random((3, 3)), 30, 0)])
+    q = np.vstack([s[::5], rng.random((200, 3)) * 3 - 1])
+    want = np.sort(((q[:, None] - s[None]) ** 2).sum(2), 1)[:, :6]
+    for top, wide in ((0, 512), (40, 20), (300_000, 5)):
+        monkeypatch.setattr(celltree, "TOP", top)
+        monkeypatch.setattr(celltree, "WIDE", wide)
+        got = neighbours.knn_join(_cloud(spark, q, "query_id"), _cloud(spark, s, "point_id"), 6).toPandas().sort_values(["query_id", "rank"])
+        assert (got["d2"].to_numpy().reshape(-1, 6) == want).all()
