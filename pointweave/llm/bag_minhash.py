@@ -9,9 +9,13 @@ distinct shingles plus m log m points, and no component depends on how texts are
 
 Texts with equal words are one node from the start. Nodes that agree in a band are candidates. All pairs of a bucket are
 never listed. First come light rounds: every bucket names a leader and every node is compared with one leader of another
-class; verified links merge classes, so that large groups of copies fold into one. When these find little more, the
-buckets whose members are still of several classes pick leaders, few and then more, who are compared with all members of
-other classes and leave. A bucket is done when its members are of one class. Comparing within a class cannot change the classes, so no link between classes of candidates is lost.
+class; verified links merge classes, so that large groups of copies fold into one. When these find little more, nodes that
+cannot have a link any more leave: of the nodes in open buckets, the shingles that no other one has are counted, and a
+node whose other shingles are too few for similarity 0.8 with the smallest member of its bucket is out, as is a pair of
+which one has too few for the other's size. That is exact, costs a row per shingle, and takes what a large group of copies
+leaves behind: texts with many changes of their own. Buckets whose members are still of several classes then pick leaders,
+few and then more, who are compared with all members of other classes and leave. A bucket is done when its members are of
+one class. Comparing within a class cannot change the classes, so no link between classes of candidates is lost.
 Verification is exact: the intersection of the bags' counted shingles.
 
 Defined results: a null text counts as empty; texts of fewer than SHINGLE words are one shingle, texts without words are
@@ -126,17 +130,28 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counted shingles as a set: the second occurrence of a shingle is an element of its own, and so on."""
+    """Counted shingles as a set: the second occurrence of a shingle is an element of its own, and so on. `marks` are 16 bits
+    of each element, numbered likewise: two sets have at least as many marks in common as elements."""
     coded = WordCodes()
     for b in batches:
-        keys, bags = [], []
+        keys, bags, marks = [], [], []
         for text in b.column("body").to_pylist():
             words = words_of(text)
             item, n = bag(coded.of(words))
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             keys.append(_key(words))
-            bags.append(mixed(np.repeat(item, n) + nth.astype(np.uint64) * _STEP).view(np.int64))
-        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(bags, pa.list_(pa.int64()))], names=["node", "bag"])
+            bags.append(_numbered(item, n))
+            short, inverse = np.unique(bags[-1].astype(np.uint16), return_inverse=True)
+            n = np.bincount(inverse)
+            marks.append((np.repeat(short, n).astype(np.int64) + (_nth(n) << 16)).astype(np.int32))
+        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(bags, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32()))], names=["node", "bag", "marks"])
+
+
+def _nth(n: np.ndarray) -> np.ndarray:
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _numbered(item: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return mixed(np.repeat(item, n) + _nth(n).astype(np.uint64) * _STEP).view(np.int64)
 
 
 def _named(id_: Column) -> dict[str, Column]:
@@ -147,13 +162,16 @@ def _named(id_: Column) -> dict[str, Column]:
 NAME = ["nil", "id", "t"]
 
 
-def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold."""
-    left = bags.select(F.col("node").alias("a"), F.col("bag").alias("x"))
-    right = bags.select(F.col("node").alias("b"), F.col("bag").alias("y"))
-    met = pairs.join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return met.filter(DENOMINATOR * both >= NUMERATOR * (F.size("x") + F.size("y") - both)).select("a", "b")
+def _verified(pairs: DataFrame, bags: DataFrame, few: bool = False) -> DataFrame:
+    """The pairs (a, b) whose similarity reaches the threshold. If `few` of them are expected to, those whose marks already
+    have too little in common go first, so that fewer bags move."""
+    for column in ["marks", "bag"] if few else ["bag"]:
+        left = bags.select(F.col("node").alias("a"), F.col(column).alias("x"))
+        right = bags.select(F.col("node").alias("b"), F.col(column).alias("y"))
+        met = pairs.join(left, "a").join(right, "b")
+        both = F.size(F.array_intersect("x", "y"))
+        pairs = met.filter(DENOMINATOR * both >= NUMERATOR * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return pairs
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -174,6 +192,36 @@ def components(links: DataFrame) -> DataFrame:
         at = new.select("node", "root")
 
 
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task every shingle once: in how many bags it is, and one of their nodes."""
+    seen = {"item": [], "n": [], "node": []}
+    for b in batches:
+        bags = b.column("bag")
+        items, first, n = np.unique(bags.flatten().to_numpy(), return_index=True, return_counts=True)
+        owner = np.repeat(np.arange(b.num_rows), bags.value_lengths().to_numpy())
+        for name, x in (("item", items), ("n", n), ("node", b.column("node").take(pa.array(owner[first])))):
+            seen[name].append(x)
+    if seen["item"]:
+        items, inverse = np.unique(np.concatenate(seen["item"]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate(seen["n"])).astype(np.int64)
+        first = np.zeros(len(items), np.int64)
+        first[inverse] = np.arange(len(inverse))
+        yield pa.record_batch([pa.array(items), pa.array(n), pa.chunked_array(seen["node"]).combine_chunks().take(pa.array(first))], names=["item", "n", "node"])
+
+
+def _possible(now: DataFrame, bags: DataFrame) -> DataFrame:
+    """Of the rows (bucket, node, n, root, ...) of open buckets those that can still have a link, with `common`, how many
+    of the node's shingles another node of an open bucket has too. Two bags of n and m shingles need 4/9 * (n + m) in
+    common for a similarity of 4/5."""
+    both = NUMERATOR + DENOMINATOR
+    alone = bags.join(now.select("node").distinct(), "node", "left_semi").select("node", "bag").mapInArrow(_own, "item long, n long, node binary")
+    alone = alone.groupBy("item").agg(F.sum("n").alias("n"), F.max("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    met = now.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0).cast("long"))).drop("alone")
+    least = met.groupBy("bucket").agg(F.min("n").alias("smallest"))
+    smallest = F.greatest("smallest", F.ceil(F.col("n") * NUMERATOR / DENOMINATOR))
+    return met.join(least, "bucket").filter(both * F.col("common") >= NUMERATOR * (F.col("n") + smallest)).drop("smallest")
+
+
 def near_classes(signed: DataFrame, rows: DataFrame) -> DataFrame | None:
     """(node, root) for the nodes that have a link; None if there is none."""
     nodes = signed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -188,9 +236,10 @@ def near_classes(signed: DataFrame, rows: DataFrame) -> DataFrame | None:
     wanted = members.select(F.col("node").alias("key")).distinct()
     named = signed.withColumns(_named(F.col("id"))).select(*NAME, "key")  # a row with an id stands for its node where there is one
     keyed = stored(named.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*NAME)).alias("one")).select("one.*"))
-    bags = stored(join_narrow(rows.withColumns(_named(F.col("id"))), keyed, NAME, "left_semi").dropDuplicates(NAME).mapInArrow(_bags, "node binary, bag array<long>"))
+    bags = stored(join_narrow(rows.withColumns(_named(F.col("id"))), keyed, NAME, "left_semi").dropDuplicates(NAME).mapInArrow(_bags, "node binary, bag array<long>, marks array<int>"))
     tried, roots, light, turn, leaders = None, None, True, 0, 1
     close = DENOMINATOR * F.least("n", "led.n") >= NUMERATOR * F.greatest("n", "led.n")
+    possible = (NUMERATOR + DENOMINATOR) * F.least("common", "led.common") >= NUMERATOR * (F.col("n") + F.col("led.n"))
     while True:
         now = members if roots is None else members.join(roots, "node", "left")
         now = now.withColumn("root", F.coalesce(F.col("root"), F.col("node")) if roots is not None else F.col("node"))
@@ -201,18 +250,27 @@ def near_classes(signed: DataFrame, rows: DataFrame) -> DataFrame | None:
             open_ = now.groupBy("bucket").agg(*sides, F.max_by(F.struct("node", "root", "n", "weight"), order).alias("led")).filter("lo < hi").select("bucket", "led")
             pairs = now.join(open_, "bucket").filter(other).groupBy("node").agg(F.max_by("led.node", F.struct(F.xxhash64("bucket", F.lit(turn))) if turn else F.struct("led.weight", "led.node")).alias("leader"))
         else:
-            open_ = now.groupBy("bucket").agg(*sides, F.max_by("node", F.struct("weight", "node")).alias("first"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select("bucket", "first", "many")
-            now = stored(now.join(open_, "bucket"))
+            now = _open(now, sides)
+            while (here := now.count()) > 0:
+                now = _open(_possible(now, bags), sides)
+                if now.count() > 0.9 * here:
+                    break
+            if not here:
+                return roots
+            first = now.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("first"), F.count(F.lit(1)).alias("many"))
+            lists = now.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # at most BANDS of them
+            now = stored(now.join(first, "bucket").join(lists, "node"))
             if now.isEmpty():
                 return roots
+            once = F.col("bucket") == F.array_min(F.array_intersect("buckets", "led.buckets"))  # a pair meets in one bucket
             lead = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(leaders)), F.greatest(F.lit(1).cast("long"), F.floor(F.col("many") / leaders))) == 0 if leaders > 1 else F.lit(False))
-            pairs = now.join(now.filter(lead).select("bucket", F.struct("node", "root", "n").alias("led")), "bucket").filter(other).select("node", F.col("led.node").alias("leader"))
+            pairs = now.join(now.filter(lead).select("bucket", F.struct("node", "root", "n", "common", "buckets").alias("led")), "bucket").filter(other & possible & once).select("node", F.col("led.node").alias("leader"))
         pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         tried = pairs if tried is None else tried.union(pairs)
-        found = stored(_verified(pairs, bags))
+        found = stored(_verified(pairs, bags, not light))
         n_found = found.count()
         if n_found:
             roots = found_classes(found, roots)
@@ -224,6 +282,11 @@ def near_classes(signed: DataFrame, rows: DataFrame) -> DataFrame | None:
             leaders *= 8
 
 
+def _open(members: DataFrame, sides: list[Column]) -> DataFrame:
+    """The rows of buckets whose members are of several classes, stored."""
+    return stored(members.join(members.groupBy("bucket").agg(*sides).filter("lo < hi").select("bucket"), "bucket"))
+
+
 def found_classes(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(node, root) with new links: only the classes that they join are worked through."""
     if roots is None:
