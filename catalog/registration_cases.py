@@ -304,10 +304,10 @@ def tsdf(spark, sf):
     return volume(spark, sf)[0].withColumn("tsdf", six_digits("tsdf"))
 
 
-@case("P6_surface_points", f"WITH {TS} SELECT seq, fragment, i, j, k, {six('i*0.25-1.53')} AS x, {six('k*0.25+0.61')} AS z FROM ts WHERE abs(tsdf)<0.2003 AND w>2", "frames depth")
+@case("P6_surface_points", f"WITH {TS} SELECT seq, fragment, i, j, k, {six('i*0.25-1.53')} AS x, {six('k*0.25+0.61')} AS z FROM ts WHERE floor(abs(tsdf)*1e9+0.5)<200000000 AND w>2", "frames depth")
 def surface(spark, sf):
     v, vols = volume(spark, sf)
-    return fu.surface_points(v, vols, 0.25, 0.2003, 2).select("seq", "fragment", "i", "j", "k", six_digits("x").alias("x"), six_digits("z").alias("z"))
+    return fu.surface_points(v, vols, 0.25, 0.2, 2).select("seq", "fragment", "i", "j", "k", six_digits("x").alias("x"), six_digits("z").alias("z"))
 
 
 # No trimming here: a trimmed edge is a whole number of voxels up to the last bit, and its ceiling a toss-up.
@@ -318,7 +318,7 @@ px AS (SELECT *, CAST(round_even(x0*16/z+8,0) AS BIGINT) AS u, CAST(round_even(y
 ts AS (SELECT px.seq, fragment, i, j, k, max(x) AS x, max(z) AS z, avg(least(1, (mm/1000-z)/1.25)) AS tsdf, count(*) AS w FROM px JOIN depth d ON d.seq=px.seq AND d.frame=px.frame AND d.u=px.u AND d.v=px.w WHERE mm>0 AND mm<=4000 AND mm/1000-z>=-1.25 GROUP BY 1,2,3,4,5)"""
 
 
-@case("P7_build_fragments", f"WITH {FUSED} SELECT seq, fragment, i, j, k, {six('x')} AS x, {six('z')} AS z FROM ts WHERE abs(tsdf)<0.2003 AND w>2", "frames depth")
+@case("P7_build_fragments", f"WITH {FUSED} SELECT seq, fragment, i, j, k, {six('x')} AS x, {six('z')} AS z FROM ts WHERE floor(abs(tsdf)*1e9+0.5)<200000000 AND w>2", "frames depth")
 def build_fragments(spark, sf):
-    out = fu.fuse_frames(frames(spark, sf), depth(spark, sf), 4, 0.25, 16, 12, 4.0, 600, 0.2003)
+    out = fu.fuse_frames(frames(spark, sf), depth(spark, sf), 4, 0.25, 16, 12, 4.0, 600, 0.2)
     return out.select("seq", "fragment", "i", "j", "k", six_digits("x").alias("x"), six_digits("z").alias("z"))

@@ -121,8 +121,9 @@ def tsdf(volumes: DataFrame, frames: DataFrame, depth: DataFrame, voxel: float,
 
 
 def surface_points(volume: DataFrame, origins: DataFrame, voxel: float, a: float, b: float, by=("seq", "fragment")) -> DataFrame:
-    """Voxels with |tsdf| < a and weight > b as points."""
-    near = volume.where((F.abs("tsdf") < a) & (F.col("w") > b))
+    """Voxels with |tsdf| < a and weight > b as points. |tsdf| is compared to nine digits: it is a mean, whose last bits
+    depend on the order of its sum, and voxels exactly at the threshold are common."""
+    near = volume.where((F.floor(F.abs("tsdf") * 1e9 + 0.5) < F.floor(F.lit(a * 1e9 + 0.5))) & (F.col("w") > b))
     j = near.join(origins.select(*by, "lo_x", "lo_y", "lo_z"), list(by))
     return j.select(*by, "i", "j", "k", *[(F.col(c) * voxel + F.col(f"lo_{x}")).alias(x) for x, c in zip("xyz", "ijk")])
 
