@@ -8,7 +8,9 @@ Everything is computed inside the row, so nothing is shuffled and no key can be
 hashes within one document.
 
 Defined results: a null or empty text has no words and fails the base rules; lines without a word are neither judged nor
-counted; repeated rows get equal results; extra columns are ignored.
+counted; white space of any kind at the ends of a line, a carriage return too, is no word and hides no end mark; repeated
+rows get equal results; extra columns are ignored; an empty table gives an empty result. A very long text takes one task
+time in proportion to its length, and memory for some copies of it.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ LINE_RULES = (
     ("navigation", r"(\|[^|]*){3}|( [>»›·•] [^>»›·•]*){3}"),
     ("boilerplate", r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|we use cookies|accept (all )?cookies|javascript (is|must be)|enable javascript|lorem ipsum|subscribe to our newsletter|click here to|follow us on|share (this )?on (facebook|twitter))"),
 )
-END_MARK = r"""[.!?…:;,"'”’»)\]]\s*$"""
+END_MARK = r"""[.!?…:;,"'”’»)\]][\x20\x09-\x0D]*\z"""
+ENOUGH_WORDS = rf"({WORD_IN_LINE}+{GAP}){{{MIN_WORDS_UNENDED - 1}}}{WORD_IN_LINE}"
 SYMBOL = r"[^#*$%&|<>]+"
 
 
@@ -42,7 +45,7 @@ def line_fails(line: Column) -> Column:
     out = F.lit(False)
     for _, pattern in LINE_RULES:
         out = out | line.rlike(pattern)
-    return out | (~line.rlike(END_MARK) & (F.size(F.split(F.trim(line), GAP)) < MIN_WORDS_UNENDED))
+    return out | (~line.rlike(END_MARK) & ~line.rlike(ENOUGH_WORDS))
 
 
 def _covered(starts: Column) -> Column:
@@ -95,7 +98,7 @@ w AS (SELECT *, list_filter(regexp_split_to_array(body, {q(GAP)}), lambda x: x <
 win AS (SELECT rid, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w WHERE len(words) >= {WINDOW})),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, range({WINDOW}) t(k) GROUP BY rid),
-ln AS (SELECT rid, j, l, ({fails} OR (NOT regexp_matches(l, {q(END_MARK)}) AND len(regexp_split_to_array(trim(l), {q(GAP)})) < {MIN_WORDS_UNENDED})) AS fails FROM (SELECT rid, unnest(lines) AS l, unnest(range(len(lines))) AS j FROM w)),
+ln AS (SELECT rid, j, l, ({fails} OR (NOT regexp_matches(l, {q(END_MARK)}) AND len(list_filter(regexp_split_to_array(l, {q(GAP)}), lambda x: x <> '')) < {MIN_WORDS_UNENDED})) AS fails FROM (SELECT rid, unnest(lines) AS l, unnest(range(len(lines))) AS j FROM w)),
 ls AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (fails) AS n_lines_removed, coalesce(sum(length(regexp_replace(l, {q(GAP)}, '', 'g'))) FILTER (fails), 0)::BIGINT AS chars_removed, coalesce(string_agg(l, chr(10) ORDER BY j) FILTER (NOT fails), '') AS clean FROM ln GROUP BY rid),
 m AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(body, {q(GAP)}, '', 'g')) AS word_chars, length(regexp_replace(body, {q(SYMBOL)}, '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
   coalesce(n_lines, 0) AS n_lines, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(chars_removed, 0) AS chars_removed, sha256(coalesce(clean, '')) AS clean_sha256 FROM w LEFT JOIN cov USING (rid) LEFT JOIN ls USING (rid))
