@@ -33,6 +33,7 @@ class Rule:
     pattern: str
     group: int = 0  # of which the length counts
     least: int = 1
+    jvm: str | None = None  # the same matches, written for the JVM's engine
 
 
 def _either(word: str) -> str:
@@ -41,13 +42,26 @@ def _either(word: str) -> str:
 
 _NAMES = f"{_either('password')}|{_either('passwd')}|{_either('secret')}|{_either('token')}|{_either('api')}_?{_either('key')}"
 
-_B64 = "A-Za-z0-9+/="
 _KEY = "[A-Z0-9 ]*PRIVATE KEY-----"
-#: A private key: to its END mark, before which only words of a header have hyphens; without one over the runs of base64,
-#: which quotes, indents and written-out line ends may part, and the short line that ends them. Repeated groups are few,
-#: as the expressions' engine of the JVM goes one level deeper for each.
-_BODY = (rf"(?:(?:[^-]*[A-Za-z0-9]-[A-Za-z0-9]){{0,16}}[^-]*-----END {_KEY}"
-         rf"|(?:(?:[{_B64}:,\x20\t\r\n]*[A-Za-z0-9]-[A-Za-z0-9]){{0,16}}[{_B64}:,;#*>|\"'\\\x20\t\r\n]*[{_B64}]{{20,}})?(?:[{_B64}\r\n]*(?:\n|$))?)")
+
+
+def _private(hold: str, end: str) -> str:
+    """A private key: the BEGIN mark, lines of a header, runs of base64 and the END mark, with nothing else between.
+
+    A run is a line of any length, or after a blank 20 characters at least; quotes, indents, comment signs and written-out
+    line ends may part runs. Without an END mark the key ends with its runs and the short line after them, if that
+    holds nothing else. Where neither fits, as in prose that speaks of the marks, the BEGIN mark alone is taken.
+    `hold` makes the repeats possessive: what a repeat takes can never be of use to what follows, so the matches are the
+    same, and an engine that backtracks needs neither stack nor second tries.
+    """
+    run, blank = "[A-Za-z0-9+/=]", r"""[\x20\t"',;#*>|]"""
+    newline, gap = rf"(?:[\r\n]|\\[nr]?{hold})", rf"""(?:[\x20\t"',;#*>|\r\n]|\\[nr]?{hold})"""
+    headers = rf"(?:{gap}+{hold}[A-Za-z][A-Za-z0-9-]*{hold}:(?:-{{0,4}}{hold}[^\r\n\\-])*{hold})"
+    runs = rf"(?:{blank}*{hold}(?:{newline}{gap}*{hold}{run}+{hold}|{run}{{20,}}{hold}))*{hold}(?:{blank}+{hold}{run}+{hold})?"
+    closed = rf"{headers}*{hold}{runs}{gap}*{hold}-----END {_KEY}"
+    open_end = rf"(?:{headers}+{hold}{blank}*{hold}{newline})?{gap}*{hold}{run}{{20,}}{hold}(?:{gap}+{hold}{run}{{20,}}{hold})*{hold}(?:{newline}+{hold}{run}+{hold}[\x20\t\r]*{hold}(?:\n|{end}))?"
+    return rf"-----BEGIN {_KEY}(?:{closed}|{open_end})?"
+
 
 #: The base kinds first, in the order that the result lists them.
 RULES = (
@@ -58,7 +72,7 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private", rf"-----BEGIN {_KEY}{_BODY}"),
+    Rule("private", _private("", "$"), jvm=_private("+", r"\z")),
     Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:@/]+:[^\s:@/]+@"),
 )
 BASE = ("assign", "access", "hex")
@@ -162,9 +176,9 @@ def candidates(index: DataFrame, queries: dict[int, Query], trigrams: list[str])
 
 def _spans(body: Column, rule: Rule, order: int) -> Column:
     """The rule's spans: lengths of the matches and of what lies between them, summed up."""
-    pattern = F.lit(rule.pattern)
+    pattern = F.lit(rule.jvm or rule.pattern)
     found = F.arrays_zip(
-        F.transform(F.split(body, rule.pattern, -1), lambda x: F.length(x)).alias("gap"),
+        F.transform(F.split(body, rule.jvm or rule.pattern, -1), lambda x: F.length(x)).alias("gap"),
         F.transform(F.regexp_extract_all(body, pattern, F.lit(0)), lambda x: F.length(x)).alias("whole"),
         F.transform(F.regexp_extract_all(body, pattern, F.lit(rule.group)), lambda x: F.length(x)).alias("part"))
     empty = F.array().cast("array<struct<start:int,end:int,kind:int>>")
@@ -188,7 +202,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     else:
         rows = rows.withColumn("rules", F.lit(0))
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    parts = [F.when((F.coalesce("rules", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0) if i in queries else F.lit(True), F.when(F.col("body").rlike(r.pattern), _spans(F.col("body"), r, i))) for i, r in enumerate(rules)]
+    parts = [F.when((F.coalesce("rules", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0) if i in queries else F.lit(True), F.when(F.col("body").rlike(r.jvm or r.pattern), _spans(F.col("body"), r, i))) for i, r in enumerate(rules)]
     return rows.select("row", "body", F.array_sort(F.concat(*(F.coalesce(p, none) for p in parts)), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(0)).alias("spans"))
 
 

@@ -6,6 +6,8 @@ import re
 import string
 from collections import Counter
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,20 @@ def test_quality_rules_on_odd_rows(odd):
     assert kept[1] and kept[4] and kept[7] and not any(kept[i] for i in (2, 3, 9, 15, 16, 18))
 
 
+def test_line_ends_and_tabs_are_no_words(spark):
+    ended, short = "These are nine words of a line, with an end.", "seven words that have no end mark"
+    assert len(short.split()) == 7
+    texts = {}
+    for gap in ("\n", "\r\n", " \t\n", "\x0b\n\t", "\x0c \n"):
+        texts |= {len(texts): gap.join([short, short + " x", ended, short, ended, ended]) + gap}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert {(r.n_lines, r.n_lines_removed, r.chars_removed) for r in got.values()} == {(6, 2, 2 * len(short.replace(" ", "")))}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())}))
+    assert compare(quality_rules.judge(df).withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text").toPandas(), con.execute(quality_rules.SQL).df()) is None
+
+
 def base_spans(text):
     out = []
     name = r"(?a:(?:password|passwd|secret|token|api_?key))"
@@ -123,6 +139,34 @@ def test_redaction_takes_whole_keys_and_long_urls(spark):
     assert {r.doc_id: r.n_spans for r in secret_scan.report(df).collect()}[1000] == 2
 
 
+def test_only_keys_go_between_the_marks(spark):
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    comment = "Comment: " + " ".join(f"word-{i}-of-a-long--header" for i in range(200))
+    body = [line(64) for _ in range(30)] + [line(11) + "="]
+    whole = {}
+    for newline in ("\n", "\r\n", "\\n"):
+        whole |= {len(whole): newline.join([begin, comment, *[f"X-{i}: a-b" for i in range(50)], "", *body, end])}
+        whole |= {len(whole): newline.join([begin, comment, "", *body])}
+    whole |= {len(whole): "\n".join([begin, *[line(16) for _ in range(50)], end])}  # narrow lines
+    whole |= {len(whole): f"{begin} Proc-Type: 4,ENCRYPTED DEK-Info: AES-128-CBC,0A {line(64)} {line(64)} {end}"}
+    whole |= {len(whole): "\n".join(["-----BEGIN PGP PRIVATE KEY-----", "Version: 1", "", *body, "=abcd", "-----END PGP PRIVATE KEY-----"])}
+    whole |= {len(whole): begin + "\n" + "\n".join(f"X{i}: {line(30)}" for i in range(20_000)) + "\n" + line(2_000_000) + "\n" + end}
+    prose = " and with it starts a key, as all know. " + "It goes on for a while - on and on, without one. " * 1000 + "\nNote: it ends there.\nOne word\nper line\n"
+    texts = {i: f"Here: {x}\nThe text goes on." for i, x in whole.items()}
+    texts |= {100: f"A file begins with {begin}{prose}{end}, and so on.", 101: f"{begin}\nNote: nothing follows.\nSome words.\n{end}", 102: (begin + "\n") * 3000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    for i in whole:
+        assert re.fullmatch(r"Here: \[SECRET\](\n|\\n)?\n?The text goes on\.", out[i]), (i, out[i][:300])
+    assert out[100] == f"A file begins with [SECRET]{prose}{end}, and so on."
+    assert out[101] == f"[SECRET]\nNote: nothing follows.\nSome words.\n{end}" and out[102] == "[SECRET]\n" * 3000
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())}))
+    assert compare(secret_scan.report(df).toPandas(), con.execute(secret_scan.SQL).df()) is None
+
+
 def test_exact_dedup_on_odd_rows(odd):
     rows = odd_rows()
     group = {}
