@@ -7,8 +7,12 @@ First the distinct pre-tokens are found (combined in each task before the shuffl
 Of this dictionary, pre-tokens that make up at least 1 / COMMON of all occurrences are at most COMMON by arithmetic; they
 go to every task. All others meet the documents' frequencies in a shuffled join, where by that same bound no key is hot.
 
-Defined results: a null text counts as empty and has no tokens; repeated rows each get their count; a null doc_id stays
-null; an empty table gives an empty result; extra columns are ignored.
+A row is known by its doc_id and a hash of its text (64 bits where there is no doc_id, else 32). Rows with both in common
+whose texts differ by a second, independent hash are found and counted by themselves, each pre-token once per text.
+
+Defined results: a null text counts as empty and has no tokens; repeated rows each get their count, also where texts share
+a doc_id; a null doc_id stays null; an empty table gives an empty result; extra columns are ignored; a very long text is
+read whole by one task, and its pre-tokens are spread over all.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, stored, tokenizer_path, whole_text
+from .common import BROADCAST_ROWS, arrow_rows, stored, tokenizer_path, whole_text
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -86,7 +90,8 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> Dat
     spark = docs.sparkSession
     arrow_rows(spark, 2000)
     body = whole_text()
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.hash(body).alias("h"), body.alias("body"))
+    no_id = F.col("doc_id").isNull()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.when(no_id, F.xxhash64(body)).otherwise(F.hash(body)).alias("h"), F.xxhash64(F.lit(1), body).alias("other"), body.alias("body"))
     words = dictionary(rows.select("body"), model)
     total = words.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
     least = max(2, -(-total // COMMON))
@@ -97,7 +102,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> Dat
         for b in batches:
             texts = b.column("body").to_pylist()
             n = [sum(pieces.get(t, 0) for t in pretokens(x)) for x in texts]
-            yield pa.record_batch([b.column("id"), b.column("h"), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64())], names=["id", "h", "n_bytes", "known"])
+            yield pa.record_batch([b.column("id"), b.column("h"), b.column("other"), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64())], names=["id", "h", "other", "n_bytes", "known"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = common.value
@@ -109,14 +114,28 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> Dat
                 hs += [h] * len(found)
                 names += found
                 freqs += found.values()
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hs, pa.int32()), pa.array(names, pa.string()), pa.array(freqs, pa.int32())], names=["id", "h", "pretoken", "freq"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(names, pa.string()), pa.array(freqs, pa.int32())], names=["id", "h", "pretoken", "freq"])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _counter(model)
+        for b in batches:
+            texts = b.column("body").to_pylist()
+            freqs = [Counter(pretokens(x)) for x in texts]
+            n = [sum(k * m for k, m in zip(count(list(f)), f.values(), strict=True)) for f in freqs]
+            yield pa.record_batch([b.column("id"), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    left = rows.mapInArrow(known, "id long, h int, n_bytes long, known long").groupBy("id", "h").agg(F.first("n_bytes").alias("n_bytes"), F.first("known").alias("known"), F.count(F.lit(1)).cast("int").alias("copies"))
+    left = stored(rows.mapInArrow(known, "id long, h long, other long, n_bytes long, known long").groupBy("id", "h").agg(F.first("n_bytes").alias("n_bytes"), F.first("known").alias("known"), F.count(F.lit(1)).cast("int").alias("copies"), (F.min("other") != F.max("other")).alias("mixed")))
+    mixed = left.filter("mixed").select(F.col("id").alias("m_id"), F.col("h").alias("m_h"))
     others = words.filter(F.col("freq") < least).select("pretoken", "pieces").hint("shuffle_merge")
-    sums = rows.mapInArrow(rare, "id long, h int, pretoken string, freq int").join(others, "pretoken").groupBy("id", "h").agg(F.sum(F.col("freq") * F.col("pieces")).alias("more"))
+    sums = rows.mapInArrow(rare, "id long, h long, pretoken string, freq int").join(others, "pretoken").groupBy(F.col("id").alias("s_id"), F.col("h").alias("s_h")).agg(F.sum(F.col("freq") * F.col("pieces")).alias("more"))
     n = F.col("known") + F.coalesce(F.floor(F.col("more") / F.col("copies")), F.lit(0))
-    met = left.join(sums, ["id", "h"], "left").select("id", "n_bytes", n.cast("long").alias("n_tokens"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-    return met.select(F.nullif(F.col("id"), F.lit(-(2**63))).alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    met = left.filter("NOT mixed").join(sums, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), "left")
+    out = met.select(F.col("id").alias("doc_id"), "n_bytes", n.cast("long").alias("n_tokens"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")
+    if n_mixed := mixed.count():
+        narrow = F.broadcast(mixed) if n_mixed <= BROADCAST_ROWS else mixed.hint("shuffle_merge")
+        odd = rows.join(narrow, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h")), "left_semi")
+        out = out.unionByName(odd.select("id", "body").mapInArrow(alone, "doc_id long, n_bytes long, n_tokens long"))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def query(spark, sf_dir):

@@ -59,6 +59,25 @@ def test_counts_of_odd_rows(odd, empty, monkeypatch):
     assert token_counts.count_tokens(empty).collect() == []
 
 
+def test_texts_that_share_an_id_and_a_hash_are_counted_apart(spark, monkeypatch):
+    seen, pair = {}, None
+    for k in range(400_000):  # two texts with one 32-bit hash
+        text = f"text {k} " + "of words " * (k % 7)
+        h = zlib.crc32(text.encode())
+        if h in seen and len(seen[h]) != len(text):
+            pair = seen[h], text
+            break
+        seen[h] = text
+    rows = [(i, t) for i in (7, None, -(2**63)) for t in (*pair, pair[0], "some other text", None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, len((t or "").encode()), len(PIECES.encode(t or "")), False) for i, t in rows)
+    assert Counter(map(tuple, token_counts.count_tokens(df).collect())) == want
+    monkeypatch.setattr(token_counts.F, "hash", lambda x: token_counts.F.crc32(x.cast("binary")))
+    assert Counter(map(tuple, token_counts.count_tokens(df).collect())) == want
+    monkeypatch.setattr(token_counts, "COMMON", 5)
+    assert Counter(map(tuple, token_counts.count_tokens(df).collect())) == want
+
+
 def test_counts_of_a_table(spark, sf, texts):
     assert {r.doc_id: r.n_tokens for r in token_counts.query(spark, sf).collect()} == {i: len(PIECES.encode(t)) for i, t in texts.items()}
 
