@@ -15,6 +15,7 @@ get their result; an empty table gives an empty result; extra columns are ignore
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -46,9 +47,16 @@ SMOOTH = 2.0
 STEPS_TO_HALF = 2.0
 
 
+@dataclass(eq=False)
+class Place:
+    """A block element of the tree: how deep it lies, and the one around it (the page itself has none)."""
+    depth: int
+    parent: Place | None
+
+
 @dataclass
 class Block:
-    path: tuple[int, ...]
+    place: Place  # the nearest block element around it
     weight: float  # what the elements around it say
     text: str
     linked: int
@@ -58,53 +66,71 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    number: int
+    place: Place
     weight: float
     hidden: bool
     link: bool
+    ended: bool = False  # by its end tag, while blocks inside are still open
 
 
 class _Blocks(HTMLParser):
-    """Blocks of a page with the path of elements around each."""
+    """Blocks of a page, each with its place in the tree.
+
+    What is open is counted by tag, so that a tag takes time for what it closes and not for all that is open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[_Open] = [_Open("", 0, 0.0, False, False)]
+        self.open: list[_Open] = [_Open("", Place(0, None), 0.0, False, False)]
+        self.at: dict[str, list[int]] = defaultdict(list)  # where in `open` the elements of a tag are that have not ended
+        self.blocks_at: list[int] = []  # likewise those of block tags
         self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.linked, self.count = 0, 0
+        self.linked, self.n_open = 0, 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.open[-1]
-            self.blocks.append(Block(tuple(o.number for o in self.open if o.tag in BLOCK_TAGS), top.weight, text, self.linked, any(o.tag in ("h1", "h2", "h3", "h4") for o in self.open)))
+            self.blocks.append(Block(top.place, top.weight, text, self.linked, any(self.at[h] for h in ("h1", "h2", "h3", "h4"))))
         self.parts, self.linked = [], 0
 
+    def end(self, at: int) -> None:
+        """The element there ends, and all inside it."""
+        for o in reversed(self.open[at:]):
+            if not o.ended:
+                self.forget(o)
+        del self.open[at:]
+        while self.open[-1].ended:
+            self.open.pop()
+
+    def forget(self, o: _Open) -> None:
+        self.at[o.tag].pop()
+        self.n_open -= 1
+        if o.tag in BLOCK_TAGS:
+            self.blocks_at.pop()
+
     def end_head(self, tag: str = "") -> None:
         """The head ends where something starts that has no place in it; body ends it even in an open noscript."""
         at = len(self.open) - 1
-        while tag == "body" and self.open[at].tag in ("noscript", "noframes"):
+        while self.open[at].ended or tag == "body" and self.open[at].tag in ("noscript", "noframes"):
             at -= 1
         if self.open[at].tag == "head" and tag not in HEAD_TAGS:
             self.flush()
-            del self.open[at:]
+            self.end(at)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.end_head(tag)
-        if tag == "head" and any(o.tag not in ("", "html") for o in self.open):
+        if tag == "head" and self.n_open > len(self.at["html"]):
             return  # a page has one head, before its body
-        top = self.open[-1]
         if tag in BLOCK_TAGS:
             self.flush()
-            while top.tag in ENDED_BY and tag in ENDED_BY[top.tag]:
-                self.open.pop()
-                top = self.open[-1]
-            if top.tag not in BLOCK_TAGS and tag != "br":  # an unclosed inline element ends with its paragraph
-                inner = [i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag in BLOCK_TAGS]
-                if inner and self.open[inner[0]].tag in ENDED_BY and tag in ENDED_BY[self.open[inner[0]].tag]:
-                    del self.open[inner[0]:]
-                    top = self.open[-1]
+            while tag in ENDED_BY.get(self.open[-1].tag, ()):
+                self.end(len(self.open) - 1)
+            if self.open[-1].tag not in BLOCK_TAGS and tag != "br" and self.blocks_at:  # an unclosed inline element ends with its paragraph
+                inner = self.blocks_at[-1]
+                if tag in ENDED_BY.get(self.open[inner].tag, ()):
+                    self.end(inner)
+        top = self.open[-1]
         if tag in VOID_TAGS:
             return
         named = {k: (v or "").lower() for k, v in attrs}
@@ -112,32 +138,37 @@ class _Blocks(HTMLParser):
         own = TAG_WEIGHT.get(tag, 0.0) + ROLE_WEIGHT.get(named.get("role", ""), 0.0)
         if (names := " ".join((named.get("class", ""), named.get("id", ""))).strip()) and tag not in ("html", "body"):
             own += sum(w for pattern, w in NAME_WEIGHT if pattern.search(names))
-        if tag == "header" and any(o.tag in ("article", "main") for o in self.open):
+        if tag == "header" and (self.at["article"] or self.at["main"]):
             own += 4.0  # an article's own heading
         hidden = top.hidden or tag in HIDDEN_TAGS or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
-        self.count += 1
-        self.open.append(_Open(tag, self.count, weight + own, hidden, top.link or tag == "a"))
+        self.at[tag].append(len(self.open))
+        self.n_open += 1
+        if tag in BLOCK_TAGS:
+            self.blocks_at.append(len(self.open))
+        self.open.append(_Open(tag, Place(top.place.depth + 1, top.place) if tag in BLOCK_TAGS else top.place, weight + own, hidden, top.link or tag == "a"))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.end_head(tag)
         if tag in BLOCK_TAGS:
             self.flush()
-        elif tag == "svg" or any(o.tag == "svg" for o in self.open):
+        elif tag == "svg" or self.at["svg"]:
             return  # drawings are of XML, where <svg/> and <path/> are whole
         elif tag not in VOID_TAGS:
             self.handle_starttag(tag, attrs)  # browsers read <b/> as <b>
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), 0)
         if tag in BLOCK_TAGS:
             self.flush()
-        if at:
-            if tag not in BLOCK_TAGS and any(o.tag in BLOCK_TAGS for o in self.open[at:]):
-                del self.open[at]  # an inline end tag does not close the blocks inside
+        if not self.at[tag]:
+            return
+        at = self.at[tag][-1]
+        if self.blocks_at and self.blocks_at[-1] >= at:
+            if tag not in BLOCK_TAGS:
+                self.forget(self.open[at])
+                self.open[at].ended = True  # an inline end tag does not close the blocks inside
                 return
-            if any(o.tag in BLOCK_TAGS for o in self.open[at:]):
-                self.flush()
-            del self.open[at:]
+            self.flush()
+        self.end(at)
 
     def handle_data(self, data: str) -> None:
         if data.strip():
@@ -170,13 +201,15 @@ def score(block: Block) -> float:
 
 
 def _near(a: Block, b: Block) -> float:
-    shared = 0
-    for x, y in zip(a.path, b.path, strict=False):
-        if x != y:
-            break
-        shared += 1
-    steps = len(a.path) + len(b.path) - 2 * shared
-    return SMOOTH * 2 ** (-max(0, steps - 2) / STEPS_TO_HALF)
+    steps, x, y = 0, a.place, b.place
+    while x is not y:
+        if x.depth >= y.depth:
+            x, up = x.parent, x.depth == y.depth
+            y = y.parent if up else y
+            steps += 2 if up else 1
+        else:
+            y, steps = y.parent, steps + 1
+    return SMOOTH * 2 ** (-min(max(0, steps - 2) / STEPS_TO_HALF, 1000.0))
 
 
 class MinCut:
@@ -240,12 +273,13 @@ def label(blocks: list[Block]) -> list[bool]:
         graph.edge(n, i, max(s, 0.0))
         graph.edge(i, n + 1, max(-s, 0.0))
         joined = {i - 1} if i else set()
-        if b.path[:-1] in last:
-            joined.add(last[b.path[:-1]])
+        around = b.place.parent or b.place
+        if around in last:
+            joined.add(last[around])
         for j in joined:
             w = _near(blocks[j], b)
             graph.edge(j, i, w, w)
-        last[b.path[:-1]] = i
+        last[around] = i
     return graph.source_side(n, n + 1)[:n]
 
 

@@ -3,6 +3,7 @@
 import html
 import itertools
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +52,18 @@ def test_odd_pages(spark):
     assert html_mincut.extract(df.filter("false")).collect() == []
 
 
+def test_time_follows_the_tags_that_stay_open():
+    """Elements that never end, 40,000 of them: a page of four times the tags takes about four times as long."""
+    for piece in ("<div>A sentence with an end, long enough to count.", "<b><div>A sentence with an end.</b>", "<p><b>A sentence with an end."):
+        took = []
+        for n in (10_000, 40_000):
+            start = time.process_time()
+            found = blocks_of(piece * n)
+            assert len(found) == n == len(label(found))
+            took.append(time.process_time() - start)
+        assert took[1] < 9 * took[0] + 0.5, (piece, took)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=7), st.data())
 def test_cut_is_the_cheapest_labelling(ends, data):
