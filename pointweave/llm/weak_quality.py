@@ -207,13 +207,13 @@ def _samples(memo):
         known = kept(memo, "words", Words)
         for b in batches:
             rows = []
-            for text in b.column("body").to_pylist():
+            for key, text in zip(b.column("key").to_pylist(), b.column("body").to_pylist(), strict=True):
                 if words := words_of(text):
                     table = known.of(words)
                     figure = figures(text, table)
-                    rows.append((votes(figure, len(words)), *(x.tolist() for x in features(table, figure))))
+                    rows.append((key, votes(figure, len(words)), *(x.tolist() for x in features(table, figure))))
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())), strict=True)], names=["pattern", "place", "value"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())), strict=True)], names=["key", "pattern", "place", "value"])
     return run
 
 
@@ -234,9 +234,12 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     table = rows.select("body").mapInArrow(_patterns(memo), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3 ** len(LABELLERS)
     patterns, counts = (np.array([r[k] for r in table], np.int64) for k in (0, 1))
     posterior, chance = estimate(patterns, counts) if len(table) else (np.array([]), np.zeros((2, len(LABELLERS), 3)))
-    ids = rows.select(F.xxhash64("doc_id", "body").alias("__h")).orderBy("__h").limit(train_rows).agg(F.max("__h")).first()[0]
-    sample = rows.filter(F.xxhash64("doc_id", "body") <= F.lit(ids)).limit(2 * train_rows).select("body").mapInArrow(_samples(memo), "pattern long, place array<int>, value array<float>")
-    got = sorted((r.pattern, r.place, r.value) for r in sample.toLocalIterator()) if ids is not None else []
+    keyed = rows.select(F.xxhash64("doc_id", "body").alias("key"), "body")
+    least = keyed.select("key").orderBy("key").limit(train_rows).groupBy("key").count().collect()  # at most train_rows
+    times = {r.key: r["count"] for r in least}
+    # Equal rows have one key: they are read once and count as often as they stand among the least.
+    sample = keyed.filter(F.col("key") <= F.lit(max(times, default=-(2**63)))).groupBy("key").agg(F.min("body").alias("body")).mapInArrow(_samples(memo), "key long, pattern long, place array<int>, value array<float>")
+    got = sorted((r.pattern, r.place, r.value) for r in sample.toLocalIterator() for _ in range(times.get(r.key, 0))) if times else []
     of = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
     weights = train([(np.array(p), np.array(v)) for _, p, v in got], np.array([of[p] for p, _, _ in got]))
     return Model(weights, patterns, posterior, chance, memo)

@@ -9,7 +9,7 @@ import numpy as np
 import corpus_pipeline
 from pointweave.llm import weak_quality
 
-from .conftest import odd_rows
+from .conftest import odd_rows, prose
 from .test_duplicates import classes_of
 from .test_native import base_spans
 from .test_tokens import pieces_of
@@ -46,6 +46,18 @@ def test_odd_rows(odd, empty):
     assert weak_quality.judge(empty).collect() == [] and weak_quality.keep_good(empty).collect() == []
 
 
+def test_rows_that_repeat_at_the_bound_of_the_sample_give_one_model(spark):
+    texts = [prose(i, 60) for i in range(30)] + [f"{i} spam spam | buy | now | here" for i in range(30)]
+    rows = [(i % 5, t) for i, t in enumerate(texts) for _ in range(40)]
+    models = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        models.append(weak_quality.fit(df, train_rows=1010))
+    assert (models[0].weights == models[1].weights).all() and models[0].weights.any()
+    hidden = weak_quality.fit(spark.createDataFrame([(None, prose(1, 60))] * 300 + [(1, "a b c d e f")], "doc_id long, text string"), train_rows=20)
+    assert len(hidden.weights) == len(models[0].weights)
+
+
 def test_pipeline_stage_by_stage(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = {r.doc_id: r.kept for r in weak_quality.judge(docs).collect()}
