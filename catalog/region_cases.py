@@ -156,10 +156,14 @@ def random_walk(spark, sf):
     return op.random_walk_drop(fx.points(spark, sf), 200, 0.3, 0.4, "walk").select("scan_id", "point_id")
 
 
-@case("F18_patches", f"SELECT p.scan_id, c.point_id AS centre_id, p.point_id, p.label FROM points c JOIN points p ON c.scan_id=p.scan_id AND c.instance=10 WHERE {d2()}<=0.25 AND {d2()}>0", "points")
+@case("F18_patches", f"""WITH k AS (SELECT scan_id, max(point_id) AS point_id FROM points GROUP BY scan_id, round_even(x/1.0, 0), round_even(y/1.0, 0), round_even(z/1.0, 0)),
+c AS (SELECT points.* FROM points JOIN k USING (scan_id, point_id))
+SELECT p.scan_id, c.point_id AS centre_id, p.point_id, p.label FROM c JOIN points p ON c.scan_id=p.scan_id WHERE {d2()}<=0.25 AND {d2()}>0""", "points")
 def patches(spark, sf):
+    """Around one point of every voxel of a metre."""
     p = fx.points(spark, sf)
-    return op.patches(p, p.where("instance = 10").withColumnRenamed("point_id", "centre_id"), 0.5).select("scan_id", "centre_id", "point_id", "label")
+    keys = voxel.grid_sample(p, 1.0, mode="last").withColumnRenamed("point_id", "centre_id")
+    return op.patches(p, keys, 0.5).select("scan_id", "centre_id", "point_id", "label")
 
 
 # ------------------------------------------------------------------ augmentation
