@@ -122,9 +122,9 @@ def digests(df):
     return Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in df.collect())
 
 
-@pytest.mark.parametrize("hot", [8192, 1])
-def test_repeats_of_odd_rows(odd, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("words", [400_000, 3000, 1])
+def test_repeats_of_odd_rows(odd, monkeypatch, words):
+    monkeypatch.setattr(substring_dedup, "GROUP_WORDS", words)
     assert digests(substring_dedup.remove_repeats(odd)) == kept_of(odd_rows())
 
 
@@ -139,7 +139,43 @@ def test_equal_windows_have_equal_anchors():
     b[100:170] = a[20:90]
     places = []
     for codes in (a, b):
-        h, first, n = substring_dedup.anchors_of(codes)
+        h, _, first, n = substring_dedup.anchors_of(codes)
         assert first[0] == 0 and (first[1:] == (first + n)[:-1]).all() and (first + n)[-1] == len(codes) - 49
         places.append({s: x for x, f, m in zip(h.tolist(), first.tolist(), n.tolist(), strict=True) for s in range(f, f + m)})
     assert all(places[0][20 + k] == places[1][100 + k] for k in range(21))
+
+
+def test_deep_nodes_are_those_of_the_suffix_tree():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 3, 600)
+    codes[300:390], codes[450:520] = codes[20:110], codes[40:110]
+    codes = np.append(codes, 99)
+    order, node, deep = substring_dedup.deep_nodes(codes, np.arange(551), 50)
+    groups = {}
+    for s in range(551):
+        groups.setdefault(tuple(codes[s:s + 50]), set()).add(s)
+    found = {}
+    for s, x in zip(order.tolist(), node.tolist(), strict=True):
+        found.setdefault(x, set()).add(s)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
+    for x, places in found.items():
+        if len(places) > 1:
+            want = next(k for k in range(50, 96) if k == 95 or len({codes[s + k] for s in places if s + k < 601} | {-1 for s in places if s + k >= 601}) > 1)
+            assert min(want, 95) == deep[x]
+
+
+@pytest.mark.parametrize("words", [400_000, 2000, 1])
+def test_prefixes_are_lengthened(spark, monkeypatch, words):
+    monkeypatch.setattr(substring_dedup, "GROUP_WORDS", words)
+    rng = np.random.default_rng(6)
+
+    def some(n):
+        return [f"w{x}" for x in rng.integers(0, 4000, n)]
+
+    passage, long = some(64), some(300)
+    rows = []
+    for k in range(60):
+        middle = [passage, long, long[40:200], some(30) * 4][k % 4]
+        rows.append((int(k * 7 % 61), " ".join(some(int(rng.integers(0, 90))) + middle + some(int(rng.integers(0, 90))))))
+    rows += [(x + 100, t) for x, t in rows[:9]] + [(x, t) for x, t in rows[5:8]] + [(rows[3][0], rows[20][1]), (None, rows[1][1])]
+    assert digests(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == kept_of(rows)
