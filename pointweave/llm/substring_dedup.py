@@ -4,7 +4,7 @@ Equal texts are one text first, known by its least doc_id: a copy with a larger
 
 Suffixes are indexed at sampled places. Of each 50-word window the run of PREFIX words with the least hash is its anchor;
 equal windows have equal anchors at equal places, and neighbouring windows mostly share theirs, so there are some twenty
-times fewer anchors than words. The suffix at an anchor stands for the suffixes of all windows that chose it, which begin at
+times fewer anchors than words; a text that has an anchor often has one row for it. The suffix at an anchor stands for the suffixes of all windows that chose it, which begin at
 most 40 words to its left; its first PREFIX words are its prefix. Prefixes of one document only are dropped.
 
 A prefix whose suffixes hold more than GROUP_WORDS words is lengthened: the windows are split by how far left of the anchor
@@ -42,6 +42,9 @@ WIDTHS = (WINDOW - PREFIX + 1, 12, 4, 1)
 GROUP_WORDS = 400_000
 #: Words at which a pack of groups is closed; it holds at most as many and one group.
 PACK_WORDS = 400_000
+#: The suffixes of one text under one prefix: the anchor's place, the first window and the number of windows of each.
+AT = "array<struct<place:int,first:int,n:int>>"
+AT_ARROW = pa.list_(pa.struct([("place", pa.int32()), ("first", pa.int32()), ("n", pa.int32())]))
 #: Texts beyond 2^24 words are anchored in parts, as places take 24 bits beside the hash.
 PART = 1 << 24
 
@@ -67,18 +70,25 @@ def anchors_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text and anchor, however often the text has it."""
     coded = WordCodes()
     for b in batches:
         ids, ts, found = [], [], []
         for i, t, text in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), b.column("body").to_pylist(), strict=True):
-            got = anchors_of(coded.of(words_of(text)))
-            if len(got[0]):
-                ids.append(np.full(len(got[0]), i))
-                ts.append(np.full(len(got[0]), t))
-                found.append(got)
+            h, *at = anchors_of(coded.of(words_of(text)))
+            if len(h):
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                ids.append(np.full(len(new), i))
+                ts.append(np.full(len(new), t))
+                found.append((h[new], np.diff(np.append(new, len(h))), *(x[order] for x in at)))
         if found:
-            h, place, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.record_batch([pa.array(h), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ts)), pa.array(place.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "id", "t", "place", "first", "n"])
+            h, many, place, first, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            edges = np.concatenate([[0], np.cumsum(many)])
+            at = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (place, first, n)], fields=list(AT_ARROW.value_type))
+            columns = [np.concatenate(ids), np.concatenate(ts), h, np.add.reduceat(n, edges[:-1]) + (WINDOW - 1) * many]
+            yield pa.record_batch([*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), at)], names=["id", "t", "h", "words", "at"])
 
 
 def deep_nodes(codes: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,27 +171,35 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the suffixes of groups that fit."""
+    def cut(words: list[str], found: list[dict]) -> Iterator[tuple]:
+        for group in found:
+            for x in group["at"]:
+                yield group["h"], x["first"], " ".join(words[x["first"]:x["first"] + x["n"] + WINDOW - 1])
+
     for b in batches:
-        yield from _rows(b, False, lambda words, x: [(x["h"], x["first"], " ".join(words[x["first"]:x["first"] + x["n"] + WINDOW - 1]))],
-                         {"h": pa.int64(), "first": pa.int32(), "slice": pa.string()})
+        yield from _rows(b, False, cut, {"h": pa.int64(), "first": pa.int32(), "slice": pa.string()})
 
 
 def _lengthened(width: int):
     """Suffixes of groups that do not fit, by longer prefixes: windows that begin j words left of the anchor, j in one
-    block of `width` places, share the words from the block's nearest place to the end of its farthest window."""
-    def split(words: list[str], x: dict) -> list[tuple]:
-        a, out = x["place"], []
-        far, near = a - x["first"], a - x["first"] - x["n"] + 1
-        for block in range(near // width, far // width + 1):
-            j0, j1 = block * width, min(block * width + width - 1, WINDOW - PREFIX)
-            low, high = max(j0, near), min(j1, far)
-            digest = hashlib.blake2b(" ".join(words[a - j0:a - j1 + WINDOW]).encode(), digest_size=16).digest()
-            out.append((digest if width == 1 else int.from_bytes(digest[:8], "little", signed=True), a, a - high, high - low + 1))
-        return out
+    block of `width` places, share the words from the block's farthest beginning to the end of its nearest window's."""
+    def split(words: list[str], found: list[dict]) -> Iterator[tuple]:
+        longer: dict = {}
+        for x in (x for group in found for x in group["at"]):
+            a, far = x["place"], x["place"] - x["first"]
+            near = far - x["n"] + 1
+            for block in range(near // width, far // width + 1):
+                j0, j1 = block * width, min(block * width + width - 1, WINDOW - PREFIX)
+                low, high = max(j0, near), min(j1, far)
+                digest = hashlib.blake2b(" ".join(words[a - j0:a - j1 + WINDOW]).encode(), digest_size=16).digest()
+                longer.setdefault(digest, []).append({"place": a, "first": a - high, "n": high - low + 1})
+        for digest, at in longer.items():
+            h = digest if width == 1 else int.from_bytes(digest[:8], "little", signed=True)
+            yield h, sum(x["n"] + WINDOW - 1 for x in at), at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from _rows(b, True, split, {"h": pa.binary() if width == 1 else pa.int64(), "place": pa.int32(), "first": pa.int32(), "n": pa.int32()})
+            yield from _rows(b, True, split, {"h": pa.binary() if width == 1 else pa.int64(), "words": pa.int64(), "at": AT_ARROW})
     return run
 
 
@@ -194,9 +212,8 @@ def _rows(b: pa.RecordBatch, long: bool, make, kinds: dict) -> Iterator[pa.Recor
 
     for i, t, text, found in zip(*(b.column(c).to_pylist() for c in ("id", "t", "body", "found")), strict=True):
         found = [x for x in found if x["long"] == long]
-        words = words_of(text) if found else []
-        for x in found:
-            rows += [(i, t, *r) for r in make(words, x)]
+        for r in make(words_of(text), found) if found else ():
+            rows.append((i, t, *r))
             if len(rows) >= 5000:
                 yield batch()
                 rows.clear()
@@ -206,18 +223,18 @@ def _rows(b: pa.RecordBatch, long: bool, make, kinds: dict) -> Iterator[pa.Recor
 
 def _met(suffixes: DataFrame) -> DataFrame:
     """The prefixes of at least two documents: their least id, and whether their suffixes are too many for a group."""
-    groups = suffixes.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.col("n") + WINDOW - 1).alias("words"))
+    groups = suffixes.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("words").alias("words"))
     return groups.filter("lo < hi").select("h", "lo", (F.col("words") > GROUP_WORDS).alias("long"))
 
 
 def repeated_stretches(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From id, t, body, one row per (id, t): the keys (id, t) of texts that share a prefix, and the stretches
     (id, t, cuts: array of a, b) of words to remove."""
-    suffixes = stored(texts.mapInArrow(_anchors, "h long, id long, t long, place int, first int, n int"))
+    suffixes = stored(texts.mapInArrow(_anchors, f"id long, t long, h long, words long, at {AT}"))
     keys, slices, cuts = None, [], []
     for width in WIDTHS[1:]:
         found = suffixes.join(_met(suffixes).hint("shuffle_merge"), "h").groupBy("id", "t")
-        found = stored(found.agg(F.collect_list(F.struct("h", "place", "first", "n", "long")).alias("found")))  # of one document
+        found = stored(found.agg(F.collect_list(F.struct("h", "at", "long")).alias("found")))  # of one document
         keys = found.select("id", "t") if keys is None else keys
         texts = join_narrow(texts, stored(found.select("id", "t")), ["id", "t"], "left_semi")
         texts = stored(texts.select("id", "t", "body").join(found.hint("shuffle_merge"), ["id", "t"]))
@@ -226,14 +243,15 @@ def repeated_stretches(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         if texts.isEmpty():
             break
         kind = "binary" if width == 1 else "long"
-        suffixes = stored(texts.mapInArrow(_lengthened(width), f"id long, t long, h {kind}, place int, first int, n int"))
+        suffixes = stored(texts.mapInArrow(_lengthened(width), f"id long, t long, h {kind}, words long, at {AT}"))
     else:
         later = suffixes.join(_met(suffixes).hint("shuffle_merge"), "h").filter("lo < id")
-        cuts = [later.select("id", "t", F.col("first").alias("a"), (F.col("first") + WINDOW).alias("b"))]
+        cuts = [later.select("id", "t", F.transform("at", lambda x: F.struct(x["first"].alias("a"), (x["first"] + WINDOW).alias("b"))).alias("cuts"))]
     for s in slices:
-        cuts.append(s.repartition("h").sortWithinPartitions("h").mapInArrow(_trees, "id long, t long, a int, b int"))
+        trees = s.repartition("h").sortWithinPartitions("h").mapInArrow(_trees, "id long, t long, a int, b int")
+        cuts.append(trees.select("id", "t", F.array(F.struct("a", "b")).alias("cuts")))
     every = reduce(DataFrame.unionByName, cuts)
-    return keys, every.groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+    return keys, every.groupBy("id", "t").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
