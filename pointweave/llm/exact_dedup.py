@@ -1,7 +1,9 @@
 """Exact de-duplication by skew-safe combining, DataFrame operations only.
 
-Digests are counted first (combined before the shuffle), and only rows whose digest occurs twice or more move with their
-text. Those are combined three times, each time comparing the full content beside the digest: within each task (the
+Digests are counted first (combined before the shuffle). While the repeated ones are few by count, they go to every task
+and only rows whose digest occurs twice or more move with their text. Beyond that the digests of large groups still go to
+every task, or by adaptive execution where even they are too many, so that no large group meets in a join, and the other
+rows move once to the counts of theirs. Rows of repeated digests are combined three times, each time comparing the full content beside the digest: within each task (the
 partial aggregate), per salted digest group, and over the salts' winners. The number of salts of a digest follows its
 count, so no task meets a large group whole.
 
@@ -15,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from . import common
+from .common import join_narrow, stored
 
 #: Rows of one digest that share a salt.
 ROWS_PER_SALT = 2000
@@ -43,9 +46,16 @@ def _winners(repeated: DataFrame) -> DataFrame:
 
 def _split(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     rows = _digests(docs)
-    counts = _repeated(rows)
-    single = rows.join(counts, "digest", "left_anti").select(*columns)
-    copies = rows.join(counts, "digest").select(*columns, "body", "salts", F.monotonically_increasing_id().alias("uid"))
+    repeated = stored(_repeated(rows))
+    many = repeated.count()
+    if many <= common.BROADCAST_ROWS:
+        marked = join_narrow(rows, repeated, "digest", "left", many)
+    else:
+        large = join_narrow(rows, repeated.filter("salts > 0"), "digest", "left")
+        rest = large.filter("salts IS NULL").drop("salts").join(repeated.filter("salts = 0").hint("shuffle_merge"), "digest", "left")
+        marked = large.filter("salts IS NOT NULL").unionByName(rest)
+    single = marked.filter("salts IS NULL").select(*columns)
+    copies = marked.filter("salts IS NOT NULL").select(*columns, "body", "salts", F.monotonically_increasing_id().alias("uid"))
     return single, stored(copies)  # numbered once: a task that runs again reads the same numbers
 
 

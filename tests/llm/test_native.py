@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.llm import exact_dedup, quality_rules, secret_scan
+from pointweave.llm import common, exact_dedup, quality_rules, secret_scan
 from tools.check import compare, duck
 
 from .conftest import odd_rows
@@ -167,7 +167,9 @@ def test_only_keys_go_between_the_marks(spark):
     assert compare(secret_scan.report(df).toPandas(), con.execute(secret_scan.SQL).df()) is None
 
 
-def test_exact_dedup_on_odd_rows(odd):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_exact_dedup_on_odd_rows(odd, monkeypatch, few):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
     rows = odd_rows()
     group = {}
     for i, text in rows:
@@ -180,6 +182,10 @@ def test_exact_dedup_on_odd_rows(odd):
     assert kept.columns == odd.columns and Counter(r.text or "" for r in kept.collect()) == Counter(group.keys())
 
 
-def test_a_large_group_is_salted(spark):
+@pytest.mark.parametrize("few", [500_000, 1, 0])
+def test_a_large_group_is_salted(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
     many = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text"))
-    assert exact_dedup.report(many).filter("kept").select("doc_id", "keep_id", "group_size").collect() == [(8999, 8999, 9000)]
+    pairs = spark.range(10_000, 10_040).select(F.col("id").alias("doc_id"), F.concat(F.lit("pair "), F.expr("id div 2").cast("string")).alias("text"))
+    kept = exact_dedup.report(many.union(pairs)).filter("kept").select("doc_id", "keep_id", "group_size").collect()
+    assert sorted(kept) == [(8999, 8999, 9000), *((x, x, 2) for x in range(10_001, 10_040, 2))]
