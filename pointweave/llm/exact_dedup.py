@@ -14,7 +14,7 @@ untouched by `deduplicate` and ignored by `report`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,12 +36,15 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return counts.select("digest", (F.col("n") / ROWS_PER_SALT).cast("int").alias("salts"))
 
 
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("id", "uid"), F.col("salts") + 1).cast("int")
+
+
 def _winners(repeated: DataFrame) -> DataFrame:
     """The winning row number and id and the size of each class of equal texts."""
-    salt = F.pmod(F.xxhash64("id", "uid"), F.col("salts") + 1)
     best = F.max(F.struct("id", "uid")).alias("best")
-    by_salt = repeated.groupBy("digest", salt.alias("salt"), "body").agg(best, F.count(F.lit(1)).alias("n"))
-    return by_salt.groupBy("digest", "body").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
+    by_salt = repeated.groupBy("digest", "salts", _salt().alias("salt"), "body").agg(best, F.count(F.lit(1)).alias("n"))
+    return by_salt.groupBy("digest", "salts", "body").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
 
 
 def _split(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +65,8 @@ def _split(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
 def report(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, keep_id (the one that stays), group_size, kept, text_sha256."""
     single, copies = _split(docs.select("doc_id", "text"), ["id", "digest"])
-    met = copies.alias("c").join(_winners(copies).alias("w"), ["digest", "body"])
+    winners = _winners(copies).withColumn("salt", F.explode(F.expr("sequence(0, salts)"))).drop("salts")
+    met = copies.withColumn("salt", _salt()).join(winners, ["digest", "salt", "body"])
     of_copies = met.select("id", "digest", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"))
     of_single = single.select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return of_single.union(of_copies).select(
