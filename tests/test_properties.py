@@ -348,3 +348,21 @@ def test_search_below_the_levels_that_are_sent(spark, monkeypatch):
         monkeypatch.setattr(celltree, "WIDE", wide)
         got = neighbours.knn_join(_cloud(spark, q, "query_id"), _cloud(spark, s, "point_id"), 6).toPandas().sort_values(["query_id", "rank"])
         assert (got["d2"].to_numpy().reshape(-1, 6) == want).all()
+
+
+@pytest.mark.parametrize("crowd", [3, 4096])
+def test_radius_join_cuts_crowded_cells_into_parts(spark, crowd):
+    pdf = cloud(120, copies=20)
+    s = spark.createDataFrame(pdf).repartition(3)
+    got = neighbours.radius_join(s.withColumnRenamed("point_id", "query_id"), s, 0.5, crowd=crowd).select("query_id", "point_id").collect()
+    d = lambda a, b: (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2
+    rows = [*pdf.itertuples()]
+    assert sorted(map(tuple, got)) == sorted((a.point_id, b.point_id) for a in rows for b in rows if a.scan_id == b.scan_id and d(a, b) <= 0.25)
+
+
+def test_radius_join_never_broadcasts_the_queries_written_per_cell(spark, tmp_path):
+    spark.createDataFrame(cloud(50)).write.parquet(f"{tmp_path}/cloud")  # small files, many cells in reach
+    s = spark.read.parquet(f"{tmp_path}/cloud")
+    out = neighbours.radius_join(s.withColumnRenamed("point_id", "query_id"), s, 2.0, size=0.1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
