@@ -366,3 +366,26 @@ def test_radius_join_never_broadcasts_the_queries_written_per_cell(spark, tmp_pa
     out = neighbours.radius_join(s.withColumnRenamed("point_id", "query_id"), s, 2.0, size=0.1)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_pooling_runs_over_batches_of_groups(spark):
+    """As the grouped aggregate, but no round trip per group: groups across batches, null keys, nulls and NaN results."""
+    from pointweave.plans import pipeline as pl
+
+    def span(v: pd.Series) -> float:
+        return float(v.max() - v.min()) if len(v) else 0.0
+
+    pl.register_pool("range", span)
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 11 == 0 else int(k), None if i % 5 == 0 else int(i) + 2**55, float(rng.random()), None if i % 3 else 1.5)
+            for i, k in enumerate(np.repeat(np.arange(40), 10))] + [(99, 1, float("nan"), None)]
+    df = spark.createDataFrame(rows, "a long, b long, v double, w double").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = pl.pool_with(df, "range", ["a", "b"], ["v", "w"])
+        assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+        want = df.groupBy("a", "b").agg(*[F.pandas_udf(span, "double")(c).alias(c) for c in ("v", "w")])
+        assert out.schema == want.schema
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
