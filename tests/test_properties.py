@@ -389,3 +389,13 @@ def test_pooling_runs_over_batches_of_groups(spark):
         assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_reference_pixels_without_sorting(spark):
+    from pointweave.operators.visibility import reference_pixels
+
+    rows = [(s, i, p, 0, float(10 * i + p)) for s in (1, 2) for i in (4, 3, 5) for p in (0, 1)] * 2
+    df = spark.createDataFrame(rows, "setting_id long, image_id long, px long, py long, r double").withColumns({"g": F.col("r"), "b": F.col("r")})
+    out = reference_pixels(df)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.setting_id, x.px, x.r) for x in out.collect()) == [(s, p, 30.0 + p) for s in (1, 2) for p in (0, 1)]
