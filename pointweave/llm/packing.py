@@ -30,8 +30,9 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
 ROWS_PER_SALT = 20_000
-#: Chunks of which a worker remembers the ids, some 200 bytes each.
-HELD = 1_500_000
+#: Chunks after which a worker forgets the ids of those that the last as many did not have again; it holds at most
+#: twice as many and those of one call, some 200 bytes each.
+HELD = 300_000
 
 _SPACE = re.compile("[ \t\n\r]+")
 #: Chunks of these characters only are lower-cased letter by letter and split into runs of letters, digits and other marks.
@@ -47,7 +48,7 @@ class Ids:
         one_thread()
         from tokenizers import Tokenizer
 
-        self.lib, self.known = Tokenizer.from_file(tokenizer_path(name)), {"": b""}
+        self.lib, self.known, self.older = Tokenizer.from_file(tokenizer_path(name)), {"": b""}, {}
         words = self.lib.get_vocab(with_added_tokens=False)
         self.end = np.zeros(max(words.values()) + 3, bool)
         self.end[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -55,8 +56,11 @@ class Ids:
     def of(self, texts: list[str]) -> list[bytes]:
         split = [_SPACE.split(t) for t in texts]
         if len(self.known) > HELD:
-            self.known = {"": b""}
-        new = list(set().union(*split) - self.known.keys())
+            self.known, self.older = {"": b""}, self.known
+        new = set().union(*split) - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in again)
+        new = list(new - again)
         plain = [c for c in new if _PLAIN.fullmatch(c)]
         for i in range(0, len(plain), 2000):
             self._learn(plain[i:i + 2000])

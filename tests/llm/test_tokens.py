@@ -133,3 +133,16 @@ def test_plan_meets_the_bound_on_many_short_documents():
     rows = packing.plan(counts)
     total = sum(k * v for k, v in counts.items())
     assert max(r[2] for r in rows) + 1 <= -(-total // 2048) + 5
+
+
+def test_packing_remembers_few_chunks_and_those_in_use(monkeypatch):
+    ids, asked = packing.Ids(packing.TOKENIZER), Counter()
+
+    def learn(chunks):
+        asked.update(chunks)
+        ids.known.update(dict.fromkeys(chunks, b"1234"))
+
+    monkeypatch.setattr(ids, "_learn", learn)
+    for k in range(1200):
+        assert ids.of([" ".join(["the", *map(str, range(1000 * k, 1000 * k + 1000))])]) == [b"1234" * 1001]
+    assert asked["the"] == 1 and len(ids.known) + len(ids.older) < 2 * packing.HELD + 3000 < 700_000
