@@ -399,3 +399,22 @@ def test_reference_pixels_without_sorting(spark):
     out = reference_pixels(df)
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((x.setting_id, x.px, x.r) for x in out.collect()) == [(s, p, 30.0 + p) for s in (1, 2) for p in (0, 1)]
+
+
+def _spied(monkeypatch, module, name):
+    """Calls of a function of the module: (arguments, result)."""
+    calls, real = [], getattr(module, name)
+
+    def spy(*args, **how):
+        out = real(*args, **how)
+        calls.append((args, out))
+        return out
+
+    monkeypatch.setattr(module, name, spy)
+    return calls
+
+
+def test_walk_makes_edges_only_where_it_stands(spark, monkeypatch):
+    calls = _spied(monkeypatch, regions, "ball_join")
+    regions.random_walk_drop(spark.createDataFrame(cloud(3000)), 20, 0.3, 1.0, "t").count()
+    assert calls and all(args[0].count() <= 2 * 6 for args, _ in calls)  # six walks in each of two scans
