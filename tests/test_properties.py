@@ -418,3 +418,19 @@ def test_walk_makes_edges_only_where_it_stands(spark, monkeypatch):
     calls = _spied(monkeypatch, regions, "ball_join")
     regions.random_walk_drop(spark.createDataFrame(cloud(3000)), 20, 0.3, 1.0, "t").count()
     assert calls and all(args[0].count() <= 2 * 6 for args, _ in calls)  # six walks in each of two scans
+
+
+def test_huber_looks_no_further_than_the_nearest_point(spark, monkeypatch):
+    a, b = cloud(400, seed=1), cloud(400, seed=2, copies=30)
+    calls = _spied(monkeypatch, neighbours, "_cover")
+    got = {(r.scan_id, r.side, r.point_id): (r.other, r.dist) for r in neighbours.nearest_distance(spark.createDataFrame(a), spark.createDataFrame(b), "huber", 0.25).collect()}
+    for side, q, s in (("a", a, b), ("b", b, a)):
+        for row in q.itertuples():
+            t = s[s.scan_id == row.scan_id]
+            d = np.abs(t[["x", "y", "z"]].to_numpy() - [row.x, row.y, row.z])
+            h = np.where(d < 0.25, 0.5 * d * d, 0.25 * (d - 0.125)).sum(1)
+            other, dist = got[row.scan_id, side, row.point_id]
+            assert dist == pytest.approx(h.min(), rel=1e-9, abs=1e-15) and h[t.point_id == other][0] == pytest.approx(h.min(), rel=1e-9, abs=1e-15)
+    assert len(got) == 800
+    near = [r for args, _ in calls if "__rad" in args[0].columns for r in args[0].select("__rad").collect() if r[0] < 0.2]
+    assert near
