@@ -414,6 +414,18 @@ def _spied(monkeypatch, module, name):
     return calls
 
 
+def test_crowded_cells_are_dense_without_pairs(spark, monkeypatch):
+    pdf = cloud(900, copies=40)
+    calls = _spied(monkeypatch, regions, "radius_join")
+    got = {r.point_id for r in regions.density_filter(spark.createDataFrame(pdf), 0.5, 20).collect()}
+    want = set()
+    for _, s in pdf.groupby("scan_id"):
+        x = s[["x", "y", "z"]].to_numpy()
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        want |= set(s.point_id[((d <= 0.25) & (d > 0)).sum(1) > 20])
+    assert got == want and len(calls) == 1 and calls[0][0][0].where("x < 1.05 AND y < 1.05 AND z < 1.05 AND x > 1 AND y > 1 AND z > 1").isEmpty()
+
+
 def test_walk_makes_edges_only_where_it_stands(spark, monkeypatch):
     calls = _spied(monkeypatch, regions, "ball_join")
     regions.random_walk_drop(spark.createDataFrame(cloud(3000)), 20, 0.3, 1.0, "t").count()
