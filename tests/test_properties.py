@@ -446,3 +446,14 @@ def test_huber_looks_no_further_than_the_nearest_point(spark, monkeypatch):
     assert len(got) == 800
     near = [r for args, _ in calls if "__rad" in args[0].columns for r in args[0].select("__rad").collect() if r[0] < 0.2]
     assert near
+
+
+def test_sphere_labels_go_with_the_centres(spark, monkeypatch):
+    pdf = cloud(300)
+    calls = _spied(monkeypatch, regions, "sphere_sample")
+    got = regions.grid_spheres(spark.createDataFrame(pdf), 1.0, 3.0)
+    assert got.columns == ["scan_id", "centre_id", "point_id", "x", "y", "z", "label", "centre_label"]
+    assert calls[0][1].columns[-1] == "__labels"  # known before the join, so the samples never shuffle by centre
+    c = regions.grid_centres(spark.createDataFrame(pdf), 3.0).toPandas()
+    want = {(r.scan_id, r.centre_id, p, r.centre_label) for r in c.itertuples() for p in pdf.point_id[(pdf.scan_id == r.scan_id) & ((pdf.x - r.x) ** 2 + (pdf.y - r.y) ** 2 + (pdf.z - r.z) ** 2 <= 1)]}
+    assert {(r.scan_id, r.centre_id, r.point_id, r.centre_label) for r in got.collect()} == want
