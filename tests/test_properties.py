@@ -457,3 +457,15 @@ def test_sphere_labels_go_with_the_centres(spark, monkeypatch):
     c = regions.grid_centres(spark.createDataFrame(pdf), 3.0).toPandas()
     want = {(r.scan_id, r.centre_id, p, r.centre_label) for r in c.itertuples() for p in pdf.point_id[(pdf.scan_id == r.scan_id) & ((pdf.x - r.x) ** 2 + (pdf.y - r.y) ** 2 + (pdf.z - r.z) ** 2 <= 1)]}
     assert {(r.scan_id, r.centre_id, r.point_id, r.centre_label) for r in got.collect()} == want
+
+
+def test_pose_files_are_listed_many_by_a_task(spark, monkeypatch, tmp_path):
+    from pointweave.sources import text
+
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, seen = spark.conf.get(listing), []
+    real = type(spark.read).json
+    monkeypatch.setattr(type(spark.read), "json", lambda self, path: seen.append(spark.conf.get(listing)) or real(self, path))
+    (tmp_path / "camera_1_pose.json").write_text('{"camera_location": [1, 2, 3], "final_camera_rotation": [0, 0, 1]}')
+    assert text.read_pose_json(spark, f"file://{tmp_path}/*.json").count() == 1
+    assert seen == [spark.conf.get("spark.sql.shuffle.partitions")] and spark.conf.get(listing) == before
