@@ -469,3 +469,71 @@ def test_pose_files_are_listed_many_by_a_task(spark, monkeypatch, tmp_path):
     (tmp_path / "camera_1_pose.json").write_text('{"camera_location": [1, 2, 3], "final_camera_rotation": [0, 0, 1]}')
     assert text.read_pose_json(spark, f"file://{tmp_path}/*.json").count() == 1
     assert seen == [spark.conf.get("spark.sql.shuffle.partitions")] and spark.conf.get(listing) == before
+
+
+def _views_tables(spark, n=400, n_images=18):
+    rng = np.random.default_rng(11)
+    pts = pd.DataFrame({"scan_id": np.arange(n) % 2, "point_id": np.arange(n), **dict(zip("xyz", (rng.random((3, n)).T * [8, 6, 3]).T)), "label": np.arange(n) % 5})
+    pts = pd.concat([pts, pts.head(20)])  # rows may repeat
+    rows = []
+    for i in range(n_images):
+        x, y, z = (rng.random(3) * [8, 6, 3]).tolist()
+        a = float(rng.random() * 6)
+        pose = [[np.cos(a), -np.sin(a), 0.0, x], [np.sin(a), np.cos(a), 0.0, y], [0.0, 0.0, 1.0, z], [0.0, 0.0, 0.0, 1.0]]
+        rows.append((i % 2, i, ("equirectangular", "pinhole", "fisheye")[i % 3], 64, 32, x, y, z, 0.0, float(rng.random() / 3), a,
+                     [[float(v) for v in r] for r in pose], 20.0, 20.0, 32.0, 16.0, 1.5, 0.0625, 0.015625, 30.0, 30.0, 32.0, 16.0))
+    kinds = ("scan_id long, image_id long, camera string, px_w int, px_h int, cx double, cy double, cz double, omega double, phi double, kappa double, "
+             "pose array<array<double>>, fx double, fy double, mx double, my double, xi double, k1 double, k2 double, gamma1 double, gamma2 double, u0 double, v0 double")
+    return spark.createDataFrame(pts), spark.createDataFrame([*rows, rows[0]], kinds)
+
+
+@pytest.mark.parametrize("pose", ["c2w", "inv"])
+@pytest.mark.parametrize("cylinder", [False, True])
+def test_views_by_blocks_equal_the_projection_of_each_pair(spark, monkeypatch, pose, cylinder):
+    from pointweave.operators import camera as cam, visibility as vis
+
+    points, images = _views_tables(spark)
+    cams = cam.prepare_images(images, pose)
+    names = [c for c in vis.CAMERA if c in cams.columns]
+    pairs = vis.candidate_views(points, cams, 5.0, 0.5, cylinder, carry=("x", "y", "z", "label"), q_carry=names)
+    want = cam.splat_box(cam.in_view(cam.project(pairs, pose), None, 1, 2), 0.25, top=1, bottom=2)
+    monkeypatch.setattr(vis, "POINT_BLOCK", 7)
+    monkeypatch.setattr(vis, "IMAGE_BLOCK", 2)
+    got = vis.project_views(points, images, 5.0, 0.5, cylinder, top=1, bottom=2, voxel=0.25, pose=pose, carry=("label",))
+    assert set(got.columns) == set(want.columns)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()  # no camera columns per pair
+    order = ["scan_id", "image_id", "point_id"]
+    a, b = (d.select(*want.columns).toPandas().sort_values(order, ignore_index=True) for d in (got, want))
+    assert len(b) > 500
+    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_z_buffer_paints_an_image_once(spark, exact):
+    from pointweave.operators import visibility as vis
+
+    rng = np.random.default_rng(5)
+    n = 300
+    xa, ya = rng.integers(0, 40, n), rng.integers(0, 20, n)
+    pdf = pd.DataFrame({"scan_id": 0, "image_id": np.arange(n) % 3, "point_id": np.arange(n) // 2, "dist": rng.integers(1, 9, n) / 2,
+                        "xa": xa, "xb": xa + rng.integers(1, 9, n), "ya": ya, "yb": ya + rng.integers(1, 9, n), "u": xa + 0.5, "v": ya + 0.5})
+    best = {}
+    for r in pdf.itertuples():
+        for px in range(r.xa, r.xb):
+            for py in range(r.ya, r.yb):
+                key = (r.image_id, px, py)
+                best[key] = min(best.get(key, (np.inf, 0, 0, 0)), (r.dist, r.point_id, int(r.u), int(r.v)))
+    want = {(*k, b[1]) for k, b in best.items()}
+    if exact:
+        last = {}
+        for (image, _, _), (_, point, px, py) in best.items():
+            last[image, px, py] = max(last.get((image, px, py), -1), point)
+        want = {(*k, p) for k, p in last.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)  # an image comes in many batches
+    try:
+        out = vis.z_buffer(spark.createDataFrame(pdf).repartition(5), exact=exact)
+        got = [(r.image_id, r.px, r.py, r.point_id) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(got)) and set(got) == want
+    assert exact or "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()  # no second reduction
