@@ -537,3 +537,13 @@ def test_z_buffer_paints_an_image_once(spark, exact):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(set(got)) and set(got) == want
     assert exact or "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()  # no second reduction
+
+
+def test_a_point_in_the_camera_plane_has_no_pixel(spark):
+    from pointweave.operators import camera as cam, visibility as vis
+
+    _, images = _views_tables(spark)
+    cams = cam.prepare_images(images.where("camera = 'pinhole'").withColumn("cz", F.lit(1.0)))
+    points = spark.createDataFrame([(s, 7 + s, x, 2.0, 1.0) for s in (0, 1) for x in (1.0, 5.0)], "scan_id long, point_id long, x double, y double, z double")
+    got = vis.projected_views(points, cams, 5.0, 0.5).collect()
+    assert got and all(r.u is None and r.v is None and r.depth_z == 0 for r in got)
