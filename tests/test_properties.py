@@ -547,3 +547,19 @@ def test_a_point_in_the_camera_plane_has_no_pixel(spark):
     points = spark.createDataFrame([(s, 7 + s, x, 2.0, 1.0) for s in (0, 1) for x in (1.0, 5.0)], "scan_id long, point_id long, x double, y double, z double")
     got = vis.projected_views(points, cams, 5.0, 0.5).collect()
     assert got and all(r.u is None and r.v is None and r.depth_z == 0 for r in got)
+
+
+def test_nearest_join_across_many_blocks(spark, monkeypatch):
+    """Tied distances, copies, a scan without points and blocks smaller than k: what lies behind a border is found, by few visits."""
+    monkeypatch.setattr(celltree, "SMALL", 64)
+    monkeypatch.setattr(celltree, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame(rng.integers(0, 12, (2400, 3)) / 4.0, columns=list("xyz"))
+    pdf = pdf.assign(scan_id=np.arange(len(pdf)) % 2, point_id=rng.permutation(len(pdf)))
+    q = pd.concat([pdf[:300], pdf[:5].assign(scan_id=9)])
+    schema = "scan_id long, {} long, x double, y double, z double"
+    frame = lambda p, name: spark.createDataFrame(p[["scan_id", "point_id", *"xyz"]], schema.format(name))
+    for k in (7, 90):
+        got = neighbours.knn_join(frame(q, "query_id"), frame(pdf, "point_id"), k)
+        assert got_knn(got) == brute_knn(q, pdf, k)
+    assert _rows_joined(neighbours.knn_join(frame(q, "query_id"), frame(pdf, "point_id"), 7)) <= 7 * len(q)
