@@ -563,3 +563,18 @@ def test_nearest_join_across_many_blocks(spark, monkeypatch):
         got = neighbours.knn_join(frame(q, "query_id"), frame(pdf, "point_id"), k)
         assert got_knn(got) == brute_knn(q, pdf, k)
     assert _rows_joined(neighbours.knn_join(frame(q, "query_id"), frame(pdf, "point_id"), 7)) <= 7 * len(q)
+
+
+def test_best_overlaps_and_suppression_by_turns(spark):
+    """One pair for each box, ties to the lower id; turns of suppression do not change what one turn keeps."""
+    rng = np.random.default_rng(5)
+    n = 240
+    pdf = pd.DataFrame(rng.integers(0, 24, (n, 3)) / 8.0, columns=["cx", "cy", "cz"]).assign(dx=1.0, dy=1.0, dz=1.0, scan_id=0, box_id=np.arange(n))
+    pdf["class"], pdf["score"] = np.arange(n) % 2, rng.integers(0, 50, n) / 64
+    b = spark.createDataFrame(pdf)
+    every = boxes.box_iou(b, b.where("box_id % 3 = 0"), ["class"]).toPandas()
+    want = every.sort_values(["iou", "b_box_id"], ascending=[False, True]).groupby(["class", "a_box_id"]).first()["b_box_id"].to_dict()
+    got = boxes.box_iou(b, b.where("box_id % 3 = 0"), ["class"], best=True).collect()
+    assert {(r["class"], r.a_box_id): r.b_box_id for r in got} == want and len(got) == len(want)
+    kept = lambda first: sorted(r.box_id for r in boxes.box_nms(b, 0.1, first=first).collect())
+    assert kept(4) == kept(10**6)
