@@ -3,17 +3,50 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.prefix import number_rows
 from ..functions.maths import bind, rigid_inverse
 from ..functions.rand import key_hash
 
 
+def _gathered(df: DataFrame, keys, cols) -> DataFrame:
+    """(keys, cols as arrays): the rows of a key in a batch as one row, so that fewer and larger rows are shuffled. A key may come again."""
+    keys, cols = list(keys), list(cols)
+    df = df.select(*keys, *cols)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b.take(pc.sort_indices(b, sort_keys=[(k, "ascending") for k in keys]))
+            new = np.zeros(b.num_rows, bool)
+            new[0] = True
+            for k in keys:
+                column = b.column(k)
+                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            ends = pa.array(np.append(starts, b.num_rows).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, b.column(c)) for c in cols]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(starts)) for k in keys), *lists], names=[*keys, *cols])
+
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    shape = [T.StructField(k, kinds[k]) for k in keys] + [T.StructField(c, T.ArrayType(kinds[c])) for c in cols]
+    return df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).mapInArrow(run, T.StructType(shape))
+
+
 def depth_to_points(depth: DataFrame, frames: DataFrame, z_max: float = 6.0, carry=()) -> DataFrame:
-    """Pixels (seq, frame, u, v, mm) to world points; frames(seq, frame, fx, fy, cx, cy, pose)."""
-    j = depth.where((F.col("mm") > 0) & (F.col("mm") < z_max * 1000)).join(frames.select("seq", "frame", "fx", "fy", "cx", "cy", "pose"), ["seq", "frame"])
+    """Pixels (seq, frame, u, v, mm) to world points; frames(seq, frame, fx, fy, cx, cy, pose).
+
+    The frames are as many as the pictures, each with a pose, so they are not collected for a broadcast; their pixels move as arrays.
+    """
+    cols = list(dict.fromkeys(["u", "v", "mm", *carry]))
+    near = _gathered(depth.where((F.col("mm") > 0) & (F.col("mm") < z_max * 1000)), ["seq", "frame"], cols)
+    j = near.join(frames.select("seq", "frame", "fx", "fy", "cx", "cy", "pose").hint("merge"), ["seq", "frame"])
+    j = j.select("seq", "frame", "fx", "fy", "cx", "cy", "pose", F.inline(F.arrays_zip(*cols)))
     z = F.col("mm") / 1000.0
     j = bind(j, __x=(F.col("u") + 0.5 - F.col("cx")) * z / F.col("fx"), __y=(F.col("v") + 0.5 - F.col("cy")) * z / F.col("fy"), __z=z)
     m = F.col("pose")
@@ -59,65 +92,119 @@ CELLS = 1 << 20
 
 
 def packed_depth(depth: DataFrame, width: int, height: int) -> DataFrame:
-    """(seq, frame, mm): the depths of a frame as one array, row by row, 0 where there is none; bounded by the picture."""
-    kinds = {c: depth.schema[c].dataType.simpleString() for c in ("seq", "frame")}
-
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(width * height, np.int32)
-        out[pdf["v"].to_numpy() * width + pdf["u"].to_numpy()] = pdf["mm"].to_numpy()
-        return pd.DataFrame({"seq": [key[0]], "frame": [key[1]], "mm": [out]})
-
+    """(seq, frame, pieces): the depths of a frame as pieces, each with places (v * width + u) and values; bounded by the picture."""
     inside = depth.where((F.col("mm") > 0) & F.col("u").between(0, width - 1) & F.col("v").between(0, height - 1))
-    return inside.select("seq", "frame", "u", "v", "mm").groupBy("seq", "frame").applyInPandas(pack, f"seq {kinds['seq']}, frame {kinds['frame']}, mm array<int>")
+    flat = inside.select("seq", "frame", (F.col("v") * width + F.col("u")).cast("int").alias("at"), F.col("mm").cast("int").alias("mm"))
+    return _gathered(flat, ["seq", "frame"], ["at", "mm"]).groupBy("seq", "frame").agg(F.collect_list(F.struct("at", "mm")).alias("pieces"))
+
+
+def _fuse(by, voxel: float, trunc: float, width: int, height: int, schema):
+    """Arrow pass over pictures sorted by volume, part and frame, to the voxels of each part."""
+    volume = [*by, "__part", "__parts", "__copies", "lo_x", "lo_y", "lo_z", "n_x", "n_y", "n_z"]
+    entries = [f"__e{i}{j}" for i in range(3) for j in range(4)]
+
+    class Part:
+        def __init__(self, row):
+            self.key, self.copies = [row[c] for c in by], row["__copies"]
+            flat = np.arange(row["__part"], row["n_x"] * row["n_y"], row["__parts"])
+            self.i, self.j = flat // row["n_y"], flat % row["n_y"]
+            k = np.arange(row["n_z"])
+            self.p = [(row["lo_x"] + self.i * voxel)[:, None], (row["lo_y"] + self.j * voxel)[:, None], (row["lo_z"] + k * voxel)[None]]
+            self.total, self.count = np.zeros((len(flat), len(k))), np.zeros((len(flat), len(k)), np.int64)
+            self.stack = max(1, CELLS // max(1, self.total.size, width * height))
+
+        def add(self, c, at, mm, ends):
+            """Pictures in the order of their frames: camera columns, and places and values from one end to the next."""
+            n = len(ends) - 1
+            pictures = np.zeros((n, width * height), np.int32)
+            pictures[np.repeat(np.arange(n), np.diff(ends)), at[ends[0]: ends[-1]]] = mm[ends[0]: ends[-1]]
+            wide = {name: v[:, None, None] for name, v in c.items()}
+            p = self.p
+            with np.errstate(all="ignore"):
+                x, y, z = (wide[f"__e{r}0"] * p[0] + wide[f"__e{r}1"] * p[1] + wide[f"__e{r}2"] * p[2] + wide[f"__e{r}3"] for r in range(3))
+                a, b = np.rint(x * wide["fx"] / z + wide["cx"]), np.rint(y * wide["fy"] / z + wide["cy"])
+                ok = (z > 0) & (a >= 0) & (a < width) & (b >= 0) & (b < height)
+                place = np.where(ok, b * width + a, 0).astype(np.int64) + (np.arange(n) * (width * height))[:, None, None]
+                depth = pictures.ravel()[place]
+                gap = depth / 1000.0 - z
+                ok &= (depth > 0) & (gap >= -trunc)
+                near = np.where(ok, np.minimum(1.0, gap / trunc), 0.0)
+            for f in range(n):  # one by one, as the last bits of a sum depend on its order
+                for _ in range(self.copies):
+                    self.total += near[f]
+            self.count += ok.sum(0) * self.copies
+
+        def rows(self):
+            at = np.nonzero(self.count)
+            return [np.tile(v, self.copies) for v in (self.i[at[0]], self.j[at[0]], at[1], self.total[at] / self.count[at], self.count[at])]
+
+    def ready(out):
+        columns = [np.concatenate([rows[q] for _, rows in out]) for q in range(5)]
+        repeat = pa.array(np.repeat(np.arange(len(out)), [len(rows[0]) for _, rows in out]))
+        keys = [pa.array([key[q] for key, _ in out], schema.field(c).type).take(repeat) for q, c in enumerate(by)]
+        return pa.RecordBatch.from_arrays([*keys, *[pa.array(v) for v in columns]], schema=schema)
+
+    def run(batches):
+        now, part, out, size = None, None, [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            new[0] = True
+            for c in volume:
+                column = b.column(c)
+                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            heads = b.select(volume).take(pa.array(starts)).to_pylist()
+            camera = {c: b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("fx", "fy", "cx", "cy", *entries)}
+            pieces = b.column("pieces")
+            lists = pieces.values.field("at")
+            ends = lists.offsets.to_numpy()[pieces.offsets.to_numpy()]
+            at, mm = lists.values.to_numpy(), pieces.values.field("mm").values.to_numpy()
+            for head, lo, hi in zip(heads, starts.tolist(), [*starts[1:].tolist(), b.num_rows]):
+                if head != now:
+                    if part is not None:
+                        out.append((part.key, part.rows()))
+                        size += len(out[-1][1][0])
+                    now, part = head, Part(head)
+                for first in range(lo, hi, part.stack):
+                    last = min(first + part.stack, hi)
+                    part.add({c: v[first:last] for c, v in camera.items()}, at, mm, ends[first: last + 1])
+            if size >= 10_000:
+                yield ready(out)
+                out, size = [], 0
+        if part is not None:
+            out.append((part.key, part.rows()))
+            yield ready(out)
+
+    return run
 
 
 def tsdf(volumes: DataFrame, frames: DataFrame, depth: DataFrame, voxel: float, width: int, height: int, by=("seq", "fragment")) -> DataFrame:
     """(by, i, j, k, tsdf, w): mean of min(1, (depth - z)/(5 voxel)) over the frames that see the voxel.
 
     volumes(by, lo_x.., n_x..), frames(by, frame, fx.., pose), depth(seq, frame, u, v, mm).
-    A volume is cut into parts of its columns (i, j), at most CELLS voxels each, and each part meets the packed frames of
-    its fragment: what moves are columns and pictures, never voxels times frames.
+    A volume is cut into parts of its columns (i, j), at most some CELLS voxels each. The packed frames of a fragment come
+    to each part one after another: what moves are pictures, never voxels times frames.
     """
     by = list(by)
-    trunc = 5.0 * voxel
     n = F.col("n_x") * F.col("n_y") * F.col("n_z")
-    v = volumes.select(*by, *[f"lo_{a}" for a in "xyz"], *[f"n_{a}" for a in "xyz"]).where("n_x > 0 AND n_y > 0 AND n_z > 0")
-    v = v.withColumn("__parts", F.ceil(n / CELLS).cast("int"))
+    corner, extent = [f"lo_{a}" for a in "xyz"], [f"n_{a}" for a in "xyz"]
+    v = volumes.where("n_x > 0 AND n_y > 0 AND n_z > 0 AND lo_x IS NOT NULL AND lo_y IS NOT NULL AND lo_z IS NOT NULL")
+    v = v.select(*by, *[F.col(c).cast("double").alias(c) for c in corner], *[F.col(c).cast("long").alias(c) for c in extent])
+    v = v.groupBy(*by, *corner, *extent).agg(F.count("*").alias("__copies")).withColumn("__parts", F.ceil(n / CELLS).cast("long"))
     zero = F.lit(0).cast("long")
-    columns = v.withColumn("i", F.explode(F.sequence(zero, F.col("n_x") - 1))).withColumn("j", F.explode(F.sequence(zero, F.col("n_y") - 1)))
-    columns = columns.select(*by, F.pmod(F.xxhash64("i", "j"), F.col("__parts")).cast("int").alias("__part"), "i", "j", "lo_x", "lo_y", "lo_z", "n_z")
-    seen = frames.select(*by, "frame", "fx", "fy", "cx", "cy", rigid_inverse("pose").alias("__e")).join(packed_depth(depth, width, height), ["seq", "frame"])
-    seen = seen.join(v.select(*by, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part")), by)
-
-    def fuse(key, cols: pd.DataFrame, pics: pd.DataFrame) -> pd.DataFrame:
-        if not len(cols) or not len(pics):
-            return pd.DataFrame({c: [] for c in names})
-        i, j, depth_n = cols["i"].to_numpy(), cols["j"].to_numpy(), int(cols["n_z"].iloc[0])
-        lo = [float(cols[f"lo_{a}"].iloc[0]) for a in "xyz"]
-        k = np.arange(depth_n)
-        p = [(lo[0] + i * voxel)[:, None], (lo[1] + j * voxel)[:, None], (lo[2] + k * voxel)[None]]
-        total, count = np.zeros((len(i), depth_n)), np.zeros((len(i), depth_n), np.int64)
-        with np.errstate(all="ignore"):
-            for pic in pics.sort_values("frame").itertuples():
-                e = np.array([list(row) for row in pic[pics.columns.get_loc("__e") + 1]])
-                x, y, z = (e[r, 0] * p[0] + e[r, 1] * p[1] + e[r, 2] * p[2] + e[r, 3] for r in range(3))
-                a, b = np.rint(x * pic.fx / z + pic.cx), np.rint(y * pic.fy / z + pic.cy)
-                ok = (z > 0) & (a >= 0) & (a < width) & (b >= 0) & (b < height)
-                mm = np.zeros(ok.shape)
-                mm[ok] = np.asarray(pic.mm)[(b[ok] * width + a[ok]).astype(np.int64)]
-                gap = mm / 1000.0 - z
-                ok &= (mm > 0) & (gap >= -trunc)
-                total[ok] += np.minimum(1.0, gap[ok] / trunc)
-                count[ok] += 1
-        at = np.nonzero(count)
-        out = {c: key[q] for q, c in enumerate(by)} | {"i": i[at[0]], "j": j[at[0]], "k": k[at[1]], "tsdf": total[at] / count[at], "w": count[at]}
-        return pd.DataFrame(out, columns=names)
-
-    names = [*by, "i", "j", "k", "tsdf", "w"]
-    kinds = ", ".join(f"{c} {v.schema[c].dataType.simpleString()}" for c in by)
-    parts = [*by, "__part"]
-    seen = seen.select(*[F.col(c).alias(f"__of_{c}") for c in parts], *[F.col(c).alias(c) for c in ("frame", "fx", "fy", "cx", "cy", "__e", "mm")])
-    return columns.groupBy(*parts).cogroup(seen.groupBy(*[f"__of_{c}" for c in parts])).applyInPandas(fuse, f"{kinds}, i long, j long, k long, tsdf double, w long")
+    e = rigid_inverse("pose")
+    poses = [e[i][j].alias(f"__e{i}{j}") for i in range(3) for j in range(4)]
+    camera = [F.col(c).cast("double").alias(c) for c in ("fx", "fy", "cx", "cy")]
+    key = list(dict.fromkeys([*by, "seq", "frame"]))
+    seen = frames.select(*key, *camera, *poses).hint("merge").join(packed_depth(depth, width, height), ["seq", "frame"])
+    seen = seen.join(v.hint("merge"), by).withColumn("__part", F.explode(F.sequence(zero, F.col("__parts") - 1)))
+    seen = seen.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "__part")
+    seen = seen.sortWithinPartitions(*by, *corner, *extent, "__part", "frame")
+    schema = T.StructType([*[T.StructField(c, v.schema[c].dataType) for c in by], *[T.StructField(c, T.LongType()) for c in "ijk"],
+                           T.StructField("tsdf", T.DoubleType()), T.StructField("w", T.LongType())])
+    return seen.mapInArrow(_fuse(by, voxel, 5.0 * voxel, width, height, to_arrow_schema(schema)), schema)
 
 
 def surface_points(volume: DataFrame, origins: DataFrame, voxel: float, a: float, b: float, by=("seq", "fragment")) -> DataFrame:
