@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pointweave.operators import fusion
+from pointweave.operators import boxes, fusion
 
 
 def plan(df) -> str:
@@ -51,3 +51,31 @@ def test_tsdf_streams_pictures_to_the_parts_of_a_volume(spark, monkeypatch):
             want[seq, i, j, k] = (sum(near) / len(near), len(near))
     assert want.keys() == got.keys()
     assert all(np.allclose(got[key], want[key]) for key in want)
+
+
+def _boxes(spark, n, tag):
+    u = lambda t: (F.pmod(F.xxhash64(F.lit(tag + t), "id"), F.lit(1000)) / 1000.0)
+    return spark.range(n).select(F.lit(0).alias("scan_id"), F.col("id").alias("box_id"), *[(u(c) * 4).alias(c) for c in ("cx", "cy", "cz")],
+                                 *[(u(c) + 0.5).alias(c) for c in ("dx", "dy", "dz")], (u("h") * 6.283).alias("heading"))
+
+
+def test_box_overlaps_are_dealt_to_all_tasks(spark):
+    a, b = _boxes(spark, 60, "a"), _boxes(spark, 60, "b")
+    got = boxes.box_iou(a, b, rotated=True)
+    assert "Broadcast" not in plan(got)
+    left, right = a.toPandas().to_numpy(float).T, b.toPandas().to_numpy(float).T
+    i, j = np.indices((60, 60)).reshape(2, -1)
+    flat = boxes._clipped(*[left[c][i] for c in (2, 3, 5, 6, 8)], *[right[c][j] for c in (2, 3, 5, 6, 8)])
+    tall = np.minimum(left[4][i] + left[7][i] / 2, right[4][j] + right[7][j] / 2) - np.maximum(left[4][i] - left[7][i] / 2, right[4][j] - right[7][j] / 2)
+    inter = flat * np.maximum(tall, 0)
+    want = inter / (left[5:8].prod(0)[i] + right[5:8].prod(0)[j] - inter)
+    rows = {(r.a_box_id, r.b_box_id): r.iou for r in got.collect()}
+    assert rows.keys() == {(int(i[k]), int(j[k])) for k in np.flatnonzero(want > 0)}
+    assert all(abs(rows[int(i[k]), int(j[k])] - want[k]) < 1e-12 for k in np.flatnonzero(want > 0))
+
+
+def test_overlap_area_where_rectangles_touch_or_are_equal():
+    a = [np.array(v, float) for v in ([0, 0, 0, 0, 0], [0, 0, 0, 0, 0], [2, 2, 2, 2, 2], [2, 2, 2, 2, 2], [0, 0, 0, np.pi / 4, 0.3])]
+    b = [np.array(v, float) for v in ([2, 2, 0, 0, 0], [0, 2, 0, 0, 0], [2, 2, 2, 2, 1], [2, 2, 2, 2, 1], [0, 0, 0, 0, 1.3])]
+    assert np.allclose(boxes._overlap(*a, *b), [0, 0, 4, 8 * (np.sqrt(2) - 1), 1], atol=1e-12)
+    assert list(boxes._overlap(*a, *b) > 0) == list(boxes._clipped(*a, *b) > 0)
