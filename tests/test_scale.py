@@ -1,9 +1,10 @@
 """What moves between tasks: plans and passes that keep large inputs bounded, beside plain reference results."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pointweave.operators import boxes, fusion
+from pointweave.operators import boxes, fusion, visibility
 
 
 def plan(df) -> str:
@@ -79,3 +80,29 @@ def test_overlap_area_where_rectangles_touch_or_are_equal():
     b = [np.array(v, float) for v in ([2, 2, 0, 0, 0], [0, 2, 0, 0, 0], [2, 2, 2, 2, 1], [2, 2, 2, 2, 1], [0, 0, 0, 0, 1.3])]
     assert np.allclose(boxes._overlap(*a, *b), [0, 0, 4, 8 * (np.sqrt(2) - 1), 1], atol=1e-12)
     assert list(boxes._overlap(*a, *b) > 0) == list(boxes._clipped(*a, *b) > 0)
+
+
+def test_only_views_that_are_seen_are_shuffled():
+    rng = np.random.default_rng(2)
+    n = 3000
+    xa, ya = rng.integers(0, 9, n), rng.integers(0, 5, n)
+    views = pa.table({"image_id": np.arange(n) % 3, "point_id": rng.permutation(n) // 2, "dist": rng.integers(1, 400, n) / 8,
+                      "xa": xa, "xb": xa + 2, "ya": ya, "yb": ya + 3, "depth": rng.random(n)})
+    want = {}
+    for r in views.to_pylist():
+        for px, py in np.ndindex(2, 3):
+            at = r["image_id"], r["xa"] + px, r["ya"] + py
+            want[at] = min(want.get(at, (np.inf, 0, 0)), (r["dist"], r["point_id"], r["depth"]))
+    cols = ["dist", "point_id", "depth"]
+    front = pa.Table.from_batches(visibility._painted(["image_id"], cols, False)(iter(views.to_batches(100))))
+    assert front.num_rows <= len(want) < n // 10
+    near = front.sort_by("image_id").to_batches(7)
+    pixels = pa.Table.from_batches(visibility._painted(["image_id"], cols, True)(iter(near))).to_pylist()
+    assert {(r["image_id"], r["px"], r["py"]): (r["dist"], r["point_id"], r["depth"]) for r in pixels} == want and len(pixels) == len(want)
+
+
+def test_images_that_give_way_to_others_start_anew(monkeypatch):
+    monkeypatch.setattr(visibility, "PIXELS", 4)
+    b = [pa.RecordBatch.from_pydict({"image_id": [i], "point_id": [p], "dist": [float(p)], "xa": [0], "xb": [2], "ya": [0], "yb": [2]}) for p in (3, 1, 2) for i in (0, 1)]
+    front = pa.Table.from_batches(visibility._painted(["image_id"], ["dist", "point_id"], False)(iter(b)))
+    assert {(r["image_id"], r["point_id"]) for r in front.to_pylist()} >= {(0, 1), (1, 1)}
