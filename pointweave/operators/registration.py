@@ -6,11 +6,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.lineage import cut
 from ..functions.maths import rigid_inverse
 from ..functions.prefix import number_by_hash
+from ..functions.products import TILE, Nearest, vectors
 from ..functions.rand import key_hash, uniform
 from .neighbours import ball_join, nearest_join, neighbour_counts
 from .voxel import grid_sample
@@ -157,53 +160,78 @@ def pair_table(matches: DataFrame, src: DataFrame, dst: DataFrame, features) ->
 
 # ------------------------------------------------------------------ descriptors
 
-def _nearest_pivot(pivots: np.ndarray):
-    @F.pandas_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())]))
-    def assign(v: pd.Series) -> pd.DataFrame:
-        x = np.stack(v.to_numpy()).astype(float)
-        d = ((x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)[None])
-        i = d.argmin(1)
-        return pd.DataFrame({"cell": i.astype("int32"), "dist": np.sqrt(np.maximum(d[np.arange(len(x)), i], 0))})
-    return assign
-
-
-def _cells_within(pivots: np.ndarray, radius: dict):
-    """Cells of a group whose ball about the pivot meets the ball about the row."""
-    far = np.array([radius.get(i, -np.inf) for i in range(len(pivots))])
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def pick(v: pd.Series, bound: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()).astype(float)
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)[None], 0))
-        near = d - far[None] <= bound.to_numpy()[:, None] * (1 + 1e-6) + 1e-6
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
-    return pick
-
-
-def _dist2(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda u, v: (u.cast("double") - v.cast("double")) * (u.cast("double") - v.cast("double"))), F.lit(0.0), lambda t, e: t + e)
+#: Rows of b, and of a, that a task holds at once.
+REFERENCES, QUERIES = 16384, 8192
+
+
+def _matched(by, names):
+    """Rows of b of a part, then the rows of a that meet them: the nearest of each."""
+    key = [*by, "__pa", "__pb"]
+
+    def run(batches):
+        now, held, near = None, [], None
+        for b in batches:
+            new = np.zeros(b.num_rows, bool)
+            new[:1] = True
+            for c in [*key, "is_query"]:
+                column = b.column(c)
+                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, max(b.num_rows - 1, 0))).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new).tolist()
+            for lo, hi in zip(starts, [*starts[1:], b.num_rows]):
+                name = tuple(b.column(c)[lo].as_py() for c in key)
+                if name != now:
+                    now, held, near = name, [], None
+                rows = b.slice(lo, hi - lo)
+                if not rows.column("is_query")[0].as_py():
+                    held.append(rows)
+                    continue
+                if near is None:
+                    if not held:
+                        continue
+                    near = Nearest(np.concatenate([vectors(h.column("__v")) for h in held]), [i for h in held for i in h.column("b_id").to_pylist()])
+                    held = []
+                for at in range(0, len(rows), TILE):
+                    part = rows.slice(at, TILE)
+                    at_q, d2, row = near.find(vectors(part.column("__v")))
+                    part = part.take(pa.array(at_q))
+                    ids = pa.array([near.ids[i] for i in row], b.schema.field("b_id").type)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in by), part.column("a_id"), ids, pa.array(d2)], names=names)
+    return run
 
 
 def nearest_descriptor(a: DataFrame, b: DataFrame, by=("pair_id",), vec="feat", n_pivots: int = 64) -> DataFrame:
     """Exact nearest descriptor: (by, a_id, b_id, d2), ties to the lower id.
 
-    Rows of b are put in cells about a bounded number of pivot rows. A row of a
-    first looks into its own cell; that distance and the cell radii rule out
-    the cells that cannot hold anything nearer, and only the rest is joined.
+    Descriptors have many dimensions, where hardly any row can be ruled out by its place, so all pairs of a group are
+    compared, but as products of matrices. Both sides are dealt into parts that a task holds, each part of one side meets
+    each of the other in a task, and the nearest of the parts are aggregated. ``n_pivots`` has no effect any more.
     """
     by = list(by)
-    b = b.select(*by, F.col("id").alias("b_id"), F.col(vec).alias("__b"))
-    a = a.select(*by, F.col("id").alias("a_id"), F.col(vec).alias("__a"))
-    pivots = np.array([r[0] for r in b.orderBy(F.xxhash64("__b"), "b_id").limit(n_pivots).select("__b").collect()], dtype=float)
-    cell = _nearest_pivot(pivots)
-    b = cut(b.withColumn("__p", cell("__b")).select(*by, "b_id", "__b", F.col("__p.cell").alias("cell"), F.col("__p.dist").alias("__far")))
-    radius = {r["cell"]: r["far"] for r in b.groupBy("cell").agg(F.max("__far").alias("far")).collect()}  # at most n_pivots rows
-    home = a.withColumn("cell", cell("__a")["cell"]).join(b, by + ["cell"])
-    home = home.groupBy(*by, "a_id").agg(F.sqrt(F.min(_dist2(F.col("__a"), F.col("__b")))).alias("bound"))
-    wide = a.join(home, by + ["a_id"], "left").withColumn("bound", F.coalesce("bound", F.lit(1e300)))
-    wide = wide.withColumn("cell", F.explode(_cells_within(pivots, radius)("__a", "bound")))
-    j = wide.join(b, by + ["cell"]).withColumn("d2", _dist2(F.col("__a"), F.col("__b")))
-    return j.groupBy(*by, "a_id").agg(F.min(F.struct("d2", "b_id")).alias("m")).select(*by, "a_id", F.col("m.b_id").alias("b_id"), F.col("m.d2").alias("d2"))
+    b = b.select(*by, F.col("id").alias("b_id"), F.col(vec).alias("__v"))
+    a = a.select(*by, F.col("id").alias("a_id"), F.col(vec).alias("__v"))
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def parts(t, most):  # a row for each group
+        return t.groupBy(*by).agg(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).cast("long").alias("n"))
+
+    sizes = parts(a, QUERIES).withColumnRenamed("n", "__na").join(parts(b, REFERENCES).withColumnRenamed("n", "__nb"), by)
+    groups = cut(sizes)
+    # Few parts would leave tasks without work: queries are dealt finer then.
+    whole = groups.agg(F.sum(F.col("__na") * F.col("__nb"))).first()[0] or 1
+    groups = groups.withColumn("__na", F.col("__na") * max(1, -(-2 * n // whole)))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    kind = {f.name: f.dataType for f in [*a.schema.fields, *b.schema.fields]}
+    left = a.join(groups, by).withColumn("__pa", F.pmod(F.xxhash64("a_id", "__v"), F.col("__na"))).withColumn("__pb", every("__nb"))
+    right = b.join(groups, by).withColumn("__pb", F.pmod(F.xxhash64("b_id", "__v"), F.col("__nb"))).withColumn("__pa", every("__na"))
+    cols = [*by, "__pa", "__pb", "is_query", "a_id", "b_id", "__v"]
+    vector = lambda t: F.col("__v").cast("array<double>").alias("__v")
+    left = left.withColumns({"is_query": F.lit(True), "b_id": F.lit(None).cast(kind["b_id"])}).select(*cols[:-1], vector(left))
+    right = right.withColumns({"is_query": F.lit(False), "a_id": F.lit(None).cast(kind["a_id"])}).select(*cols[:-1], vector(right))
+    both = left.unionByName(right).repartition(max(n, min(int(whole), 4096)), *by, "__pa", "__pb").sortWithinPartitions(*by, "__pa", "__pb", "is_query")
+    names = [*by, "a_id", "b_id", "d2"]
+    schema = T.StructType([*[T.StructField(c, kind[c]) for c in names[:-1]], T.StructField("d2", T.DoubleType())])
+    near = both.mapInArrow(_matched(by, names), schema)
+    return near.groupBy(*by, "a_id").agg(F.min(F.struct("d2", "b_id")).alias("m")).select(*by, "a_id", F.col("m.b_id").alias("b_id"), F.col("m.d2").alias("d2"))
 
 
 def feature_matches(a, b, mutual=False, by=("pair_id",), vec="feat", n_pivots=64) -> DataFrame:

@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pointweave.operators import boxes, fusion, visibility
+from pointweave.functions import products
+from pointweave.operators import boxes, fusion, neighbours, registration, visibility
 
 
 def plan(df) -> str:
@@ -106,3 +107,49 @@ def test_images_that_give_way_to_others_start_anew(monkeypatch):
     b = [pa.RecordBatch.from_pydict({"image_id": [i], "point_id": [p], "dist": [float(p)], "xa": [0], "xb": [2], "ya": [0], "yb": [2]}) for p in (3, 1, 2) for i in (0, 1)]
     front = pa.Table.from_batches(visibility._painted(["image_id"], ["dist", "point_id"], False)(iter(b)))
     assert {(r["image_id"], r["point_id"]) for r in front.to_pylist()} >= {(0, 1), (1, 1)}
+
+
+def _brute(q, x, ids, k):
+    d2 = ((q[:, None] - x[None]) ** 2).sum(2)
+    return [sorted(zip(row.tolist(), ids))[:k] for row in d2]
+
+
+def test_nearest_by_products_is_exact_with_ties_and_copies():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (1300, 6)).astype(float)  # many tied distances, more rows than a tile
+    q, ids = np.concatenate([x[:40], rng.random((30, 6)) * 1e6]), rng.permutation(1300).tolist()
+    for k in (1, 7):
+        row, d2, found = products.Nearest(x, ids, k).find(q)
+        near = products.Nearest(x, ids, k)
+        got = [[] for _ in q]
+        for r, d, f in zip(row.tolist(), d2.tolist(), found.tolist()):
+            got[r].append((d, near.ids[f]))
+        for g, w in zip(got, _brute(q, x, ids, k)):
+            assert [i for _, i in g] == [i for _, i in w] and np.allclose([d for d, _ in g], [d for d, _ in w])
+
+
+def test_descriptors_meet_as_matrices(spark, monkeypatch):
+    monkeypatch.setattr(registration, "REFERENCES", 40)
+    monkeypatch.setattr(registration, "QUERIES", 30)
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 4, (150, 5)).astype(float), rng.integers(0, 4, (170, 5)).astype(float)
+    frame = lambda v: spark.createDataFrame([(i % 2, i, row) for i, row in enumerate(v.tolist())], "pair_id long, id long, feat array<double>")
+    out = registration.nearest_descriptor(frame(a), frame(b))
+    assert "lambda" not in plan(out)  # no distance as a row of its own
+    got = {(r.pair_id, r.a_id): (r.d2, r.b_id) for r in out.collect()}
+    want = {(g, int(i)): w[0] for g in (0, 1) for i, w in zip(np.arange(150)[g::2], _brute(a[g::2], b[g::2], list(range(g, 170, 2)), 1))}
+    assert got == want
+
+
+def test_vectors_of_probed_cells_meet_as_matrices(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_PART", 25)
+    monkeypatch.setattr(neighbours, "QUERY_PART", 20)
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 9, (200, 4)).astype(float)
+    e = spark.createDataFrame([(0, i, row) for i, row in enumerate(x.tolist())], "scan_id int, vec_id long, v array<double>")
+    out = neighbours.approximate_knn(e.withColumnRenamed("vec_id", "query_id"), e, 3, probes=4, cells=4, s_id="vec_id", vector="v")
+    assert "zip_with" not in plan(out)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.d2, r.vec_id))
+    assert got == {i: w for i, w in enumerate(_brute(x, x, list(range(200)), 3))}
