@@ -6,6 +6,7 @@ never by a whole scan, and lives in the state store.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,39 +53,72 @@ def static_views(stream: DataFrame, images: DataFrame, r_max: float, by=SCAN) ->
     return radius_join(cams, stream, r_max, by, "image_id", "point_id", strict=True)
 
 
-VOTE_STATE = "n long, s array<double>, seen array<long>"
+#: Buckets that the points of a window are dealt to; a bucket has one state.
+BUCKETS = 1024
 
 
 def vote_by_window(stream: DataFrame, n: int, by=SCAN, watermark="1 hour", ts="sample_ts", ttl_ms: int = 3_600_000) -> DataFrame:
     """Votes kept per (window, point) by a custom stateful operator, with the samples seen so far in its state.
 
-    Emits the new totals of each point that changed. The key is the point, so a
-    large window is spread over the state partitions. A point's state goes once
-    the watermark is ttl_ms past its last row.
+    Emits the new totals of each point that changed. A call into Python and a state for each point would cost far more than
+    the votes, so the points of a window are dealt to BUCKETS, which also spreads a large window over the state partitions;
+    a state holds the points of its bucket. A point leaves it once the watermark is ttl_ms past its last row.
     """
     keys = [*by, "point_id"]
-    kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
-
-    def update(key, batches, state):
-        if state.hasTimedOut:
+    type_of = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    kinds = ", ".join(f"{k} {type_of[k]}" for k in keys)
+    held = f"ids array<{type_of['point_id']}>, n array<long>, s array<double>, seen array<long>, n_seen array<long>, last array<long>"
+
+    def load(state) -> dict:
+        """Per point: count, sums, samples seen and the time of its last row."""
+        if not state.exists:
+            return {}
+        ids, counts, sums, seen, n_seen, last = (list(v) for v in state.get)
+        ends = [0, *np.cumsum(n_seen).tolist()]
+        return {p: [counts[i], sums[i * n: (i + 1) * n], set(seen[ends[i]: ends[i + 1]]), last[i]] for i, p in enumerate(ids)}
+
+    def keep(state, points: dict) -> None:
+        if not points:
             state.remove()
             return
-        count, sums, seen = state.get if state.exists else (0, [0.0] * n, [])
-        sums, known, last = list(sums), set(seen), state.getCurrentWatermarkMs()
-        for pdf in batches:
-            last = max(last, int(pd.Timestamp(pdf[ts].max()).timestamp() * 1000))
-            best = pdf.sort_values("row_id").drop_duplicates("sample_id", keep="last")
-            for sample, scores in zip(best["sample_id"], best["scores"]):
-                if int(sample) not in known:
-                    known.add(int(sample))
-                    count += 1
-                    sums = [a + float(b) for a, b in zip(sums, scores)]
-        state.update((count, sums, sorted(known)))
-        state.setTimeoutTimestamp(last + ttl_ms)
-        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "n_votes": [count], "scores": [sums]})
-
-    return stream.withWatermark(ts, watermark).groupBy(*keys).applyInPandasWithState(
-        update, f"{kinds}, n_votes long, scores array<double>", VOTE_STATE, "update", "EventTimeTimeout")
+        counts, sums, seen, last = zip(*points.values())
+        state.update((list(points), list(counts), [v for s in sums for v in s], [v for s in seen for v in sorted(s)], [len(s) for s in seen], list(last)))
+        state.setTimeoutTimestamp(min(last) + ttl_ms)
+
+    def update(key, batches, state):
+        points, now = load(state), state.getCurrentWatermarkMs()
+        changed = set()
+        for pdf in [] if state.hasTimedOut else batches:
+            pdf = pdf.sort_values("row_id", kind="stable")
+            when = pdf[ts].to_numpy().astype("datetime64[ms]")
+            when = np.where(np.isnat(when), now, when.astype(np.int64)).tolist()
+            votes: dict = {}
+            for point, sample, scores, time in zip(pdf["__id"].tolist(), pdf["sample_id"].tolist(), pdf["scores"].tolist(), when):
+                one = points.get(point)
+                if one is None:
+                    one = points[point] = [0, [0.0] * n, set(), now]
+                one[3] = max(one[3], now, time)
+                own = votes.setdefault(point, {})
+                own.pop(int(sample), None)  # of two rows the last counts, at its place
+                own[int(sample)] = scores
+            for point, own in votes.items():
+                one = points[point]
+                for sample, scores in own.items():
+                    if sample not in one[2]:
+                        one[2].add(sample)
+                        one[0] += 1
+                        one[1] = [a + float(b) for a, b in zip(one[1], scores)]
+            changed |= votes.keys()
+        keep(state, {p: one for p, one in points.items() if p in changed or one[3] + ttl_ms >= now})
+        if changed:
+            null = key[-1] < 0
+            out = {**{k: [v] * len(changed) for k, v in zip(by, key)}, "point_id": [None if null else p for p in changed]}
+            yield pd.DataFrame({**out, "n_votes": [points[p][0] for p in changed], "scores": [points[p][1] for p in changed]})
+
+    # Points without an id are one point, in a bucket of its own.
+    bucket = F.when(F.col("point_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("point_id"), F.lit(BUCKETS)).cast("int"))
+    dealt = stream.withWatermark(ts, watermark).withColumns({"__bucket": bucket, "__id": F.coalesce("point_id", F.lit(0).cast(type_of["point_id"]))})
+    return dealt.groupBy(*by, "__bucket").applyInPandasWithState(update, f"{kinds}, n_votes long, scores array<double>", held, "update", "EventTimeTimeout")
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

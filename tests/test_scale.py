@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import products
 from pointweave.operators import boxes, fusion, neighbours, registration, visibility
+from pointweave.streaming import accumulators
 
 
 def plan(df) -> str:
@@ -153,3 +154,26 @@ def test_vectors_of_probed_cells_meet_as_matrices(spark, monkeypatch):
     for r in sorted(out.collect(), key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append((r.d2, r.vec_id))
     assert got == {i: w for i, w in enumerate(_brute(x, x, list(range(200)), 3))}
+
+
+def test_votes_of_a_bucket_keep_samples_apart_and_null_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(accumulators, "BUCKETS", 2)
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    rows = [(0, p, s, p * 10 + s, [float(p), float(s)], day(1 + s)) for p in range(9) for s in range(3)]
+    rows += [(0, None, 1, 500, [5.0, 5.0], day(2)), (0, 3, 1, 900, [7.0, 7.0], day(2)), (0, 3, 0, 901, [8.0, 8.0], day(3))]
+    df = spark.createDataFrame(rows, "scan_id long, point_id long, sample_id long, row_id long, scores array<double>, t string")
+    df = df.withColumn("sample_ts", F.to_timestamp("t")).drop("t")
+    path = f"{tmp_path}/in"
+    for d in (1, 2, 3):
+        df.where(F.dayofmonth("sample_ts") == d).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    voted = accumulators.vote_by_window(stream, 2, watermark="10 days")
+    assert "__bucket" in plan(voted)  # a call for each bucket, not for each point
+    out = accumulators.run_to_end(voted, "votes", "update", f"{tmp_path}/check").collect()
+    last = {}
+    for r in out:
+        if r.n_votes >= last.get(r.point_id, (0,))[0]:
+            last[r.point_id] = (r.n_votes, *r.scores)
+    # Of point 3 the second day has two rows of sample 1, of which the later row counts; sample 0 is known on the third.
+    want = {p: (3, 3.0 * p, 3.0) for p in range(9)} | {3: (3, 3.0 + 7.0 + 3.0, 0.0 + 7.0 + 2.0), None: (1, 5.0, 5.0)}
+    assert last == want
