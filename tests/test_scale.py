@@ -177,3 +177,21 @@ def test_votes_of_a_bucket_keep_samples_apart_and_null_ids(spark, tmp_path, monk
     # Of point 3 the second day has two rows of sample 1, of which the later row counts; sample 0 is known on the third.
     want = {p: (3, 3.0 * p, 3.0) for p in range(9)} | {3: (3, 3.0 + 7.0 + 3.0, 0.0 + 7.0 + 2.0), None: (1, 5.0, 5.0)}
     assert last == want
+
+
+def test_views_of_an_image_are_made_in_one_task(spark, monkeypatch):
+    from test_properties import _views_tables
+
+    points, images = _views_tables(spark)
+    monkeypatch.setattr(visibility, "POINT_BLOCK", 40)
+    apart, together = (visibility.project_views(points, images, 5.0, 0.5, voxel=0.25, carry=("label",), together=t) for t in (False, True))
+    order = ["scan_id", "image_id", "point_id"]
+    a, b = (d.toPandas().sort_values(order, ignore_index=True) for d in (apart, together.select(*apart.columns)))
+    assert len(a) > 500 and a.equals(b)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # enough images for the tasks: no group is split
+    try:
+        one = visibility.project_views(points, images, 5.0, 0.5, voxel=0.25, together=True)
+        tasks = one.withColumn("task", F.spark_partition_id()).groupBy("scan_id", "image_id").agg(F.count_distinct("task").alias("n"))
+        assert {r.n for r in tasks.collect()} == {1}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
